@@ -1,10 +1,14 @@
 """Registered queries of the operators, and their SQL where SQL can express them."""
 
+from .chat import op9_chat_formatting
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .media import op7_media_fingerprints
 from .packing import op2_length_packing
 
 QUERIES = {
     "op2_length_packing": op2_length_packing,
+    "op7_media_fingerprints": op7_media_fingerprints,
+    "op9_chat_formatting": op9_chat_formatting,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {"op10_line_dedup": OP10_SQL}
