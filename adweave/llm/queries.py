@@ -3,10 +3,12 @@
 from .chat import op9_chat_formatting
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .media import op7_media_fingerprints
+from .near_dedup import op5_minhash_near_dedup
 from .packing import op2_length_packing
 
 QUERIES = {
     "op2_length_packing": op2_length_packing,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_media_fingerprints": op7_media_fingerprints,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_line_dedup": op10_line_dedup,
