@@ -1,6 +1,7 @@
 """Registered queries of the operators, and their SQL where SQL can express them."""
 
 from .chat import op9_chat_formatting
+from .decontamination import op6_decontamination
 from .language_id import op4_language_id
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .media import op7_media_fingerprints
@@ -11,6 +12,7 @@ QUERIES = {
     "op2_length_packing": op2_length_packing,
     "op4_language_id": op4_language_id,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_decontamination": op6_decontamination,
     "op7_media_fingerprints": op7_media_fingerprints,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_line_dedup": op10_line_dedup,
