@@ -2,6 +2,7 @@
 
 from .chat import op9_chat_formatting
 from .decontamination import op6_decontamination
+from .html_extraction import op8_html_extraction
 from .language_id import op4_language_id
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .media import op7_media_fingerprints
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_media_fingerprints": op7_media_fingerprints,
+    "op8_html_extraction": op8_html_extraction,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_line_dedup": op10_line_dedup,
 }
