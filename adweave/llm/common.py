@@ -63,3 +63,12 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str, most: int) -> It
             total += n
         if len(sizes) > start:
             yield batch.slice(start)
+
+
+#: A frame of so many narrow rows at most (some MB) may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if it is counted to have so many rows at most, else df as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import cut, read_table, small
 
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 8
@@ -46,7 +46,7 @@ def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int =
     clear = spread.filter(F.col("est") > min_sites * (1 + near)).select("h1", "h2")
     close = spread.filter(F.col("est") <= min_sites * (1 + near)).select("h1", "h2")
     exact = (
-        lines.join(close, ["h1", "h2"], "left_semi")
+        lines.join(small(close), ["h1", "h2"], "left_semi")
         .select("h1", "h2", "site")
         .filter(F.col("site").isNotNull())
         .groupBy("h1", "h2")
@@ -72,7 +72,7 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     lines = site_lines(base, site)
     flagged = boilerplate_lines(lines, min_sites, lg_k)
     bad = (
-        lines.join(flagged, ["h1", "h2"], "left_semi")
+        lines.join(small(flagged), ["h1", "h2"], "left_semi")
         .select(F.col("doc_id").alias("__id"), "h1")
         .groupBy("__id")
         .agg(F.collect_set("h1").alias("__bad"))
