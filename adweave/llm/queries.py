@@ -8,8 +8,10 @@ from .line_dedup import OP10_SQL, op10_line_dedup
 from .media import op7_media_fingerprints
 from .near_dedup import op5_minhash_near_dedup
 from .packing import op2_length_packing
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_length_packing": op2_length_packing,
     "op4_language_id": op4_language_id,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
