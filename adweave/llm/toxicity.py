@@ -159,7 +159,7 @@ def fit(toxic: list[str], clean: list[str], prior: float) -> Model:
 
     def telling(d: list[str], starts: np.ndarray) -> np.ndarray:
         r = np.array([max(typical[w] for w in d[s : s + WINDOW]) for s in starts])
-        return np.where(r > np.log(8), r, -np.inf)
+        return np.where(r > max(np.log(8), r.max() - 1), r, -np.inf)
 
     def ranked(d: list[str], starts: np.ndarray) -> np.ndarray:
         table = model.project(words := list(set(d)))
