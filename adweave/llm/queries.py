@@ -8,11 +8,13 @@ from .line_dedup import OP10_SQL, op10_line_dedup
 from .media import op7_media_fingerprints
 from .near_dedup import op5_minhash_near_dedup
 from .packing import op2_length_packing
+from .token_output import op3_token_output
 from .toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_length_packing": op2_length_packing,
+    "op3_token_output": op3_token_output,
     "op4_language_id": op4_language_id,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_decontamination": op6_decontamination,
