@@ -6,9 +6,11 @@ of coordinates propose pairs; exact Jaccard similarity on full shingle sets deci
 
 Texts with equal sets collapse into one class first. Proposed links of a bucket are
 tried in two rounds, so that a large group costs about its size: first each class
-against one leader of its buckets (the one with most bucket mates), then all pairs of
-a bucket that the verified links of the first round leave in different components.
-What a component already joins needs no test, so no component is lost to the order.
+against one leader of its buckets (the one with most bucket mates), then what the
+verified links leave in one bucket but in different components. For those classes an
+exact prefix filter on their rarest shingles proposes every pair that can still be a
+link; what a component already joins needs no test. So no link between components is
+lost, and near copies that differ too much from each other are not paired in bulk.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, read_table, stored, text_chunks
 from .components import components
@@ -108,16 +111,43 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and shingles of the documents whose doc_id is in ids, stored."""
+    return stored(_texts(docs).join(ids, "doc_id", "left_semi").mapInArrow(_sets, SETS), "sets")
+
+
+def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets have the similarity asked for."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = stored(_texts(docs).join(ids, "doc_id", "left_semi").mapInArrow(_sets, SETS), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return cut(pairs.join(left, "a").join(right, "b").filter(100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
 
 
+def prefix_pairs(sets: DataFrame, comp: DataFrame) -> DataFrame:
+    """Every pair (a, b) of different components (rep, comp) that can be a link, by an exact prefix filter.
+
+    In one order of all shingles, here the rarest first, the first common shingle of a
+    link leaves each set with the overlap that the similarity needs, or more. In a bucket
+    of one shingle, members of its largest component are paired with the others only.
+    """
+    token = sets.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")).join(comp, "rep")
+    often = token.groupBy("shingle").agg(F.count("*").alias("freq")).filter("freq > 1")
+    token = token.join(often, "shingle")
+    doc = Window.partitionBy("rep")
+    place = F.row_number().over(doc.orderBy("freq", "shingle")) - 1 + F.col("n") - F.count("*").over(doc)  # those of frequency 1 come first
+    most = F.col("n") - F.ceil(F.col("n") * PERCENT / 100)
+    index = cut(token.withColumn("left", (F.col("n") - place).cast("long")).filter(F.col("n") - F.col("left") <= most).select("shingle", "rep", "comp", F.col("n").cast("long").alias("n"), "left"))
+    sizes = index.groupBy("shingle", "comp").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("shingle").agg(F.max_by("comp", "c").alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("shingle", "main")
+    index = index.join(largest, "shingle")
+    x = index.filter("comp <> main").toDF("shingle", "a", "ca", "na", "la", "ma")
+    y = index.toDF("shingle", "b", "cb", "nb", "lb", "mb")
+    need = PERCENT * (F.col("na") + F.col("nb"))  # overlap >= PERCENT / (100 + PERCENT) of both sizes
+    can = (F.col("ca") != F.col("cb")) & ((100 + PERCENT) * F.col("la") >= need) & ((100 + PERCENT) * F.col("lb") >= need)
+    return x.join(y, "shingle").filter(can).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id of the row's component) and kept.
 
@@ -131,27 +161,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = cut(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    rows = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
+    rows = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
     shared = rows.groupBy("key").agg(F.count("*").alias("mates")).filter("mates > 1")
     members = cut(rows.join(shared, "key"))
 
     degree = members.groupBy("rep").agg(F.sum("mates").alias("degree"))
-    ranked = cut(members.join(degree, "rep").select("key", "rep", "n", F.struct("degree", (-F.col("rep")).alias("minus")).alias("rank")))
+    ranked = cut(members.join(degree, "rep").select("key", "rep", F.struct("degree", (-F.col("rep")).alias("minus")).alias("rank")))
     leaders = ranked.groupBy("key").agg(F.max("rank").alias("leader"))
     best = ranked.join(leaders, "key").groupBy("rep").agg(F.max("leader").alias("leader")).select(F.col("rep").alias("a"), (-F.col("leader.minus")).alias("b"))
     tried = cut(best.filter("a <> b"))
-    links = verified(docs, tried)
+    ids = tried.select(F.col("a").alias("doc_id")).union(tried.select("b")).distinct()
+    links = verified(set_table(docs, ids), tried)
     comp = components(links)
 
-    where = cut(members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")))
+    where = cut(members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp")))
     mixed = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    open_rows = cut(where.join(mixed, "key", "left_semi"))
-    x, y = open_rows.toDF("key", "a", "na", "ca"), open_rows.toDF("key", "b", "nb", "cb")
-    near_size = (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))
+    open_ = cut(where.join(mixed, "key", "left_semi").select("rep", "comp").distinct())
+    sets = set_table(docs, open_.select(F.col("rep").alias("doc_id")))
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cut(x.join(y, "key").filter(near_size).select("a", "b").distinct().join(done, ["a", "b"], "left_anti"))
+    rest = cut(prefix_pairs(sets, open_).join(done, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        comp = components(links.unionByName(verified(docs, rest)))
+        comp = components(links.unionByName(verified(sets, rest)))
 
     touched = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").filter("copies > 1 or comp is not null")
     touched = touched.select("s1", "s2", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
