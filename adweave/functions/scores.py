@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ EXACT, STRONG, PARTIAL, WEAK = 90, 75, 65, 50
 GATE_CURVE = {0: 0, 1: 0, 2: 25, 3: 50, 4: 65, 5: 80}
 REGULAR, SCREENSHOT = 60, 65
 VISUAL_WEIGHT, HASH_WEIGHT, AGREEMENT_BONUS = 0.5, 0.15, 5
-CACHE_WRITE, CACHE_READ = 1.25, 0.10
+CACHE_WRITE, CACHE_READ = Decimal("1.25"), Decimal("0.10")
 
 
 def match_band(score: Column) -> Column:
@@ -67,8 +69,11 @@ def default_threshold(source_type: Column) -> Column:
 
 
 def token_cost(fresh: Column, written: Column, read: Column, out: Column, rate_in: Column, rate_out: Column) -> Column:
-    """Price in dollars of tokens at rates per million, cache tokens at their multipliers."""
-    return F.round(((fresh + CACHE_WRITE * written + CACHE_READ * read) * rate_in + out * rate_out) / 1e6, 6)
+    """Price in dollars of tokens at rates per million, cache tokens at their multipliers; exact decimals up to the end."""
+    n = lambda x: x.cast("decimal(12,0)")
+    r = lambda x: x.cast("decimal(8,2)")
+    total = (n(fresh) + F.lit(CACHE_WRITE) * n(written) + F.lit(CACHE_READ) * n(read)) * r(rate_in) + n(out) * r(rate_out)
+    return F.round(total * F.lit(Decimal("0.000001")), 6).cast("double")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import reporting
+from . import joining, reporting, scalars
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (reporting,):
+for _module in (reporting, scalars, joining):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
