@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import joining, reporting, scalars
+from . import joining, ordering, reporting, scalars
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (reporting, scalars, joining):
+for _module in (reporting, scalars, joining, ordering):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
