@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import joining, ordering, reporting, scalars
+from . import joining, ordering, pipelines, reporting, scalars
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (reporting, scalars, joining, ordering):
+for _module in (reporting, scalars, joining, ordering, pipelines):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

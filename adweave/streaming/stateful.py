@@ -1,0 +1,74 @@
+"""Keyed state machines over event streams: throttle, host policy, idle detection."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+#: Rungs of the scan strategy, the last one sticky.
+LADDER = ("plain", "patient", "headful", "proxy", "manual")
+#: Failures in a row that promote to the next rung.
+PROMOTE_AFTER = 2
+
+
+class Throttle(StatefulProcessor):
+    """Emits an event only if the last one emitted for its key is gap_us microseconds old or older."""
+
+    def __init__(self, gap_us: int) -> None:
+        self.gap_us = gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0] if self.last.exists() else None
+        batch = pd.concat(list(rows)).sort_values(["at", "event_id"])
+        out = []
+        for event, at in zip(batch["event_id"], batch["at"]):
+            if last is None or at - last >= self.gap_us:
+                last = int(at)
+                out.append((key[0], int(event)))
+        if last is not None:
+            self.last.update((last,))
+        yield pd.DataFrame(out, columns=["user_id", "event_id"]).astype("int64")
+
+    def close(self) -> None:
+        pass
+
+
+class HostPolicy(StatefulProcessor):
+    """Climbs LADDER a rung after PROMOTE_AFTER failures in a row; a success resets the count, not the rung."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("policy", "rung int, streak int, good long, bad long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        rung, streak, good, bad = self.state.get() if self.state.exists() else (0, 0, 0, 0)
+        batch = pd.concat(list(rows)).sort_values(["at", "event_id"])
+        out = []
+        for event, ok in zip(batch["event_id"], batch["ok"]):
+            if ok:
+                streak, good = 0, good + 1
+            else:
+                streak, bad = streak + 1, bad + 1
+                if streak >= PROMOTE_AFTER and rung < len(LADDER) - 1:
+                    rung, streak = rung + 1, 0
+            out.append((key[0], int(event), LADDER[rung], streak, good, bad))
+        self.state.update((int(rung), int(streak), int(good), int(bad)))
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "strategy", "streak", "good", "bad"])
+
+    def close(self) -> None:
+        pass
+
+
+def throttle(events: DataFrame, gap_us: int) -> DataFrame:
+    """events: user_id, event_id, at (microseconds). Emitted events: user_id, event_id."""
+    return events.groupBy("user_id").transformWithStateInPandas(Throttle(gap_us), "user_id long, event_id long", "append", "none")
+
+
+def host_policy(events: DataFrame) -> DataFrame:
+    """events: user_id, event_id, at, ok. The policy after each event."""
+    return events.groupBy("user_id").transformWithStateInPandas(HostPolicy(), "user_id long, event_id long, strategy string, streak int, good long, bad long", "append", "none")
