@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -64,11 +65,15 @@ def template_match(page: np.ndarray, asset: np.ndarray, scales: np.ndarray | Non
     return best if best[0] >= least else (0.0, 0, 0, 0.0)
 
 
-@F.pandas_udf("phash long, dhash long, whash long, average_hash long")
-def image_hashes(pixels: pd.Series, width: pd.Series) -> pd.DataFrame:
-    """The four hashes of images given as row-major grey bytes and a width; nulls for what is no image."""
-    rows = []
-    for p, w in zip(pixels, width):
-        ok = p is not None and w and len(p) >= w and len(p) % w == 0
-        rows.append(hashes(np.frombuffer(p, np.uint8).reshape(-1, int(w))) if ok else (None,) * 4)
-    return pd.DataFrame(rows, columns=["phash", "dhash", "whash", "average_hash"]).astype("Int64")
+def image_hashes(pixels: Column | str, width: Column | str) -> Column:
+    """phash, dhash, whash and average_hash of images given as row-major grey bytes and a width; nulls for what is no image."""
+
+    @F.pandas_udf("phash long, dhash long, whash long, average_hash long")
+    def run(pixels: pd.Series, width: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, w in zip(pixels, width):
+            ok = p is not None and w and len(p) >= w and len(p) % w == 0
+            rows.append(hashes(np.frombuffer(p, np.uint8).reshape(-1, int(w))) if ok else (None,) * 4)
+        return pd.DataFrame(rows, columns=["phash", "dhash", "whash", "average_hash"]).astype("Int64")
+
+    return run(pixels, width)

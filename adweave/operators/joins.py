@@ -29,17 +29,17 @@ def contains_first(rows: DataFrame, id_col: str, text_col: str, names: DataFrame
     Rows without a match have nulls.
     """
     left = rows.select(F.col(id_col).alias("__id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("__t"))
-    right = names.select(F.lower(F.coalesce(F.col(name_col), F.lit(""))).alias("__n"), F.col(order_col).alias("__o"), *[F.col(c).alias(f"__{c}") for c in out_cols])
+    right = names.select(F.lower(F.coalesce(F.col(name_col), F.lit(""))).alias("__n"), F.col(order_col).alias("__o"), *[F.col(c).alias(f"__v_{c}") for c in out_cols])
     a = left.withColumn("__g", F.explode(grams(F.col("__t"), gram)))
     b = right.withColumn("__g", F.explode(grams(F.col("__n"), gram)))
     hit = a.join(b, "__g").filter(F.contains("__t", "__n") | F.contains("__n", "__t"))
-    cols = [f"__{c}" for c in out_cols]
+    cols = [f"__v_{c}" for c in out_cols]
     rank = F.struct((F.col("__t") != F.col("__n")).alias("x"), F.col("__o"), *cols)
     best = hit.groupBy("__id").agg(F.min(rank).alias("__b"))
     first = right.orderBy("__o").limit(1).select(F.struct(F.lit(True).alias("x"), "__o", *cols).alias("__f"))
     blank = left.filter(F.col("__t") == "").select("__id").crossJoin(F.broadcast(first)).select("__id", F.col("__f").alias("__b"))  # one row
     best = best.join(blank.select("__id"), "__id", "left_anti").unionByName(blank)
-    return rows.join(best, rows[id_col] == best["__id"], "left").select(*rows.columns, *[F.col(f"__b.__{c}").alias(c) for c in out_cols])
+    return rows.join(best, rows[id_col] == best["__id"], "left").select(*rows.columns, *[F.col(f"__b.__v_{c}").alias(c) for c in out_cols])
 
 
 def tiered(rows: DataFrame, key: str, tiers: list[tuple[str, DataFrame]], value: str) -> DataFrame:

@@ -79,7 +79,7 @@ class _PagedReader(DataSourceReader):
                 return
 
 
-def paged_source(name: str, schema: str, fetch: Callable, sources: int, most: int = 3) -> type[DataSource]:
+def paged_source(name: str, columns: str, fetch: Callable, sources: int, most: int = 3) -> type[DataSource]:
     """A data source class that follows page tokens: fetch(source, token) gives (rows, next token or None); most pages a source."""
 
     class Paged(DataSource):
@@ -88,9 +88,9 @@ def paged_source(name: str, schema: str, fetch: Callable, sources: int, most: in
             return name
 
         def schema(self) -> str:
-            return schema
+            return columns
 
-        def reader(self, schema_) -> DataSourceReader:
+        def reader(self, schema) -> DataSourceReader:
             return _PagedReader(fetch, sources, most)
 
     return Paged
