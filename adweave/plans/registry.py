@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import joining, ordering, pipelines, reporting, scalars
+from . import extras, joining, ordering, pipelines, reporting, scalars
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (reporting, scalars, joining, ordering, pipelines):
+for _module in (reporting, scalars, joining, ordering, pipelines, extras):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
