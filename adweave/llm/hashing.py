@@ -12,6 +12,8 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 PLACE = _RNG.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+_STOP = np.isin(np.arange(256), [*b".,"])
+_ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
 
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
@@ -72,3 +74,19 @@ def windows(h: np.ndarray, width: int) -> np.ndarray:
     for k in range(1, width):
         out += h[k : k + n] * PLACE[k]
     return mix(out)
+
+
+def units(buf: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 64-bit hashes of the units of buf, which begin at white space after other bytes and at points and commas after ASCII letters and digits.
+
+    begins: where texts begin in buf; a unit begins there, too. Every byte is in a unit.
+    """
+    blank = SPACE[buf]
+    new = np.zeros(len(buf) + 1, bool)
+    new[1:-1] = (blank[1:] & ~blank[:-1]) | (_STOP[buf[1:]] & _ALNUM[buf[:-1]])
+    new[begins] = True
+    starts = np.flatnonzero(new[:-1])
+    _grow(len(buf) + 1)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[buf] * _powers[: len(buf)], dtype=np.uint64)])
+    ends = np.append(starts[1:], len(buf))
+    return starts, mix((total[ends] - total[starts]) * _inverses[starts] + (ends - starts).astype(np.uint64) * PLACE[3])

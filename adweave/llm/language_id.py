@@ -199,7 +199,9 @@ def _identify(model: Model, carry: list[str]):
                     langs.append("und")
                     scores.append(0.0)
                     continue
-                ll = table[np.fromiter(map(at.__getitem__, ws), int, len(ws))].sum(0) / len(ws) ** 0.5
+                ids, n = np.unique(np.fromiter(map(at.__getitem__, ws), int, len(ws)), return_counts=True)
+                weight = 1 + np.log(n)
+                ll = weight @ table[ids] / weight.sum() ** 0.5
                 e = np.exp(ll - ll.max())
                 langs.append(model.langs[int(ll.argmax())])
                 scores.append(float(e.max() / e.sum()))
@@ -211,8 +213,9 @@ def _identify(model: Model, carry: list[str]):
 def identify(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
     """docs (or the columns carry of it) with lang_pred and score, the best language and its posterior.
 
-    The posterior's exponent is the log-likelihood over the square root of the number of
-    words, with equal priors. Null texts and texts without a letter are 'und' with score 0,
+    A word that occurs n times counts 1 + ln(n) times, as a repeated word says little more
+    than a single one. The posterior's exponent is the log-likelihood over the square root
+    of the words so counted, with equal priors. Null texts and texts without a letter are 'und' with score 0,
     as is everything under a model that has learnt no language. Only text is read. Columns
     of docs named lang_pred or score are replaced; row count and ids stay as they are.
     """

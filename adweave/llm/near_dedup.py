@@ -4,13 +4,14 @@ Two random permutations of a universe of D places: the first places a shingle, t
 second, shifted circularly by 0, 1, .. K-1, gives the K signature coordinates. Bands
 of coordinates propose pairs; exact Jaccard similarity on full shingle sets decides.
 
-Texts with equal sets collapse into one class first. Proposed links of a bucket are
-tried in two rounds, so that a large group costs about its size: first each class
-against one leader of its buckets (the one with most bucket mates), then what the
-verified links leave in one bucket but in different components. For those classes an
-exact prefix filter on their rarest shingles proposes every pair that can still be a
-link; what a component already joins needs no test. So no link between components is
-lost, and near copies that differ too much from each other are not paired in bulk.
+Texts with equal sets collapse into one class first. In each of a few rounds every
+class is tried with one leader of its buckets from outside its component, so that a
+large group costs about its size; the first leaders are those with most bucket mates,
+the centres of large groups, the later ones the first in a random order, of any group. For what is then
+still in one bucket but in different components, an exact prefix filter on the rarest
+shingles proposes every pair that can still be a link; what a component already joins
+needs no test. So no link between components is lost, and near copies that differ too
+much from each other are not paired in bulk.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, read_table, stored, text_chunks
+from .common import cut, read_table, small, stored, text_chunks
 from .components import components
 from .hashing import PLACE, joined, mix, windows, words
 
@@ -31,6 +32,8 @@ SHINGLE = 5
 #: A pair at the similarity of 0.75 shares no band with a chance of (1 - 0.75 ** ROWS) ** BANDS, 2e-5.
 BANDS, ROWS = 40, 5
 UNIVERSE_BITS = 20
+#: Rounds with leaders.
+ROUNDS = 3
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
 
@@ -113,7 +116,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id and shingles of the documents whose doc_id is in ids, stored."""
-    return stored(_texts(docs).join(ids, "doc_id", "left_semi").mapInArrow(_sets, SETS), "sets")
+    return stored(_texts(docs).join(small(ids), "doc_id", "left_semi").mapInArrow(_sets, SETS), "sets")
 
 
 def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -148,6 +151,28 @@ def prefix_pairs(sets: DataFrame, comp: DataFrame) -> DataFrame:
     return x.join(y, "shingle").filter(can).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def with_components(ranked: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """ranked with the component of each class, itself where it has no links."""
+    if comp is None:
+        return ranked.withColumn("comp", F.col("rep"))
+    return ranked.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+
+def leader_pairs(where: DataFrame) -> DataFrame:
+    """A pair (a, b) for each class a of a bucket with several components: b is the leader of such a bucket from another component.
+
+    where: key, rep, order, comp. A bucket's leader is its class of the highest order, and
+    the members of the leader's component look to the highest of the others.
+    """
+    rank = F.struct("order", (-F.col("rep")).alias("minus"), "comp")
+    where = cut(where.withColumn("rank", rank))
+    first = where.groupBy("key").agg(F.max("rank").alias("first"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", "first")
+    mixed = cut(where.join(first, "key"))
+    second = mixed.filter(F.col("comp") != F.col("first.comp")).groupBy("key").agg(F.max("rank").alias("second"))
+    sight = mixed.join(second, "key").withColumn("to", F.when(F.col("comp") == F.col("first.comp"), F.col("second")).otherwise(F.col("first")))
+    return sight.groupBy("rep").agg(F.max("to").alias("to")).select(F.col("rep").alias("a"), (-F.col("to.minus")).alias("b"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id of the row's component) and kept.
 
@@ -165,23 +190,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = rows.groupBy("key").agg(F.count("*").alias("mates")).filter("mates > 1")
     members = cut(rows.join(shared, "key"))
 
+    sets = set_table(docs, members.select(F.col("rep").alias("doc_id")).distinct())
     degree = members.groupBy("rep").agg(F.sum("mates").alias("degree"))
-    ranked = cut(members.join(degree, "rep").select("key", "rep", F.struct("degree", (-F.col("rep")).alias("minus")).alias("rank")))
-    leaders = ranked.groupBy("key").agg(F.max("rank").alias("leader"))
-    best = ranked.join(leaders, "key").groupBy("rep").agg(F.max("leader").alias("leader")).select(F.col("rep").alias("a"), (-F.col("leader.minus")).alias("b"))
-    tried = cut(best.filter("a <> b"))
-    ids = tried.select(F.col("a").alias("doc_id")).union(tried.select("b")).distinct()
-    links = verified(set_table(docs, ids), tried)
-    comp = components(links)
-
-    where = cut(members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp")))
+    ranked = cut(members.join(degree, "rep").select("key", "rep", "degree"))
+
+    comp = tried = links = None
+    for i in range(ROUNDS):
+        order = F.col("degree") if i == 0 else F.xxhash64("rep", F.lit(i))
+        fresh = leader_pairs(with_components(ranked, comp).withColumn("order", order))
+        pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+        fresh = cut((fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti")).select(*pair).distinct())
+        found = verified(sets, fresh)
+        tried = fresh if tried is None else cut(tried.unionByName(fresh))
+        links = found if links is None else cut(links.unionByName(found))
+        comp = components(links)
+
+    where = with_components(ranked, comp)
     mixed = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     open_ = cut(where.join(mixed, "key", "left_semi").select("rep", "comp").distinct())
-    sets = set_table(docs, open_.select(F.col("rep").alias("doc_id")))
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cut(prefix_pairs(sets, open_).join(done, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        comp = components(links.unionByName(verified(sets, rest)))
+    rest = prefix_pairs(sets, open_)
+    rest = cut(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
+    found = verified(sets, rest)
+    if not found.isEmpty():
+        comp = components(found if links is None else links.unionByName(found))
+    comp = classes.select(F.col("rep").alias("node"), F.lit(None).cast("long").alias("comp")).limit(0) if comp is None else comp
 
     touched = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").filter("copies > 1 or comp is not null")
     touched = touched.select("s1", "s2", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))

@@ -16,62 +16,73 @@ import zlib
 import numpy as np
 
 U = np.uint64
+V = np.uint32
 #: Entries of a block's order-1 and order-2 tables (powers of two), highest confidence, bits of the order-0 total.
-TABLE, MOST, TOTAL = 4_096, 7, 24
+TABLE, MOST, TOTAL = 2_048, 7, 24
 _BITS = TABLE.bit_length() - 1
-_ONE = 1 << 16
-_LOW32 = U(0xFFFFFFFF)
+_ONE, _HALF = 1 << 16, 1 << 15
 _NONE = 0xFFFF
+#: The range stays over 2 ** 48 between tokens; a token takes 44 bits of it at most. Output is in units of 16 bits.
+_UNIT, _BOTTOM, _MASK = U(48), U(1 << 48), U((1 << 48) - 1)
 
 
 class _States:
     """The adaptive states of a number of blocks, shared by coding and decoding."""
 
     def __init__(self, lanes: int) -> None:
-        self.lanes = np.arange(lanes, dtype=np.int64)
-        self.t1 = np.zeros(lanes * TABLE, np.uint32)
-        self.t2 = np.zeros(lanes * TABLE, np.uint32)
-        guess = np.array([1, 8, 16, 24, 32, 40, 48, 52]) * (_ONE // 64)
+        lane = np.arange(lanes, dtype=np.int64)
+        self.lane_t, self.lane_8, self.lane_16 = lane * TABLE, lane * 8, lane * 16
+        self.t1 = np.zeros(lanes * TABLE, V)
+        self.t2 = np.zeros(lanes * TABLE, V)
+        guess = np.array([1, 8, 16, 24, 32, 40, 48, 52], np.int32) * np.int32(_ONE // 64)
         self.q2 = np.tile(guess, lanes)
-        self.q1 = np.tile(np.concatenate([guess // 16 + 64, guess]), lanes)
+        self.q1 = np.tile(np.concatenate([guess // 16 + np.int32(64), guess]), lanes)
         self.qb = np.tile(guess // 2, lanes)
-        self.w = np.full(lanes * 8, _ONE // 2)
-        self.prev = np.zeros(lanes, np.uint32)
-        self.before = np.zeros(lanes, np.uint32)
+        self.w = np.full(lanes, _HALF // 2, np.int32)
+        self.prev = np.zeros(lanes, V)
+        self.prev_hash = np.zeros(lanes, V)
 
     def guess(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The best guess, order 1's guess (_NONE: none) and the probability of the best one, in 65536ths."""
-        self.i1 = self.lanes * TABLE + ((self.prev * np.uint32(2654435761)) >> np.uint32(32 - _BITS)).astype(np.int64)
-        self.i2 = self.lanes * TABLE + (((self.prev * np.uint32(2654435761)) ^ (self.before * np.uint32(2246822519) + np.uint32(374761393))) * np.uint32(3266489917) >> np.uint32(32 - _BITS)).astype(np.int64)
-        self.e1, self.e2 = self.t1[self.i1], self.t2[self.i2]
-        self.c1, self.c2 = (self.e1 >> np.uint32(16)).astype(np.int64), (self.e2 >> np.uint32(16)).astype(np.int64)
-        p1 = np.where(self.c1 > 0, self.e1 & np.uint32(0xFFFF), np.uint32(_NONE))
-        best = np.where(self.c2 > 0, self.e2 & np.uint32(0xFFFF), p1)
-        self.k2 = self.lanes * 8 + self.c2
-        self.k1 = self.lanes * 16 + self.c1 + 8 * (p1 == best)
-        self.s2, self.s1, self.w_ = self.q2[self.k2], self.q1[self.k1], self.w[self.k2]
-        p = (self.w_ * self.s2 + (_ONE - self.w_) * self.s1) >> 16
-        self.p = np.where(best == _NONE, 16, np.clip(p, 64, _ONE - 64))
-        return best, p1, self.p
+        h = self.prev * V(2654435761)
+        self.i1 = self.lane_t + (h >> V(32 - _BITS))
+        self.i2 = self.lane_t + (((h ^ self.prev_hash) * V(3266489917)) >> V(32 - _BITS))
+        self.next_hash = self.prev * V(2246822519) + V(374761393)
+        self.e1, self.e2 = self.t1.take(self.i1), self.t2.take(self.i2)
+        self.c1, self.c2 = self.e1 >> V(16), self.e2 >> V(16)
+        p1 = np.where(self.c1 > 0, self.e1 & V(_NONE), V(_NONE))
+        best = np.where(self.c2 > 0, self.e2 & V(_NONE), p1)
+        self.k2 = self.lane_8 + self.c2
+        self.k1 = self.lane_16 + (self.c1 + V(8) * (p1 == best))
+        self.s2, self.s1 = self.q2.take(self.k2), self.q1.take(self.k1)
+        p = (self.w * self.s2 + (_HALF - self.w) * self.s1) >> 15
+        p = np.minimum(np.maximum(p, 64), _ONE - 64)
+        p[best == _NONE] = 64
+        self.p = p
+        return best, p1, p
 
     def other(self, at: np.ndarray, p1: np.ndarray, best: np.ndarray) -> np.ndarray:
         """Probability of order 1's guess in the blocks at, where the best guess is wrong."""
-        self.kb = at * 8 + self.c1[at]
-        return np.where((p1[at] == best[at]) | (p1[at] == _NONE), 16, np.clip(self.qb[self.kb], 64, _ONE - 64))
-
-    def learn(self, token: np.ndarray, hit: np.ndarray, at: np.ndarray, second: np.ndarray) -> None:
-        goal = hit.astype(np.int64) << 16
+        self.kb = self.lane_8[at] + self.c1[at]
+        own = p1[at]
+        p = np.minimum(np.maximum(self.qb.take(self.kb), 64), _ONE - 64)
+        p[(own == best[at]) | (own == _NONE)] = 64
+        return p
+
+    def learn(self, token: np.ndarray, hit: np.ndarray, second: np.ndarray) -> None:
+        goal = hit.astype(np.int32) << 16
         self.q2[self.k2] = self.s2 + ((goal - self.s2) >> 4)
         self.q1[self.k1] = self.s1 + ((goal - self.s1) >> 4)
-        self.w[self.k2] = np.clip(self.w_ + (((goal - self.p) * (self.s2 - self.s1)) >> 18), 1024, _ONE - 1024)
-        q = self.qb[self.kb]
-        self.qb[self.kb] = q + (((second.astype(np.int64) << 16) - q) >> 4)
+        step = (((goal - self.p) >> 2) * ((self.s2 - self.s1) >> 2)) >> 15
+        self.w = np.minimum(np.maximum(self.w + step, 512), _HALF - 512)
+        q = self.qb.take(self.kb)
+        self.qb[self.kb] = q + (((second.astype(np.int32) << 16) - q) >> 4)
+        fresh = token | V(1 << 16)
         for table, i, e, c in ((self.t1, self.i1, self.e1, self.c1), (self.t2, self.i2, self.e2, self.c2)):
-            same = (e & np.uint32(0xFFFF)) == token
-            conf = np.where(same, np.minimum(c + 1, MOST), c >> 1)
-            new = (conf == 0) | (c == 0)
-            table[i] = np.where(new, token | np.uint32(1 << 16), (e & np.uint32(0xFFFF)) | (conf.astype(np.uint32) << np.uint32(16)))
-        self.before, self.prev = self.prev, token
+            held = e & V(_NONE)
+            conf = np.where(held == token, np.minimum(c + V(1), V(MOST)), c >> V(1))
+            table[i] = np.where((conf == 0) | (c == 0), fresh, held | (conf << V(16)))
+        self.prev_hash, self.prev = self.next_hash, token
 
 
 def order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +100,7 @@ def encode(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, list[tu
         return np.zeros(0, np.uint32), np.zeros(0, np.uint32), []
     symbols, counts = order0(ids)
     cum = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(U)
+    freq = counts.astype(U)
     rank = np.zeros(int(symbols[-1]) + 1, np.int64)
     rank[symbols] = np.arange(len(symbols))
     lanes = -(-len(ids) // block)
@@ -97,54 +109,51 @@ def encode(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, list[tu
     x[len(ids) :] = symbols[0]
     x = np.ascontiguousarray(x.reshape(lanes, block).T)
     low, span = np.zeros(lanes, U), np.full(lanes, ~U(0))
-    out = np.empty((lanes, 2 * block + 64), np.uint32)  # a token takes 44 bits at most
+    out = np.empty((lanes, 3 * block + 64), np.uint16)  # a token takes 44 bits at most
     n = np.zeros(lanes, np.int64)
     st = _States(lanes)
 
-    def emit(where: np.ndarray | None) -> None:
-        lo, sp = (low, span) if where is None else (low[where], span[where])
-        settled = (lo ^ (lo + sp)) <= _LOW32
-        go = np.flatnonzero(settled | (sp <= _LOW32))
-        if not len(go):
-            return
-        i = go if where is None else where[go]
-        lo, sp = lo[go], np.where(settled[go], sp[go], (~lo[go] + U(1)) & _LOW32)
-        out[i, n[i]] = (lo >> U(32)).astype(np.uint32)
-        n[i] += 1
-        low[i], span[i] = lo << U(32), sp << U(32)
+    def emit() -> None:
+        end = low + span
+        i = np.flatnonzero((((low ^ end) >> _UNIT) == 0) | (span < _BOTTOM))
+        while len(i):
+            lo, sp = low[i], span[i]
+            sp = np.where(((lo ^ (lo + sp)) >> _UNIT) == 0, sp, (~lo + U(1)) & _MASK)
+            out[i, n[i]] = (lo >> _UNIT).astype(np.uint16)
+            n[i] += 1
+            lo, sp = lo << U(16), sp << U(16)
+            low[i], span[i] = lo, sp
+            i = i[(((lo ^ (lo + sp)) >> _UNIT) == 0) | (sp < _BOTTOM)]
 
     for t in range(block):
         token = x[t]
         best, p1, p = st.guess()
         bound = (span >> U(16)) * p.astype(U)
         hit = token == best
-        low = np.where(hit, low, low + bound)
+        low += np.where(hit, U(0), bound)
         span = np.where(hit, bound, span - bound)
-        emit(None)
         at = np.flatnonzero(~hit)
-        second = np.zeros(0, bool)
         pb = st.other(at, p1, best)
-        if len(at):
-            bound = (span[at] >> U(16)) * pb.astype(U)
-            second = token[at] == p1[at]
-            low[at] += np.where(second, U(0), bound)
-            span[at] = np.where(second, bound, span[at] - bound)
-            emit(at)
-            last = at[~second]
-            if len(last):
-                r = rank[token[last]]
-                step = span[last] >> U(TOTAL)
-                low[last] += step * cum[r]
-                span[last] = step * (cum[r + 1] - cum[r])
-                emit(last)
-        st.learn(token, hit, at, second)
+        lo, sp, own = low[at], span[at], token[at]
+        bound = (sp >> U(16)) * pb.astype(U)
+        second = own == p1[at]
+        lo += np.where(second, U(0), bound)
+        sp = np.where(second, bound, sp - bound)
+        last = np.flatnonzero(~second)
+        r = rank[own[last]]
+        step = sp[last] >> U(TOTAL)
+        lo[last] += step * cum[r]
+        sp[last] = step * freq[r]
+        low[at], span[at] = lo, sp
+        emit()
+        st.learn(token, hit, second)
     rows = np.arange(lanes)
-    out[rows, n] = (low >> U(32)).astype(np.uint32)
-    out[rows, n + 1] = (low & _LOW32).astype(np.uint32)
+    for k in range(4):
+        out[rows, n + k] = (low >> U(48 - 16 * k)).astype(np.uint16)
     blocks = []
     for i in range(lanes):
         own = ids[i * block : (i + 1) * block]
-        blocks.append((len(own), zlib.crc32(own.astype("<u4").tobytes()), out[i, : n[i] + 2].astype("<u4").tobytes()))
+        blocks.append((len(own), zlib.crc32(own.astype("<u4").tobytes()), out[i, : n[i] + 4].astype("<u2").tobytes()))
     return symbols, counts, blocks
 
 
@@ -153,59 +162,57 @@ def decode(symbols: np.ndarray, counts: np.ndarray, blocks: list[tuple[int, int,
     if not blocks:
         return np.zeros(0, np.uint32)
     cum = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-    cum_u = cum.astype(U)
+    cum_u, freq = cum.astype(U), counts.astype(U)
     lanes = len(blocks)
-    code_at = np.concatenate([[0], np.cumsum([len(b[2]) // 4 + 2 for b in blocks])])
-    data = np.zeros(code_at[-1] + 2, np.uint32)
-    for i, (_, _, b) in enumerate(blocks):
-        data[code_at[i] : code_at[i] + len(b) // 4] = np.frombuffer(b, "<u4")
-    pos = code_at[:-1] + 2
-    code = (data[pos - 2].astype(U) << U(32)) | data[pos - 1].astype(U)
+    code_at = np.concatenate([[0], np.cumsum([len(b[2]) // 2 for b in blocks])])
+    data = np.concatenate([*[np.frombuffer(b, "<u2") for _, _, b in blocks], np.zeros(4, np.uint16)]).astype(U)
+    pos = code_at[:-1] + 4
+    code = np.zeros(lanes, U)
+    for k in range(4):
+        code = (code << U(16)) | data[np.minimum(code_at[:-1] + k, len(data) - 1)]
     low, span = np.zeros(lanes, U), np.full(lanes, ~U(0))
     x = np.empty((block, lanes), np.uint32)
     st = _States(lanes)
 
-    def shift(where: np.ndarray | None) -> None:
-        lo, sp = (low, span) if where is None else (low[where], span[where])
-        settled = (lo ^ (lo + sp)) <= _LOW32
-        go = np.flatnonzero(settled | (sp <= _LOW32))
-        if not len(go):
-            return
-        i = go if where is None else where[go]
-        lo, sp = lo[go], np.where(settled[go], sp[go], (~lo[go] + U(1)) & _LOW32)
-        code[i] = (code[i] << U(32)) | data[np.minimum(pos[i], len(data) - 1)].astype(U)
-        pos[i] += 1
-        low[i], span[i] = lo << U(32), sp << U(32)
+    def shift() -> None:
+        end = low + span
+        i = np.flatnonzero((((low ^ end) >> _UNIT) == 0) | (span < _BOTTOM))
+        while len(i):
+            lo, sp = low[i], span[i]
+            sp = np.where(((lo ^ (lo + sp)) >> _UNIT) == 0, sp, (~lo + U(1)) & _MASK)
+            code[i] = (code[i] << U(16)) | data[np.minimum(pos[i], len(data) - 1)]
+            pos[i] += 1
+            lo, sp = lo << U(16), sp << U(16)
+            low[i], span[i] = lo, sp
+            i = i[(((lo ^ (lo + sp)) >> _UNIT) == 0) | (sp < _BOTTOM)]
 
     for t in range(block):
         best, p1, p = st.guess()
         bound = (span >> U(16)) * p.astype(U)
         hit = (code - low) < bound
-        low = np.where(hit, low, low + bound)
+        low += np.where(hit, U(0), bound)
         span = np.where(hit, bound, span - bound)
-        shift(None)
-        token = best.astype(np.uint32)
+        token = best.copy()
         at = np.flatnonzero(~hit)
-        second = np.zeros(0, bool)
         pb = st.other(at, p1, best)
-        if len(at):
-            bound = (span[at] >> U(16)) * pb.astype(U)
-            second = (code[at] - low[at]) < bound
-            low[at] += np.where(second, U(0), bound)
-            span[at] = np.where(second, bound, span[at] - bound)
-            shift(at)
-            token[at] = p1[at]
-            last = at[~second]
-            if len(last):
-                step = span[last] >> U(TOTAL)
-                v = np.minimum((code[last] - low[last]) // step, U((1 << TOTAL) - 1)).astype(np.int64)
-                r = np.minimum(np.searchsorted(cum, v, "right") - 1, len(symbols) - 1)
-                low[last] += step * cum_u[r]
-                span[last] = step * (cum_u[r + 1] - cum_u[r])
-                shift(last)
-                token[last] = symbols[r]
+        lo, sp, co = low[at], span[at], code[at]
+        bound = (sp >> U(16)) * pb.astype(U)
+        second = (co - lo) < bound
+        lo += np.where(second, U(0), bound)
+        sp = np.where(second, bound, sp - bound)
+        own = p1[at]
+        last = np.flatnonzero(~second)
+        step = sp[last] >> U(TOTAL)
+        v = np.minimum((co[last] - lo[last]) // step, U((1 << TOTAL) - 1)).astype(np.int64)
+        r = np.minimum(np.searchsorted(cum, v, "right") - 1, len(symbols) - 1)
+        lo[last] += step * cum_u[r]
+        sp[last] = step * freq[r]
+        own[last] = symbols[r]
+        token[at] = own
+        low[at], span[at] = lo, sp
+        shift()
         x[t] = token
-        st.learn(token, hit, at, second)
+        st.learn(token, hit, second)
     x = np.ascontiguousarray(x.T)
     out = []
     for i, (n, crc, _) in enumerate(blocks):

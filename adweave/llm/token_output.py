@@ -8,10 +8,12 @@ segments again. Only pieces between white space that a task has not met are toke
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,22 +22,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import range_coder
+from . import hashing, range_coder
 from .common import read_table, small, stored, text_chunks
 
 END = 0
-#: Ids in a segment (a longer document is a segment of its own) and in a block.
-SEGMENT, BLOCK = 6_000_000, 2_048
-CACHE_UNITS = 400_000
+#: Ids in a segment (a longer document is a segment of its own) and in a block; units kept, of some 30 bytes each.
+SEGMENT, BLOCK, CACHE_UNITS = 6_000_000, 1_024, 3_000_000
 
 SEGMENTS = "part int, seq int, n_ids long, block int, symbols binary, counts binary, sizes array<int>, crcs array<long>, data array<binary>, doc_ids array<long>, lengths array<long>"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
-#: White space, then other characters. Pre-tokenisation never joins what stands on both sides of such a unit's beginning.
-_UNIT = re.compile(r"\s*\S+|\s+")
-#: White space to Python only; texts with it are tokenised whole.
-_ODD = re.compile(r"[\x1c-\x1f]")
+#: White space other than ASCII's; texts with it are tokenised whole.
+_ODD = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _loaded: dict[str, object] = {}
+_encoders: dict = {}
 
 
 def load_tokenizer(path: str | None = None):
@@ -53,34 +53,72 @@ def load_tokenizer(path: str | None = None):
 
 
 class Encoder:
-    """Ids of texts, with the ids of met units kept."""
+    """Ids of texts, with the ids of met units kept by hash for later texts of the process.
+
+    Pre-tokenisation never joins what stands on both sides of a unit's beginning (see
+    hashing.units), so the ids of a text are those of its units.
+    """
 
     def __init__(self, path: str | None = None) -> None:
         self.tokenizer = load_tokenizer(path)
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.n, self.begin, self.flat = 0, np.zeros(1 << 18, np.int64), np.zeros(1 << 20, np.uint32)
+
+    def _keep(self, hashes: np.ndarray, new: list[str]) -> None:
+        gc.disable()  # so many lists at once set it off again and again
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        gc.enable()
+        flat = np.array(list(chain.from_iterable(ids)), np.uint32)
+        while self.n + len(new) >= len(self.begin):
+            self.begin = np.concatenate([self.begin, np.zeros(len(self.begin), np.int64)])
+        self.begin[self.n + 1 : self.n + 1 + len(new)] = self.begin[self.n] + np.cumsum([len(x) for x in ids])
+        end = int(self.begin[self.n + len(new)])
+        while len(self.flat) < end:
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+        self.flat[end - len(flat) : end] = flat
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.place = np.insert(self.place, at, np.arange(self.n, self.n + len(new)))
+        self.n += len(new)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.at) > CACHE_UNITS:
-            self.clear()
-        units = [[t] if _ODD.search(t) else _UNIT.findall(t) for t in texts]
-        new = list({u for us in units for u in us} - self.at.keys())
-        if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.at.update(zip(new, range(len(self.begin) - 1, len(self.begin) - 1 + len(new))))
-            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(x) for x in ids])])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32)])
-        out = []
-        for us in units:
-            k = np.fromiter(map(self.at.__getitem__, us), np.int64, len(us))
+        odd = [bool(_ODD.search(t)) for t in texts]
+        raws = [b"" if o else t.encode() for t, o in zip(texts, odd)]
+        sizes = np.array([len(r) for r in raws], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        out = [np.zeros(0, np.uint32)] * len(texts)
+        data = b"".join(raws)
+        if data:
+            if self.n > CACHE_UNITS:
+                self.clear()
+            starts, h = hashing.units(np.frombuffer(data, np.uint8), begins)
+            distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
+            at = np.searchsorted(self.known, distinct)
+            new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != distinct) if len(self.known) else np.arange(len(distinct))
+            if len(new):
+                ends = np.append(starts[1:], len(data))
+                i = first[new]
+                self._keep(distinct[new], [data[a:b].decode() for a, b in zip(starts[i].tolist(), ends[i].tolist())])
+            k = self.place[np.searchsorted(self.known, distinct)][which]
             n = self.begin[k + 1] - self.begin[k]
             ends = np.cumsum(n)
-            total = int(ends[-1]) if len(us) else 0
-            out.append(self.flat[np.arange(total) + np.repeat(self.begin[k] - ends + n, n)])
-        return out
+            ids = self.flat[np.arange(int(ends[-1])) + np.repeat(self.begin[k] - ends + n, n)]
+            cut = np.concatenate([[0], ends])[np.searchsorted(starts, begins[1:])]
+            out = np.split(ids, cut)
+        return [self._whole(t) if o else x for t, o, x in zip(texts, odd, out)]
+
+
+def encoder(path: str | None = None) -> Encoder:
+    """The process's encoder for a file; what it has met in earlier tasks it still knows."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _segment(part: int, seq: int, docs: list, ids: list[np.ndarray], block: int) -> pa.RecordBatch:
@@ -93,10 +131,10 @@ def _segment(part: int, seq: int, docs: list, ids: list[np.ndarray], block: int)
 
 def _encode(path: str | None, segment: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = Encoder(path), TaskContext.get().partitionId(), 0
+        own_encoder, part, seq = encoder(path), TaskContext.get().partitionId(), 0
         docs, ids, total = [], [], 0
         for b in text_chunks(batches, "text", 1 << 20):
-            for doc, own in zip(b.column("doc_id").to_pylist(), encoder.encode([t or "" for t in b.column("text").to_pylist()])):
+            for doc, own in zip(b.column("doc_id").to_pylist(), own_encoder.encode([t or "" for t in b.column("text").to_pylist()])):
                 if total and total + len(own) + 1 > segment:
                     yield _segment(part, seq, docs, ids, block)
                     docs, ids, total, seq = [], [], 0, seq + 1

@@ -234,7 +234,7 @@ def _score(model: Model, carry: list[str]):
                 table = np.concatenate([table, model.project(new)])
             sizes = np.array([len(d) for d in docs], np.int64)
             ids = np.fromiter((at[w] for d in docs for w in d), np.int64, int(sizes.sum()))
-            score = model.score(*model.highest(table, ids, sizes))
+            score = np.round(model.score(*model.highest(table, ids, sizes)), 6)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32), pa.int32())], names=[*carry, "score", "predicted"])
 
     return run
