@@ -25,10 +25,10 @@ def contains_first(rows: DataFrame, id_col: str, text_col: str, names: DataFrame
 
     Exact names win over contained ones. Candidates come from a hash join on character
     n-grams, the rarest of the shorter text's, not from a cross product; names and texts
-    shorter than a gram join on their first characters. Empty texts match the first name.
-    Rows without a match have nulls.
+    shorter than a gram join on their first characters. Empty texts match the first name,
+    null texts match nothing. Rows without a match have nulls.
     """
-    left = rows.select(F.col(id_col).alias("__id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("__t"))
+    left = rows.select(F.col(id_col).alias("__id"), F.lower(F.col(text_col)).alias("__t"))
     right = names.select(F.lower(F.coalesce(F.col(name_col), F.lit(""))).alias("__n"), F.col(order_col).alias("__o"), *[F.col(c).alias(f"__v_{c}") for c in out_cols])
     a = left.withColumn("__g", F.explode(grams(F.col("__t"), gram)))
     b = right.withColumn("__g", F.explode(grams(F.col("__n"), gram)))
