@@ -34,6 +34,9 @@ DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 #: White space other than ASCII's; texts with it are tokenised whole.
 _ODD = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_BLANK = b" \t\n\v\f\r"
+#: Units encoded together.
+RUN = 4_096
 _loaded: dict[str, object] = {}
 _encoders: dict = {}
 
@@ -61,34 +64,59 @@ class Encoder:
 
     def __init__(self, path: str | None = None) -> None:
         self.tokenizer = load_tokenizer(path)
+        vocab = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.sizes[list(vocab.values())] = [len(x) for x in vocab]  # byte-level pieces have a character for each byte
         self.clear()
 
     def clear(self) -> None:
         self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.n, self.begin, self.flat = 0, np.zeros(1 << 18, np.int64), np.zeros(1 << 20, np.uint32)
 
-    def _keep(self, hashes: np.ndarray, new: list[str]) -> None:
+    def _batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, one after another, and how many each has."""
         gc.disable()  # so many lists at once set it off again and again
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         gc.enable()
-        flat = np.array(list(chain.from_iterable(ids)), np.uint32)
+        return np.array(list(chain.from_iterable(ids)), np.uint32), np.array([len(x) for x in ids], np.int64)
+
+    def _run(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units that begin with white space and end with other bytes, encoded RUN together.
+
+        Nothing joins across such units' beginnings, whichever units meet, so the ids'
+        lengths in bytes say where each unit's ids end.
+        """
+        flat, _ = self._batch([b"".join(new[i : i + RUN]).decode() for i in range(0, len(new), RUN)])
+        done, ends = np.cumsum(self.sizes[flat]), np.cumsum([len(u) for u in new])
+        upto = np.searchsorted(done, ends)
+        if not (done[upto] == ends).all():
+            raise ValueError("the tokenizer joins bytes across white space")
+        return flat, np.diff(upto, prepend=-1)
+
+    def _keep(self, hashes: np.ndarray, new: list[bytes]) -> None:
+        alone = np.array([u[0] not in _BLANK or u[-1] in _BLANK for u in new])
+        order = np.argsort(alone, kind="stable")
+        split = len(new) - int(alone.sum())
+        flat, counts = (np.concatenate(x) for x in zip(self._run([new[i] for i in order[:split]]), self._batch([new[i].decode() for i in order[split:]])))
         while self.n + len(new) >= len(self.begin):
             self.begin = np.concatenate([self.begin, np.zeros(len(self.begin), np.int64)])
-        self.begin[self.n + 1 : self.n + 1 + len(new)] = self.begin[self.n] + np.cumsum([len(x) for x in ids])
+        self.begin[self.n + 1 : self.n + 1 + len(new)] = self.begin[self.n] + np.cumsum(counts)
         end = int(self.begin[self.n + len(new)])
         while len(self.flat) < end:
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
         self.flat[end - len(flat) : end] = flat
         at = np.searchsorted(self.known, hashes)
+        place = np.empty(len(new), np.int64)
+        place[order] = np.arange(self.n, self.n + len(new))
         self.known = np.insert(self.known, at, hashes)
-        self.place = np.insert(self.place, at, np.arange(self.n, self.n + len(new)))
+        self.place = np.insert(self.place, at, place)
         self.n += len(new)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        odd = [bool(_ODD.search(t)) for t in texts]
+        odd = [not t.isascii() and bool(_ODD.search(t)) for t in texts]
         raws = [b"" if o else t.encode() for t, o in zip(texts, odd)]
         sizes = np.array([len(r) for r in raws], np.int64)
         begins = np.cumsum(sizes) - sizes
@@ -104,7 +132,7 @@ class Encoder:
             if len(new):
                 ends = np.append(starts[1:], len(data))
                 i = first[new]
-                self._keep(distinct[new], [data[a:b].decode() for a, b in zip(starts[i].tolist(), ends[i].tolist())])
+                self._keep(distinct[new], [data[a:b] for a, b in zip(starts[i].tolist(), ends[i].tolist())])
             k = self.place[np.searchsorted(self.known, distinct)][which]
             n = self.begin[k + 1] - self.begin[k]
             ends = np.cumsum(n)
