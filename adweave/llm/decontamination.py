@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table, small, text_chunks
+from .common import cut, lean, read_table, small, text_chunks
 from .hashing import SPACE, joined, mix, windows, words
 
 #: Template words in a window; windows with fewer literal words say nothing and are left out.
@@ -142,7 +142,7 @@ def _scan(keys: np.ndarray | None):
 def template_windows(texts: DataFrame, id_col: str, keys: np.ndarray | None = None) -> DataFrame:
     """Windows (id, kind, pos, key, slots, n_windows) of a frame with columns id_col and text."""
     rows = texts.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter(F.col("id").isNotNull())
-    return rows.mapInArrow(_scan(keys), HITS)
+    return rows.mapInArrow(lean(_scan(keys)), HITS)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE, lookup_windows: int = LOOKUP_WINDOWS) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, read_table, text_chunks
+from .common import held_out, lean, read_table, text_chunks
 
 #: The training sample: so many documents in all, shared evenly by the languages, of so many characters at most.
 TRAIN_DOCS, TRAIN_CHARS = 1_600, 20_000
@@ -173,7 +173,7 @@ def train(docs: DataFrame, vocab_path: str | None = None, most_docs: int = TRAIN
     share = max(1, most_docs // len(per))
     pick = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 20))
     limit = F.create_map(*[F.lit(x) for g, n in per.items() for x in (g, min(1 << 20, -(-(share << 20) // n)))])[F.col("lang")]
-    words = seen.filter(pick < limit).select("lang", "text").mapInArrow(_count, "lang string, word string, n long")
+    words = seen.filter(pick < limit).select("lang", "text").mapInArrow(lean(_count), "lang string, word string, n long")
     counts: dict[str, dict[str, int]] = {g: {} for g in per}
     for r in words.groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
         counts[r["lang"]][r["word"]] = r["n"]
@@ -222,7 +222,7 @@ def identify(docs: DataFrame, model: Model, carry: list[str] | None = None) -> D
     base = docs.drop("lang_pred", "score")
     carry = base.columns if carry is None else carry
     fields = [base.schema[c] for c in carry] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return base.mapInArrow(_identify(model, carry), T.StructType(fields))
+    return base.mapInArrow(lean(_identify(model, carry)), T.StructType(fields))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

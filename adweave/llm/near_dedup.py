@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, read_table, small, stored, text_chunks
+from .common import cut, lean, read_table, small, stored, text_chunks
 from .components import components
 from .hashing import PLACE, joined, mix, windows, words
 
@@ -116,7 +116,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id and shingles of the documents whose doc_id is in ids, stored."""
-    return stored(_texts(docs).join(small(ids), "doc_id", "left_semi").mapInArrow(_sets, SETS), "sets")
+    return stored(_texts(docs).join(small(ids), "doc_id", "left_semi").mapInArrow(lean(_sets), SETS), "sets")
 
 
 def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of each component. Rows with equal ids share a component. A null id is its own
     component, null, and kept. Only doc_id and text are read; an empty table gives none.
     """
-    signed = stored(_texts(docs).mapInArrow(_sign, SIGNED), "signed")
+    signed = stored(_texts(docs).mapInArrow(lean(_sign), SIGNED), "signed")
     full = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = cut(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
