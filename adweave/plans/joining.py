@@ -100,7 +100,7 @@ def fuzzy_first(t: Tables) -> DataFrame:
     names = t.part.select(c("p_partkey").alias("part"), "p_name")
     d = t.documents.select("doc_id", ((c("doc_id") * 7) % 2000).alias("part")).join(names, "part", "left")
     d = d.select("doc_id", F.when(c("doc_id") % 9 == 0, "").otherwise(F.concat("p_name", F.when(c("doc_id") % 2 == 0, " deluxe").otherwise(""))).alias("t"))
-    return contains_first(d, "doc_id", "t", names.filter("part < 40"), "p_name", "part", ["part"]).select("doc_id", "part")
+    return contains_first(d, "doc_id", "t", names.filter("part < 40"), "p_name", "part", ["part"]).select("doc_id", F.when(c("t").isNotNull(), c("part")).alias("part"))
 
 
 @R.add(
