@@ -80,8 +80,9 @@ def extract_main(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
 
     text: blocks inside article or main (all blocks, if the page has no text there), less
     page furniture (menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
-    styles, comments: by element and by class, id or role words) and, outside article and
-    main, less the template text of hosts with min_pages pages or more; joined by two line
+    styles, comments: by element and by class, id or role words) and less the template text
+    of hosts with min_pages pages or more, inside article and main as outside; an article of
+    template text only is a copy of others and stays whole. Blocks are joined by two line
     ends. Empty if none, as for null and empty html. Rows with equal ids are separate pages.
     Null urls and urls without a host are one host. Only page_id, url and html are read.
     """
@@ -89,9 +90,11 @@ def extract_main(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     fixed = deduce_templates(parsed).filter(F.col("is_text") & (F.col("pages") >= min_pages))
     fixed = cut(fixed.groupBy("host").agg(F.collect_set("key").alias("fixed")))
     rows = parsed.withColumn("host", host()).join(small(fixed, 10_000), "host", "left")
-    slot = F.filter("blocks", lambda b: b["text"].isNotNull() & ~b["furniture"] & (b["main"] | ~F.coalesce(F.array_contains("fixed", b["key"]), F.lit(False))))
-    rows = rows.withColumn("slots", slot)
-    rows = rows.withColumn("slots", F.when(F.exists("slots", lambda b: b["main"]), F.filter("slots", lambda b: b["main"])).otherwise(F.col("slots")))
+    own = F.filter("blocks", lambda b: b["text"].isNotNull() & ~b["furniture"])
+    slot = F.filter("own", lambda b: ~F.coalesce(F.array_contains("fixed", b["key"]), F.lit(False)))
+    rows = rows.withColumn("own", own).withColumn("slots", slot)
+    in_main = lambda c: F.filter(c, lambda b: b["main"])
+    rows = rows.withColumn("slots", F.when(F.size(in_main("slots")) > 0, in_main("slots")).when(F.size(in_main("own")) > 0, in_main("own")).otherwise(F.col("slots")))
     text = F.array_join(F.transform("slots", lambda b: b["text"]), "\n\n")
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

@@ -125,6 +125,12 @@ def test_extraction(spark):
     assert html_extraction.extract_main(df.limit(0)).count() == 0
 
 
+def test_templates_decide_inside_articles(spark):
+    rows = [(i, f"http://h.org/{i}", f"<body><article><h1>Title {i}</h1><p>Try our new app today<p>Own text {i}<div>Call us now</div></article></body>") for i in range(6)]
+    got = html_extraction.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Title {i}\n\nOwn text {i}" for i in range(6)}
+
+
 def test_templates(spark):
     df = spark.createDataFrame([(i, f"http://h/{i}", f"<body><div>Same</div><ul>{'<li>x</li>' * (i + 1)}</ul><p>{i}</p></body>") for i in range(4)], "page_id long, url string, html string")
     rows = html_extraction.deduce_templates(html_extraction.parse_pages(df)).collect()
