@@ -2,9 +2,11 @@
 
 Tokens of a page are its block tags (by path) and its text blocks (by path and text).
 Tokens of a host's pages that share an occurrence vector (the same number of times on
-each page) form an equivalence class. A class is valid if its tokens come in one order
-on every page and in one gap of the root class, the tokens found once on every page;
-valid classes, nested in the root's gaps, are the host's template. What stays are the
+each page, zeros included) form an equivalence class, if a share of the host's pages that
+are not empty holds them. The root class is the one of most pages among those of tokens
+found once at most on a page. A class is valid if its tokens come in one order, and in one
+gap of the root class, on that share of the pages, so that odd pages and other layouts
+don't take a host's template away; valid classes are the host's template. What stays are the
 slots: text that is not template text, of which the slots of the article are the result.
 
 Vectors are compared by commutative sums over pages, so classes come from ordinary
@@ -26,6 +28,8 @@ from .html_blocks import blocks
 
 #: Text that a host repeats is template text only if the host has so many pages.
 MIN_PAGES = 5
+#: Part of a host's non-empty pages that holds a class in one order and gap; layouts of fewer pages have no template of their own.
+SUPPORT = 0.3
 PARSED = "page_id long, url string, blocks array<struct<key:long,text:string,main:boolean,furniture:boolean>>"
 
 
@@ -50,29 +54,33 @@ def host(url: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def deduce_templates(parsed: DataFrame) -> DataFrame:
-    """A row per template token: host, key, is_text, pages (of the host), class, gap (of the root class).
+def deduce_templates(parsed: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """A row per template token: host, key, is_text, pages (that hold it), class, gap (of the root class).
 
-    class 0 is the root class. gap counts the root tokens before a class.
+    class 0 is the root class. gap counts the root tokens before a class. Pages without a
+    token (null and empty html) don't count.
     """
     page = F.xxhash64("page_id", "url")
     seen = parsed.select(host().alias("host"), page.alias("page"), F.posexplode("blocks").alias("pos", "b"))
     tokens = seen.groupBy("host", "page", F.col("b.key").alias("key")).agg(F.count("*").alias("n"), F.min("pos").alias("pos"), F.max(F.col("b.text").isNotNull()).alias("is_text"))
     tokens = cut(tokens)
-    sizes = parsed.select(host().alias("host"), page.alias("page")).distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    sizes = parsed.filter(F.size("blocks") > 0).select(host().alias("host"), page.alias("page")).distinct().groupBy("host").agg((F.count("*") * support).alias("least"))
     part = lambda salt: F.sum(F.pmod(F.xxhash64("page", "n", F.lit(salt)), F.lit(1 << 31)))
-    vectors = tokens.groupBy("host", "key").agg(F.count("*").alias("df"), F.max("n").alias("most"), F.max("is_text").alias("is_text"), part(1).alias("v1"), part(2).alias("v2"))
-    vectors = vectors.join(small(sizes), "host").filter(F.col("df") == F.col("pages"))  # support: every page of the host
-    root = F.col("most") == 1
-    vectors = cut(vectors.select("host", "key", "is_text", "pages", F.when(root, 0).otherwise(F.xxhash64("v1", "v2")).cast("long").alias("class")))
+    vectors = tokens.groupBy("host", "key").agg(F.count("*").alias("pages"), F.max("n").alias("most"), F.max("is_text").alias("is_text"), part(1).alias("v1"), part(2).alias("v2"))
+    vectors = vectors.join(small(sizes), "host").filter(F.col("pages") >= F.col("least"))
+    vectors = cut(vectors.withColumn("vector", F.xxhash64("v1", "v2")).drop("v1", "v2"))
+    once = vectors.filter(F.col("most") == 1).groupBy("host", "vector").agg(F.max("pages").alias("df"), F.count("*").alias("size"))
+    root = once.groupBy("host").agg(F.max_by("vector", F.struct("df", "size", "vector")).alias("root"))
+    vectors = vectors.join(small(root), "host", "left").withColumn("class", F.when(F.col("vector") == F.col("root"), 0).otherwise(F.col("vector")).cast("long"))
+    vectors = cut(vectors.select("host", "key", "is_text", "pages", "least", "class"))
     known = tokens.join(small(vectors.select("host", "key", "class")), ["host", "key"])
     before = F.sum((F.col("class") == 0).cast("long")).over(Window.partitionBy("host", "page").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
     placed = known.withColumn("gap", F.coalesce(before, F.lit(0)))
     order = F.xxhash64(F.transform(F.sort_array(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]))
     on_page = placed.groupBy("host", "page", "class").agg(order.alias("order"), F.min("gap").alias("lo"), F.max("gap").alias("hi"))
-    nested = (F.min("order") == F.max("order")) & ((F.col("class") == 0) | (F.min("lo") == F.max("hi")))
-    valid = on_page.groupBy("host", "class").agg(nested.alias("ok"), F.min("lo").alias("gap")).filter("ok").select("host", "class", "gap")
-    return vectors.join(small(valid), ["host", "class"]).select("host", "key", "is_text", "pages", "class", "gap")
+    nested = on_page.filter((F.col("class") == 0) | (F.col("lo") == F.col("hi"))).groupBy("host", "class", "order", "lo").agg(F.count("*").alias("n"))
+    valid = nested.groupBy("host", "class").agg(F.max("n").alias("n"), F.max_by("lo", F.struct("n", "order", "lo")).alias("gap"))
+    return vectors.join(small(valid), ["host", "class"]).filter(F.col("n") >= F.col("least")).select("host", "key", "is_text", "pages", "class", "gap")
 
 
 def extract_main(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -81,7 +89,7 @@ def extract_main(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     text: blocks inside article or main (all blocks, if the page has no text there), less
     page furniture (menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
     styles, comments: by element and by class, id or role words) and less the template text
-    of hosts with min_pages pages or more, inside article and main as outside; an article of
+    that min_pages pages of a host or more hold, inside article and main as outside; an article of
     template text only is a copy of others and stays whole. Blocks are joined by two line
     ends. Empty if none, as for null and empty html. Rows with equal ids are separate pages.
     Null urls and urls without a host are one host. Only page_id, url and html are read.

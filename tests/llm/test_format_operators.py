@@ -131,6 +131,16 @@ def test_templates_decide_inside_articles(spark):
     assert {r.page_id: r.text for r in got} == {i: f"Title {i}\n\nOwn text {i}" for i in range(6)}
 
 
+def test_odd_pages_leave_the_template(spark):
+    """Empty, error and other pages of a host, and a second layout, don't take its template away."""
+    one = lambda i: f"<body><div>Always here</div><p>Own text {i}</p><div>Tail</div></body>"
+    two = lambda i: f"<body><p>Own text {i}</p><h2>Other layout</h2><div>Always here</div></body>"
+    rows = [(i, f"http://odd.org/{i}", one(i)) for i in range(9)] + [(9, "http://odd.org/9", ""), (10, "http://odd.org/10", None), (11, "http://odd.org/11", "<h1>Error 500</h1>")]
+    rows += [(20 + i, f"http://both.org/{i}", (one if i % 2 else two)(i)) for i in range(12)]
+    got = {r.page_id: r.text for r in html_extraction.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"Own text {i}" for i in range(9)}, 9: "", 10: "", 11: "Error 500", **{20 + i: f"Own text {i}" for i in range(12)}}
+
+
 def test_templates(spark):
     df = spark.createDataFrame([(i, f"http://h/{i}", f"<body><div>Same</div><ul>{'<li>x</li>' * (i + 1)}</ul><p>{i}</p></body>") for i in range(4)], "page_id long, url string, html string")
     rows = html_extraction.deduce_templates(html_extraction.parse_pages(df)).collect()
