@@ -78,17 +78,31 @@ def piece_ids(words: list[str], vocab: np.ndarray) -> np.ndarray:
     return out
 
 
-def forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """[end, word, language]: probability of each prefix, summed over its segmentations. p has a last row of zeros for -1."""
+def _epoch(end: int) -> int:
+    return max(end - 1, 0) // LONGEST
+
+
+def forward(ids: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of each prefix, summed over its segmentations, scaled: [end, word, language]; scales: [epoch, word, language].
+
+    Each LONGEST positions are an epoch, whose values are over the product of the scales up
+    to it; an epoch's scale is the last value of the epoch before, so that long words of
+    rare pieces don't underflow. p has a last row of zeros for -1.
+    """
     n = ids.shape[1] - 1
     alpha = np.zeros((n + 1, len(ids), p.shape[1]))
     alpha[0] = 1
+    scale = np.ones((_epoch(n) + 1, len(ids), p.shape[1]))
     for end in range(1, n + 1):
+        e = _epoch(end)
+        if e > _epoch(end - 1):
+            scale[e] = np.maximum(alpha[end - 1], 1e-300)
         for width in range(1, min(ids.shape[2], end) + 1):
             piece = ids[:, end, width - 1]
             if (piece >= 0).any():
-                alpha[end] += alpha[end - width] * p[piece]
-    return alpha
+                before = alpha[end - width]
+                alpha[end] += (before if _epoch(end - width) == e else before / scale[e]) * p[piece]
+    return alpha, scale
 
 
 def _by_length(words: list[str]) -> Iterator[np.ndarray]:
@@ -113,7 +127,8 @@ class Model:
         texts = [r for _, r in parts]
         out = np.empty((len(parts), len(self.langs)))
         for same in _by_length(texts):
-            out[same] = np.log(forward(piece_ids([texts[i] for i in same], self.vocab), self.p)[-1])
+            alpha, scale = forward(piece_ids([texts[i] for i in same], self.vocab), self.p)
+            out[same] = np.log(alpha[-1]) + np.log(scale).sum(0)
         total = np.zeros((len(words), len(self.langs)))
         np.add.at(total, [i for i, _ in parts], out)
         return total
@@ -134,7 +149,7 @@ def fit(counts: dict[str, dict[str, int]], vocab: np.ndarray, rounds: int = ROUN
     for _ in range(rounds):
         c = np.zeros((v + 2, len(langs)))
         for same, ids in groups:
-            alpha = forward(ids, p)
+            alpha, scale = forward(ids, p)
             size = len(alpha) - 1
             beta = np.zeros_like(alpha)
             beta[size] = n[owner[same]] / np.maximum(alpha[size], 1e-300)
@@ -143,6 +158,8 @@ def fit(counts: dict[str, dict[str, int]], vocab: np.ndarray, rounds: int = ROUN
                     piece = ids[:, end, width - 1]
                     if (piece >= 0).any():
                         step = p[piece] * beta[end]
+                        if _epoch(end - width) < _epoch(end):
+                            step = step / scale[_epoch(end)]
                         beta[end - width] += step
                         gain = alpha[end - width] * step
                         for g in range(len(langs)):

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,6 +205,21 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(model.log_p(["ab" * 40, "b"])[1], np.log(total("▁b")))
 
 
+def test_long_unknown_runs_do_not_underflow():
+    vocab = np.unique(np.array([language_id._prefix([x])[0, -1] for x in ("a", "b", "ab", "▁", "▁a")], np.uint64))
+    p = np.random.default_rng(1).random((len(vocab) + 2, 2)) * 1e-6
+    p[-2], p[-1] = language_id.UNKNOWN, 0
+    model = language_id.Model(vocab, p, ["x", "y"])
+    blank = p[np.searchsorted(vocab, language_id._prefix(["▁"])[0, -1])]
+    for n in (35, 36, 63, 300):
+        want = np.log(blank) + n * np.log(language_id.UNKNOWN)
+        assert np.allclose(model.log_p(["語" * n])[0], want)
+    score = list(language_id._identify(model, [])(iter([pa.RecordBatch.from_pydict({"text": ["ab " + "語" * 70]})])))[0].column("score")[0].as_py()
+    assert 0 <= score <= 1
+    fitted = language_id.fit({"x": {"ab" * 20: 3, "語" * 60: 1}, "y": {"b": 2}}, vocab)
+    assert np.isfinite(fitted.p).all() and np.isclose(fitted.p[: len(vocab)].sum(0), 1).all()
+
+
 def test_language_id(spark):
     rng = random.Random(5)
     mk = lambda syl, n: " ".join("".join(rng.choice(syl) for _ in range(rng.randint(1, 3))) for _ in range(n))
