@@ -57,13 +57,15 @@ def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int =
     return cut(clear.unionByName(exact))
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K, most_lost: float = MOST_LOST) -> DataFrame:
+def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K, most_lost: float = MOST_LOST, copies_only: bool = False) -> DataFrame:
     """docs with cross-site boilerplate lines taken out of text, plus n_lines and n_removed.
 
     A line counts as its text without spaces at either end; blank lines are never
     removed and count in n_lines. Every occurrence of a boilerplate line goes, except
     in documents that would lose more than most_lost of the characters of their lines:
-    those are copies as a whole, which near dedup deals with, and stay untouched.
+    those count as copies as a whole, which near dedup deals with, and stay untouched.
+    With copies_only, most_lost has no effect, and only documents without any other
+    non-blank line are such copies; all others lose their boilerplate lines.
     Null texts stay null with n_lines 0; empty texts stay empty with n_lines 1.
     Other columns pass through unchanged. doc_id must be unique; columns of docs
     named n_lines or n_removed are replaced. Rows with a null doc_id pass unchanged.
@@ -82,7 +84,8 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     chars = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     out = base.join(bad, base["doc_id"] == bad["__id"], "left").withColumn("__lines", parts)
     out = out.withColumn("__kept", F.when(F.col("__bad").isNull(), F.col("__lines")).otherwise(kept))
-    out = out.withColumn("__kept", F.when(F.col("__bad").isNotNull() & (chars(F.col("__kept")) < chars(F.col("__lines")) * (1 - most_lost)), F.col("__lines")).otherwise(F.col("__kept")))
+    copy = F.forall("__kept", lambda x: F.trim(x) == "") if copies_only else chars(F.col("__kept")) < chars(F.col("__lines")) * (1 - most_lost)
+    out = out.withColumn("__kept", F.when(F.col("__bad").isNotNull() & copy, F.col("__lines")).otherwise(F.col("__kept")))
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     text = F.when(F.size("__kept") == F.size("__lines"), F.col("text")).otherwise(F.array_join("__kept", "\n"))
     names = [text.alias("text") if c == "text" else F.col(c) for c in base.columns]

@@ -61,6 +61,17 @@ def test_line_dedup(spark):
     assert dedup_lines(df.limit(0), min_sites=6).count() == 0
 
 
+def test_pipeline_exempts_whole_copies_only(spark):
+    import corpus_pipeline
+
+    footer = "a long shared footer line, over half of every short page"
+    rows = [(i, f"own {i}\n{footer}", f"s{i}") for i in range(9)] + [(20, f"\n{footer} \n", "s1"), (21, None, "s2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text"))
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    whole = rows[9][1]
+    assert got == {**{i: (f"own {i}", 5) for i in range(9)}, 20: (whole, len(whole)), 21: (None, None)}
+
+
 # packing
 
 
