@@ -198,6 +198,27 @@ def test_decontamination(spark, lookup):
     assert contaminated(docs, items.limit(0), lookup_windows=lookup).count() == 0
 
 
+@pytest.mark.parametrize("lookup", [1_000_000, 0])
+def test_decontamination_of_short_items(spark, lookup):
+    items = [(1, "What is the capital of France?"), (2, "Add 3 and 4"), (3, "12 15 18 21 24 27 30 33 36 39"), (4, "which grey river crosses seven quiet northern towns"), (5, "Name the old painter whose blue horses hung above the narrow kitchen door"), (6, " ".join(map(str, range(100, 170))))]
+    docs = [
+        (10, "quiz: what is the capital of France? Paris"),
+        (11, "what is the capital of the moon"),
+        (12, "now add 7 and 9 please"),
+        (13, "row 12 15 18 21 24 27 30 33 36 39 end"),
+        (14, "row 12 15 18 21 24 27 30 33 36 40 end"),
+        (15, "x which grey river passes seven quiet northern towns y"),
+        (16, "which grey river crosses nothing at all"),
+        (17, "Name the old painter whose red horses hung above the narrow kitchen door"),
+        (18, "z name the old painter whose large blue horses hung above the narrow door"),
+        (20, "table " + " ".join(map(str, range(100, 175)))),
+        (19, "seven quiet northern towns, and " + "far away " * 30 + "which grey river crosses"),
+    ]
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), lookup_windows=lookup).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(10, 1), (12, 2), (13, 3), (15, 4), (17, 5), (18, 5), (20, 6)]
+    assert all(0 < r.share <= 1 for r in got)
+
+
 # language ID
 
 
