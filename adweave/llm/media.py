@@ -60,8 +60,8 @@ def padded(data: bytes) -> bytes:
 def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Frame and bin of each spectral peak, in order of frame, and the number of frames."""
     x = samples.astype(np.float64) - 128.0
-    if len(x) < FRAME:
-        x = np.concatenate([x, np.zeros(FRAME - len(x))])
+    short = FRAME - len(x) if len(x) < FRAME else -(len(x) - FRAME) % HOP
+    x = np.concatenate([x, np.zeros(short)])  # silence, so that the last frame covers the end
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     n = len(frames)
     at = np.empty((n, len(BANDS) - 1), dtype=np.int64)

@@ -93,6 +93,16 @@ def test_fingerprints_follow_a_tone():
     assert (again[0] == frames).all() and (again[1] == found).all()
 
 
+def test_fingerprints_cover_the_end():
+    rng = np.random.default_rng(2)
+    for n in (256 + 64, 256 + 128 * 3 + 64):
+        x = rng.integers(0, 256, n).astype(np.uint8)
+        y = np.concatenate([x[:-64], rng.integers(0, 256, 64).astype(np.uint8)])
+        a, b = media.fingerprint(x), media.fingerprint(y)
+        assert a[2] == -(-(n - 256) // 128) + 1
+        assert a[1].tolist() != b[1].tolist()
+
+
 # HTML extraction
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="no-sidebar"><nav><ul><li><a href="/a">Menu %d</a></li></ul></nav><header>Top</header>
