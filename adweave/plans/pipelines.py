@@ -11,7 +11,7 @@ from ..functions import text
 from ..operators.funnel import funnel
 from ..operators.joins import first_per
 from ..operators.merges import upsert
-from ..sources.files import html_links, read_csv, read_manifest, resolved, sitemap_locations
+from ..sources.files import html_links, read_csv, read_manifest, resolved, sitemap_locations, write_manifest
 from ..streaming.base import drained, read_stream, shared_folder
 from ..streaming.stateful import host_policy, throttle
 from .base import Registry, Tables
@@ -119,10 +119,10 @@ def csv_round_trip(t: Tables) -> DataFrame:
 
 @R.add("a8_manifest", "SELECT 2 AS version, p_partkey AS id, p_brand AS category, p_size % 2 = 0 AS is_match FROM part WHERE p_partkey % 20 = 0")
 def manifest_round_trip(t: Tables) -> DataFrame:
-    """A JSON document with nested cases, written and read again."""
+    """JSON documents with nested cases, one for each thousand ids, written and read again."""
     at = f"{shared_folder(t.spark)}/manifest-{uuid.uuid4().hex}"
     cases = t.part.filter("p_partkey % 20 = 0").select(F.struct(c("p_partkey").alias("id"), c("p_brand").alias("category"), F.struct((c("p_size") % 2 == 0).alias("is_match")).alias("expected")).alias("x"))
-    cases.agg(F.lit(2).alias("version"), F.collect_list("x").alias("cases")).write.json(at)  # one document of the fixture's size
+    write_manifest(cases, at, F.floor(c("x.id") / 1000))
     return read_manifest(t.spark, at, "id long, category string, expected struct<is_match: boolean>").select("version", "id", "category", "expected.is_match")
 
 

@@ -23,8 +23,14 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return out.filter(F.concat(*[F.col(c) for c in out.columns]) != "")
 
 
+def write_manifest(cases: DataFrame, path: str, group: Column, version: int = 2) -> None:
+    """Cases (struct column x) as a folder of JSON documents, one file for each value of group, for read_manifest."""
+    docs = cases.groupBy(group.alias("group")).agg(F.lit(version).alias("version"), F.collect_list("x").alias("cases")).drop("group")
+    docs.write.option("maxRecordsPerFile", 1).json(path)  # a multi-line reader takes one document a file
+
+
 def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The cases of a JSON document with a list called cases."""
+    """The cases of a JSON document with a list called cases, or of a folder of them."""
     doc = spark.read.schema(f"version int, cases array<struct<{schema}>>").option("multiLine", True).json(path)
     return doc.select("version", F.explode("cases").alias("case")).select("version", "case.*")
 

@@ -163,3 +163,15 @@ def test_next_run(spark, status, want):
     """2024-01-10 is a Wednesday; its time has passed."""
     got = one(spark, text.next_run(F.lit("2024-01-10").cast("date"), F.lit(status), F.lit(2), F.lit(True)))
     assert str(got) == want
+
+
+def test_manifest_documents(spark, tmp_path):
+    """Cases of several groups are several documents, none of which holds all, and all are read again."""
+    from adweave.sources.files import write_manifest
+
+    at = str(tmp_path / "manifest")
+    write_manifest(spark.range(2500).select(F.struct("id").alias("x")), at, F.floor(F.col("x.id") / 1000))
+    sizes = [len(json.loads(f.read_text())["cases"]) for f in (tmp_path / "manifest").glob("*.json")]
+    assert sorted(sizes) == [500, 1000, 1000]
+    got = read_manifest(spark, at, "id long").collect()
+    assert sorted(r.id for r in got) == list(range(2500)) and {r.version for r in got} == {2}
