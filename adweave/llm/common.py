@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,18 +15,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where that is unset (local tests) a temporary folder is made and set.
-    """
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or the context's checkpoint folder. Raises if neither is set."""
     sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir")
-    if at:
+    if at := sc.getConf().get("spark.checkpoint.dir"):
         if not sc._jsc.sc().getCheckpointDir().isDefined():
             sc.setCheckpointDir(at)
         return at
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="adweave-"))
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -34,7 +30,32 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df as a Parquet table in the shared folder and return the table read back."""
     path = f"{shared_dir(df.sparkSession)}/adweave-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._adweave_path = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the tables of stored frames that nothing reads any more."""
+    for f in frames:
+        jvm = f.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f._adweave_path)
+        path.getFileSystem(f.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy() -> None:
+    """Collect the driver's garbage: Spark deletes the shuffle files and checkpoints of frames only after that."""
+    gc.collect()
+    give_back()
+    if (spark := SparkSession.getActiveSession()) is not None:
+        spark.sparkContext._jvm.System.gc()
+
+
+def give_back() -> None:
+    """Give memory that the process no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a libc without malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -72,9 +93,7 @@ def lean(run: Callable) -> Callable:
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # a libc without malloc_trim
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return wrapped
 

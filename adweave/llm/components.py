@@ -5,24 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import forget, small, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and comp, the smallest node reachable, for every node of edges (columns a, b).
+    """node and comp, the smallest node reachable, for every node of edges (columns a, b), stored.
 
     Each round takes the least label among a node and its neighbours, then the label
     of that label; rounds are about the logarithm of the longest path. Neighbours are
-    aggregated before the shuffle, so a node with many edges is no hot task.
+    aggregated before the shuffle, so a node with many edges is no hot task. Labels of
+    few nodes are broadcast. Loops and repeated edges don't count; no edges give no rows.
     """
-    e = cut(edges.select("a", "b").union(edges.select("b", "a")).toDF("u", "v").filter("u <> v").distinct())
-    label = cut(e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("comp")))
+    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("u", "v")
+    e = stored(both.filter("u <> v").distinct(), "edges")
+    label = stored(e.groupBy(F.col("u").alias("node")).agg(F.least("node", F.min("v")).alias("comp")), "labels")
     while True:
-        near = e.join(label.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("comp").alias("m"))
-        lower = label.join(near.withColumnRenamed("u", "node"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        up = label.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        new = cut(lower.join(up, "comp", "left").select("node", "old", F.least("comp", "top").alias("comp")))
-        moved = new.filter("old <> comp").limit(1).count()
-        label = new.select("node", "comp")
+        known = small(label.select("node", "comp"))
+        own = label.select("node", "comp", F.col("comp").alias("old"))
+        near = e.join(known.withColumnRenamed("node", "v"), "v").select(F.col("u").alias("node"), "comp", F.lit(None).cast("long").alias("old"))
+        lower = own.union(near).groupBy("node").agg(F.min("comp").alias("comp"), F.max("old").alias("old"))
+        up = known.toDF("comp", "top")
+        new = stored(lower.join(up, "comp", "left").select("node", F.least("comp", "top").alias("comp"), "old"), "labels")
+        moved = not new.filter("old <> comp").isEmpty()
+        forget(label)
+        label = new
         if not moved:
-            return label
+            out = stored(label.select("node", "comp"), "labels")
+            forget(e, label)
+            return out

@@ -4,14 +4,17 @@ Two random permutations of a universe of D places: the first places a shingle, t
 second, shifted circularly by 0, 1, .. K-1, gives the K signature coordinates. Bands
 of coordinates propose pairs; exact Jaccard similarity on full shingle sets decides.
 
-Texts with equal sets collapse into one class first. In each of a few rounds every
-class is tried with one leader of its buckets from outside its component, so that a
-large group costs about its size; the first leaders are those with most bucket mates,
-the centres of large groups, the later ones the first in a random order, of any group. For what is then
-still in one bucket but in different components, an exact prefix filter on the rarest
-shingles proposes every pair that can still be a link; what a component already joins
-needs no test. So no link between components is lost, and near copies that differ too
-much from each other are not paired in bulk.
+Texts with equal sets collapse into one class first. Every class is tried with one
+leader of its buckets, the leaders being those with most bucket mates, the centres of
+large groups, so that a large group costs about its size. For what is then still in one
+bucket but in different components, an exact prefix filter on the rarest shingles
+proposes every pair that can still be a link; what a component already joins needs no
+test. Where these pairs are many, rounds with one leader of a class's index buckets, in a
+random order, come first and halve the components about each time, until few pairs are
+left. Links become links between components before components are computed. So no link
+between components is lost, and large groups are not paired in bulk.
+
+Tables that the next step no longer needs are deleted.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, lean, read_table, small, stored, text_chunks
+from .common import forget, lean, read_table, small, stored, text_chunks, tidy
 from .components import components
 from .hashing import PLACE, joined, mix, windows, words
 
@@ -32,8 +35,8 @@ SHINGLE = 5
 #: A pair at the similarity of 0.75 shares no band with a chance of (1 - 0.75 ** ROWS) ** BANDS, 2e-5.
 BANDS, ROWS = 40, 5
 UNIVERSE_BITS = 20
-#: Rounds with leaders.
-ROUNDS = 3
+#: All pairs of what is left in the prefix index are tested once they are no more than so many times its rows, or when a round of leaders links less than so much of the classes.
+PAIRS, GAIN = 2, 0.001
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
 
@@ -114,63 +117,107 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def bucket_members(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, rep, n, left and order of each class in a bucket that others share, stored. order: the class's bucket mates."""
+    reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    rows = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
+    shared = stored(rows.groupBy("key").agg(F.count("*").alias("mates")).filter("mates > 1"), "shared")  # a plain table, so that hot keys can be split
+    mates = F.sum("mates").over(Window.partitionBy("rep"))  # BANDS rows at most
+    out = stored(rows.join(shared, "key").select("key", "rep", "n", F.col("n").alias("left"), mates.alias("order")), "members")
+    forget(shared)
+    return out
+
+
 def set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id and shingles of the documents whose doc_id is in ids, stored."""
     return stored(_texts(docs).join(small(ids), "doc_id", "left_semi").mapInArrow(lean(_sets), SETS), "sets")
 
 
 def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets have the similarity asked for."""
+    """The pairs (stored: a, b, ca, cb) whose full sets have the similarity asked for, stored in place of them."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return cut(pairs.join(left, "a").join(right, "b").filter(100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
+    like = 100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both)
+    out = stored(pairs.join(left, "a").join(right, "b").filter(like).select("a", "b", "ca", "cb"), "links")
+    forget(pairs)
+    return out
 
 
-def prefix_pairs(sets: DataFrame, comp: DataFrame) -> DataFrame:
-    """Every pair (a, b) of different components (rep, comp) that can be a link, by an exact prefix filter.
+def prefix_index(sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """key, rep, n and left of the exact prefix filter for the classes reps (rep), stored.
 
     In one order of all shingles, here the rarest first, the first common shingle of a
-    link leaves each set with the overlap that the similarity needs, or more. In a bucket
-    of one shingle, members of its largest component are paired with the others only.
+    link leaves each set with the overlap that the similarity needs, or more: a shingle
+    is in the index where so much of the set is left, itself included.
     """
-    token = sets.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")).join(comp, "rep")
-    often = token.groupBy("shingle").agg(F.count("*").alias("freq")).filter("freq > 1")
-    token = token.join(often, "shingle")
+    token = sets.select(F.col("doc_id").alias("rep"), F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("key")).join(small(reps), "rep", "left_semi")
+    often = stored(token.groupBy("key").agg(F.count("*").alias("freq")).filter("freq > 1"), "frequent")
     doc = Window.partitionBy("rep")
-    place = F.row_number().over(doc.orderBy("freq", "shingle")) - 1 + F.col("n") - F.count("*").over(doc)  # those of frequency 1 come first
+    place = F.row_number().over(doc.orderBy("freq", "key")) - 1 + F.col("n") - F.count("*").over(doc)  # those of frequency 1 come first
     most = F.col("n") - F.ceil(F.col("n") * PERCENT / 100)
-    index = cut(token.withColumn("left", (F.col("n") - place).cast("long")).filter(F.col("n") - F.col("left") <= most).select("shingle", "rep", "comp", F.col("n").cast("long").alias("n"), "left"))
-    sizes = index.groupBy("shingle", "comp").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy("shingle").agg(F.max_by("comp", "c").alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("shingle", "main")
-    index = index.join(largest, "shingle")
-    x = index.filter("comp <> main").toDF("shingle", "a", "ca", "na", "la", "ma")
-    y = index.toDF("shingle", "b", "cb", "nb", "lb", "mb")
-    need = PERCENT * (F.col("na") + F.col("nb"))  # overlap >= PERCENT / (100 + PERCENT) of both sizes
-    can = (F.col("ca") != F.col("cb")) & ((100 + PERCENT) * F.col("la") >= need) & ((100 + PERCENT) * F.col("lb") >= need)
-    return x.join(y, "shingle").filter(can).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    out = stored(token.join(often, "key").withColumn("left", (F.col("n") - place).cast("long")).filter(F.col("n") - F.col("left") <= most).select("key", "rep", "n", "left"), "index")
+    forget(often)
+    return out
 
 
-def with_components(ranked: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """ranked with the component of each class, itself where it has no links."""
-    if comp is None:
-        return ranked.withColumn("comp", F.col("rep"))
-    return ranked.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+def _can(x: str, y: str):
+    """Whether two members of a bucket, by size (n) and what is left of them, can be a link: overlap >= PERCENT / (100 + PERCENT) of both sizes."""
+    need = PERCENT * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+    return ((100 + PERCENT) * F.col(f"{x}.left") >= need) & ((100 + PERCENT) * F.col(f"{y}.left") >= need)
 
 
 def leader_pairs(where: DataFrame) -> DataFrame:
-    """A pair (a, b) for each class a of a bucket with several components: b is the leader of such a bucket from another component.
+    """A pair (a, b) for classes a in buckets with several components (ca, cb): b is the leader of such a bucket from another component; stored.
 
-    where: key, rep, order, comp. A bucket's leader is its class of the highest order, and
-    the members of the leader's component look to the highest of the others.
+    where: key, rep, n, left, order, comp. A bucket's leader is its class of the highest
+    order, and the members of the leader's component look to the highest of the others.
+    Of the leaders that a class can be linked with, it is paired with the highest.
     """
-    rank = F.struct("order", (-F.col("rep")).alias("minus"), "comp")
-    where = cut(where.withColumn("rank", rank))
-    first = where.groupBy("key").agg(F.max("rank").alias("first"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", "first")
-    mixed = cut(where.join(first, "key"))
-    second = mixed.filter(F.col("comp") != F.col("first.comp")).groupBy("key").agg(F.max("rank").alias("second"))
-    sight = mixed.join(second, "key").withColumn("to", F.when(F.col("comp") == F.col("first.comp"), F.col("second")).otherwise(F.col("first")))
-    return sight.groupBy("rep").agg(F.max("to").alias("to")).select(F.col("rep").alias("a"), (-F.col("to.minus")).alias("b"))
+    top = where.groupBy("key", "comp").agg(F.max(F.struct("order", "rep", "n", "left")).alias("top"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("top")))
+    two = top.withColumn("place", place).filter("place <= 2").groupBy("key").agg(*[F.max(F.when(F.col("place") == i, F.struct("top.*", "comp"))).alias(f"l{i}") for i in (1, 2)])
+    two = stored(two.filter("l2 is not null"), "leaders")
+    sight = where.join(two, "key").select(F.struct("rep", "n", "left", "comp").alias("x"), F.when(F.col("comp") == F.col("l1.comp"), F.col("l2")).otherwise(F.col("l1")).alias("y"))
+    best = sight.filter(_can("x", "y")).groupBy(F.col("x.rep").alias("a"), F.col("x.comp").alias("ca")).agg(F.max("y").alias("y"))
+    out = stored(best.select("a", F.col("y.rep").alias("b"), "ca", F.col("y.comp").alias("cb")), "pairs")
+    forget(two)
+    return out
+
+
+def bucket_pairs(where: DataFrame) -> DataFrame:
+    """Every pair (a, b) of different components (ca, cb) in one bucket that can be a link, stored. Members of a bucket's largest component are paired with the others only."""
+    sizes = where.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    main = stored(sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("key", "main"), "main")
+    rows = where.join(main, "key").select("key", "main", F.struct("rep", "n", "left", "comp").alias("m"))
+    x, y = rows.filter("m.comp <> main").select("key", F.col("m").alias("x")), rows.select("key", F.col("m").alias("y"))
+    pairs = x.join(y, "key").filter((F.col("x.comp") != F.col("y.comp")) & _can("x", "y"))
+    swap = F.col("x.rep") > F.col("y.rep")
+    a, b = F.when(swap, F.col("y")).otherwise(F.col("x")), F.when(swap, F.col("x")).otherwise(F.col("y"))
+    out = stored(pairs.select(a["rep"].alias("a"), b["rep"].alias("b"), a["comp"].alias("ca"), b["comp"].alias("cb")).distinct(), "pairs")
+    forget(main)
+    return out
+
+
+def merged(label: DataFrame, found: DataFrame) -> DataFrame:
+    """label (rep, comp) after the links found: components of components, stored."""
+    top = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    out = stored(label.join(small(top).toDF("comp", "top"), "comp", "left").select("rep", F.coalesce("top", "comp").alias("comp")), "components")
+    forget(found, label, top)
+    tidy()
+    return out
+
+
+def placed(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """rows (rep, ..) with comp."""
+    return rows.join(small(label), "rep")
+
+
+def open_pairs(where: DataFrame) -> int:
+    """Pairs of different components in the buckets, a pair once in each bucket."""
+    c, m = F.col("c"), F.sum("c")
+    per = where.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(((m * m - F.sum(c * c)) / 2).alias("pairs"))
+    return int(per.agg(F.sum("pairs")).first()[0] or 0)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -184,38 +231,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     signed = stored(_texts(docs).mapInArrow(lean(_sign), SIGNED), "signed")
     full = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = cut(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    rows = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("mates")).filter("mates > 1")
-    members = cut(rows.join(shared, "key"))
-
-    sets = set_table(docs, members.select(F.col("rep").alias("doc_id")).distinct())
-    degree = members.groupBy("rep").agg(F.sum("mates").alias("degree"))
-    ranked = cut(members.join(degree, "rep").select("key", "rep", "degree"))
-
-    comp = tried = links = None
-    for i in range(ROUNDS):
-        order = F.col("degree") if i == 0 else F.xxhash64("rep", F.lit(i))
-        fresh = leader_pairs(with_components(ranked, comp).withColumn("order", order))
-        pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-        fresh = cut((fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti")).select(*pair).distinct())
-        found = verified(sets, fresh)
-        tried = fresh if tried is None else cut(tried.unionByName(fresh))
-        links = found if links is None else cut(links.unionByName(found))
-        comp = components(links)
-
-    where = with_components(ranked, comp)
-    mixed = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    open_ = cut(where.join(mixed, "key", "left_semi").select("rep", "comp").distinct())
-    rest = prefix_pairs(sets, open_)
-    rest = cut(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
-    found = verified(sets, rest)
-    if not found.isEmpty():
-        comp = components(found if links is None else links.unionByName(found))
-    comp = classes.select(F.col("rep").alias("node"), F.lit(None).cast("long").alias("comp")).limit(0) if comp is None else comp
-
-    touched = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").filter("copies > 1 or comp is not null")
+    classes = stored(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    members = bucket_members(full, classes)
+    label = stored(members.select("rep").distinct().withColumn("comp", F.col("rep")), "components")
+    sets = set_table(docs, label.select(F.col("rep").alias("doc_id")))
+    label = merged(label, verified(sets, leader_pairs(members.withColumn("comp", F.col("rep")))))
+
+    sizes = placed(members, label).groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    mixed = stored(sizes.filter("lo <> hi").select("key"), "mixed")
+    index = prefix_index(sets, members.join(mixed, "key", "left_semi").select("rep").distinct())
+    forget(members, mixed)
+    n, i, gain = index.count(), 0, 1.0
+    while (left := open_pairs(placed(index, label))) > 0:
+        i += 1
+        where = placed(index, label)
+        few = left <= PAIRS * n or gain < GAIN
+        found = verified(sets, bucket_pairs(where) if few else leader_pairs(where.withColumn("order", F.xxhash64("rep", F.lit(i)))))
+        gain = found.count() * 1.0 / max(label.count(), 1)
+        label = merged(label, found)
+        if few:
+            break
+    forget(sets, index)
+
+    comp = label.filter("rep <> comp").union(label.filter("rep <> comp").select("comp", "comp")).distinct()
+    touched = classes.join(small(comp), "rep", "left").filter("copies > 1 or comp is not null")
     touched = touched.select("s1", "s2", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
     out = signed.drop("bands").join(touched, ["s1", "s2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))

@@ -12,7 +12,7 @@ from adweave.llm import gru, language_id, packing, toxicity
 from adweave.llm.components import components
 from adweave.llm.decontamination import contaminated
 from adweave.llm.line_dedup import dedup_lines
-from adweave.llm.near_dedup import near_duplicates, prefix_pairs, shingle_sets
+from adweave.llm.near_dedup import bucket_pairs, leader_pairs, near_duplicates, open_pairs, prefix_index, shingle_sets
 
 LONG = "lorem ipsum dolor " * 4000
 
@@ -163,8 +163,27 @@ def test_prefix_pairs_lose_no_link(spark):
     links = {(i, j) for i, j in itertools.combinations(range(40), 2) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and i % 3 != j % 3}
     table = spark.createDataFrame([(i, [x - 2**63 for x in s]) for i, s in enumerate(sets)], "doc_id long, shingles array<long>")
     comp = spark.createDataFrame([(i, i % 3) for i in range(40)], "rep long, comp long")
-    got = {(r.a, r.b) for r in prefix_pairs(table, comp).collect()}
-    assert links and links <= got
+    where = prefix_index(table, comp.select("rep")).join(comp, "rep")
+    rows = bucket_pairs(where).collect()
+    got = {(r.a, r.b) for r in rows}
+    assert links and links <= got and len(got) == len(rows) <= open_pairs(where)
+    assert all((r.ca, r.cb) == (r.a % 3, r.b % 3) and r.ca != r.cb for r in rows)
+    led = leader_pairs(where.withColumn("order", F.lit(0))).collect()
+    assert len(led) == len({r.a for r in led}) and all(r.ca != r.cb and (min(r.a, r.b), max(r.a, r.b)) in got for r in led)
+
+
+def test_near_dedup_of_a_large_varied_group(spark):
+    """Copies of one text that differ from one another as much as from it."""
+    rng = random.Random(7)
+    base = words(rng, 120).split()
+    rows = []
+    for i in range(150):
+        t = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            t[rng.randrange(120)] = words(rng, 1)
+        rows.append((i * 3 + 1, " ".join(t)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == by_hand(rows)
 
 
 def test_components(spark):
