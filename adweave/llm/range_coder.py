@@ -5,8 +5,11 @@ of every block at a time. A token is coded as up to three decisions: is it the b
 guess (of order 2, or of order 1 where order 2 has none), is it order 1's other guess,
 and else which id it is by the order-0 counts of the segment. The probability of the
 first decision mixes what the order-2 and order-1 states promise, by weights that
-descend the coding error; all states are counters that adapt within the block.
-Arithmetic is in integers, so any machine decodes what another one encoded.
+descend the coding error; all these states are counters that adapt within the block.
+Order 0 is no part of the mix: it is the segment's counts, written with it, as an
+adaptive distribution over a whole vocabulary would not settle within a block.
+Ids over 65,534 are coded by order 0 only. Arithmetic is in integers, so any machine
+decodes what another one encoded.
 """
 
 from __future__ import annotations
@@ -18,77 +21,91 @@ import numpy as np
 U = np.uint64
 V = np.uint32
 #: Entries of a block's order-1 and order-2 tables (powers of two), highest confidence, bits of the order-0 total.
-TABLE, MOST, TOTAL = 2_048, 7, 24
+TABLE, MOST, TOTAL = 1_024, 7, 20
 _BITS = TABLE.bit_length() - 1
 _ONE, _HALF = 1 << 16, 1 << 15
 _NONE = 0xFFFF
-#: The range stays over 2 ** 48 between tokens; a token takes 44 bits of it at most. Output is in units of 16 bits.
-_UNIT, _BOTTOM, _MASK = U(48), U(1 << 48), U((1 << 48) - 1)
+#: A block's range is 2 ** 63 at most and 2 ** 47 at least between tokens; a token takes 40 bits of it at most. Output is in units of 16 bits.
+_UNIT, _BOTTOM, _MASK = U(47), U(1 << 47), U((1 << 47) - 1)
+_FULL = U(1 << 63)
 
 
 class _States:
-    """The adaptive states of a number of blocks, shared by coding and decoding."""
+    """The adaptive states of a number of blocks, shared by coding and decoding. Row 0 is of order 1, row 1 of order 2."""
 
     def __init__(self, lanes: int) -> None:
         lane = np.arange(lanes, dtype=np.int64)
-        self.lane_t, self.lane_8, self.lane_16 = lane * TABLE, lane * 8, lane * 16
-        self.t1 = np.zeros(lanes * TABLE, V)
-        self.t2 = np.zeros(lanes * TABLE, V)
+        # entries of one slot are side by side, so that what many blocks look up at a time stays in the cache
+        self.slots, self.lanes = np.stack([lane, lane + lanes * TABLE]), lanes
+        self.table = np.full(2 * lanes * TABLE, _NONE, V)
         guess = np.array([1, 8, 16, 24, 32, 40, 48, 52], np.int32) * np.int32(_ONE // 64)
-        self.q2 = np.tile(guess, lanes)
-        self.q1 = np.tile(np.concatenate([guess // 16 + np.int32(64), guess]), lanes)
-        self.qb = np.tile(guess // 2, lanes)
+        self.counters = np.stack([lane * 24, lane * 24 + 16])
+        self.q = np.tile(np.concatenate([guess // 16 + np.int32(64), guess, guess]), lanes)
+        self.others, self.qb = lane * 8, np.tile(guess // 2, lanes)
         self.w = np.full(lanes, _HALF // 2, np.int32)
         self.prev = np.zeros(lanes, V)
         self.prev_hash = np.zeros(lanes, V)
+        self.h = np.empty((2, lanes), V)
 
     def guess(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The best guess, order 1's guess (_NONE: none) and the probability of the best one, in 65536ths."""
-        h = self.prev * V(2654435761)
-        self.i1 = self.lane_t + (h >> V(32 - _BITS))
-        self.i2 = self.lane_t + (((h ^ self.prev_hash) * V(3266489917)) >> V(32 - _BITS))
-        self.next_hash = self.prev * V(2246822519) + V(374761393)
-        self.e1, self.e2 = self.t1.take(self.i1), self.t2.take(self.i2)
-        self.c1, self.c2 = self.e1 >> V(16), self.e2 >> V(16)
-        p1 = np.where(self.c1 > 0, self.e1 & V(_NONE), V(_NONE))
-        best = np.where(self.c2 > 0, self.e2 & V(_NONE), p1)
-        self.k2 = self.lane_8 + self.c2
-        self.k1 = self.lane_16 + (self.c1 + V(8) * (p1 == best))
-        self.s2, self.s1 = self.q2.take(self.k2), self.q1.take(self.k1)
-        p = (self.w * self.s2 + (_HALF - self.w) * self.s1) >> 15
-        p = np.minimum(np.maximum(p, 64), _ONE - 64)
-        p[best == _NONE] = 64
+        h = self.h
+        np.multiply(self.prev, V(2654435761), out=h[0])
+        np.bitwise_xor(h[0], self.prev_hash, out=h[1])
+        h[1] *= V(3266489917)
+        self.at = (h >> V(32 - _BITS)) * np.int64(self.lanes) + self.slots
+        self.e = self.table.take(self.at)
+        self.c = self.e >> V(16)
+        self.v = self.e & V(_NONE)
+        p1, p2 = self.v
+        best = np.where(p2 != V(_NONE), p2, p1)
+        self.k = self.counters + self.c
+        self.k[0] += (p1 == best) * 8
+        self.s = self.q.take(self.k)
+        self.diff = self.s[1] - self.s[0]
+        p = self.w * self.diff
+        p >>= 15
+        p += self.s[0]
+        np.maximum(p, 64, out=p)
+        np.minimum(p, _ONE - 64, out=p)
         self.p = p
         return best, p1, p
 
     def other(self, at: np.ndarray, p1: np.ndarray, best: np.ndarray) -> np.ndarray:
-        """Probability of order 1's guess in the blocks at, where the best guess is wrong."""
-        self.kb = self.lane_8[at] + self.c1[at]
-        own = p1[at]
-        p = np.minimum(np.maximum(self.qb.take(self.kb), 64), _ONE - 64)
-        p[(own == best[at]) | (own == _NONE)] = 64
+        """Probability of order 1's guess p1 in the blocks at, where the best guess is wrong."""
+        self.kb = self.others[at] + self.c[0][at]
+        self.sb = self.qb.take(self.kb)
+        p = np.minimum(np.maximum(self.sb, 64), _ONE - 64)
+        p[(p1 == best[at]) | (p1 == V(_NONE))] = 64
         return p
 
     def learn(self, token: np.ndarray, hit: np.ndarray, second: np.ndarray) -> None:
         goal = hit.astype(np.int32) << 16
-        self.q2[self.k2] = self.s2 + ((goal - self.s2) >> 4)
-        self.q1[self.k1] = self.s1 + ((goal - self.s1) >> 4)
-        step = (((goal - self.p) >> 2) * ((self.s2 - self.s1) >> 2)) >> 15
-        self.w = np.minimum(np.maximum(self.w + step, 512), _HALF - 512)
-        q = self.qb.take(self.kb)
-        self.qb[self.kb] = q + (((second.astype(np.int32) << 16) - q) >> 4)
-        fresh = token | V(1 << 16)
-        for table, i, e, c in ((self.t1, self.i1, self.e1, self.c1), (self.t2, self.i2, self.e2, self.c2)):
-            held = e & V(_NONE)
-            conf = np.where(held == token, np.minimum(c + V(1), V(MOST)), c >> V(1))
-            table[i] = np.where((conf == 0) | (c == 0), fresh, held | (conf << V(16)))
-        self.prev_hash, self.prev = self.next_hash, token
+        error = goal - self.p
+        self.s += (goal - self.s) >> 4
+        self.q[self.k] = self.s
+        error >>= 2
+        self.diff >>= 2
+        error *= self.diff
+        error >>= 15
+        self.w += error
+        np.maximum(self.w, 512, out=self.w)
+        np.minimum(self.w, _HALF - 512, out=self.w)
+        self.qb[self.kb] = self.sb + (((second.astype(np.int32) << 16) - self.sb) >> 4)
+        fresh = (token & V(_NONE)) | V(1 << 16)
+        c = self.c
+        other = np.where(c < 2, fresh, self.v | ((c >> V(1)) << V(16)))
+        self.table[self.at] = np.where(self.v == token, self.e + ((c < MOST).astype(V) << V(16)), other)
+        self.prev_hash = self.prev * V(2246822519) + V(374761393)
+        self.prev = token
 
 
 def order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids in ascending order and their counts, scaled to a sum of 2 ** TOTAL, one at least."""
+    """Distinct ids in ascending order and their counts, scaled to a sum of 2 ** TOTAL, one at least. Raises for more distinct ids than that."""
     symbols, counts = np.unique(ids, return_counts=True)
     total = 1 << TOTAL
+    if len(symbols) > total // 2:
+        raise ValueError(f"{len(symbols)} distinct ids in a segment; at most {total // 2} can be coded")
     scaled = 1 + (counts * (total - len(symbols)) // counts.sum())
     scaled[np.argmax(scaled)] += total - scaled.sum()
     return symbols.astype(np.uint32), scaled.astype(np.uint32)
@@ -108,52 +125,51 @@ def encode(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, list[tu
     x[: len(ids)] = ids
     x[len(ids) :] = symbols[0]
     x = np.ascontiguousarray(x.reshape(lanes, block).T)
-    low, span = np.zeros(lanes, U), np.full(lanes, ~U(0))
-    out = np.empty((lanes, 3 * block + 64), np.uint16)  # a token takes 44 bits at most
-    n = np.zeros(lanes, np.int64)
+    low, span = np.zeros(lanes, U), np.full(lanes, _FULL)
+    width = 3 * block + 64
+    out = np.zeros(lanes * width, V)  # units with the carry that they pass on, as bit 16
+    first = np.arange(lanes) * width
+    n = first.copy()
     st = _States(lanes)
-
-    def emit() -> None:
-        end = low + span
-        i = np.flatnonzero((((low ^ end) >> _UNIT) == 0) | (span < _BOTTOM))
-        while len(i):
-            lo, sp = low[i], span[i]
-            sp = np.where(((lo ^ (lo + sp)) >> _UNIT) == 0, sp, (~lo + U(1)) & _MASK)
-            out[i, n[i]] = (lo >> _UNIT).astype(np.uint16)
-            n[i] += 1
-            lo, sp = lo << U(16), sp << U(16)
-            low[i], span[i] = lo, sp
-            i = i[(((lo ^ (lo + sp)) >> _UNIT) == 0) | (sp < _BOTTOM)]
-
     for t in range(block):
         token = x[t]
         best, p1, p = st.guess()
         bound = (span >> U(16)) * p.astype(U)
         hit = token == best
-        low += np.where(hit, U(0), bound)
-        span = np.where(hit, bound, span - bound)
+        span -= bound
         at = np.flatnonzero(~hit)
+        lo, sp, own, p1 = low[at] + bound[at], span[at], token[at], p1[at]
+        np.copyto(span, bound, where=hit)
         pb = st.other(at, p1, best)
-        lo, sp, own = low[at], span[at], token[at]
         bound = (sp >> U(16)) * pb.astype(U)
-        second = own == p1[at]
-        lo += np.where(second, U(0), bound)
-        sp = np.where(second, bound, sp - bound)
+        second = own == p1
         last = np.flatnonzero(~second)
         r = rank[own[last]]
-        step = sp[last] >> U(TOTAL)
-        lo[last] += step * cum[r]
+        step = (sp[last] - bound[last]) >> U(TOTAL)
+        lo[last] += bound[last] + step * cum[r]
+        sp = bound
         sp[last] = step * freq[r]
         low[at], span[at] = lo, sp
-        emit()
+        i = np.flatnonzero(span < _BOTTOM)
+        while len(i):
+            lo, sp, to = low[i], span[i] << U(16), n[i]
+            out[to] = lo >> _UNIT
+            n[i] = to + 1
+            low[i], span[i] = (lo & _MASK) << U(16), sp
+            i = i[sp < _BOTTOM]
         st.learn(token, hit, second)
-    rows = np.arange(lanes)
-    for k in range(4):
-        out[rows, n + k] = (low >> U(48 - 16 * k)).astype(np.uint16)
+    for _ in range(4):
+        out[n] = low >> _UNIT
+        n += 1
+        low = (low & _MASK) << U(16)
+    out, n = out.reshape(lanes, width), n - first
+    for k in range(int(n.max()) - 1, 0, -1):
+        out[:, k - 1] += out[:, k] >> V(16)
+    units = out.astype("<u2")
     blocks = []
     for i in range(lanes):
         own = ids[i * block : (i + 1) * block]
-        blocks.append((len(own), zlib.crc32(own.astype("<u4").tobytes()), out[i, : n[i] + 4].astype("<u2").tobytes()))
+        blocks.append((len(own), zlib.crc32(own.astype("<u4").tobytes()), units[i, : n[i]].tobytes()))
     return symbols, counts, blocks
 
 
@@ -161,56 +177,54 @@ def decode(symbols: np.ndarray, counts: np.ndarray, blocks: list[tuple[int, int,
     """The ids of the blocks, one after another. Raises ValueError if a block's checksum is wrong."""
     if not blocks:
         return np.zeros(0, np.uint32)
-    cum = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-    cum_u, freq = cum.astype(U), counts.astype(U)
+    cum = (np.cumsum(counts, dtype=np.int64) - counts).astype(U)
+    freq = counts.astype(U)
+    rank = np.repeat(np.arange(len(symbols), dtype=V), counts)
     lanes = len(blocks)
     code_at = np.concatenate([[0], np.cumsum([len(b[2]) // 2 for b in blocks])])
-    data = np.concatenate([*[np.frombuffer(b, "<u2") for _, _, b in blocks], np.zeros(4, np.uint16)]).astype(U)
-    pos = code_at[:-1] + 4
-    code = np.zeros(lanes, U)
-    for k in range(4):
-        code = (code << U(16)) | data[np.minimum(code_at[:-1] + k, len(data) - 1)]
-    low, span = np.zeros(lanes, U), np.full(lanes, ~U(0))
+    data = np.concatenate([*[np.frombuffer(b, "<u2") for _, _, b in blocks], np.zeros(8, np.uint16)]).astype(np.uint16)
+    end = len(data) - 1
+    pos = code_at[:-1].copy()
+    code = np.zeros(lanes, U)  # how far the coded number is over the block's low end
+    for _ in range(4):
+        code = (code << U(16)) | data[np.minimum(pos, end)]
+        pos += 1
+    # a unit has the range's 16 highest bits of 63, so the first four hold 47 + 16 bits and one that comes again
+    code >>= U(1)
+    spare = (data[np.minimum(code_at[:-1] + 3, end)] & 1).astype(U)
+    span = np.full(lanes, _FULL)
     x = np.empty((block, lanes), np.uint32)
     st = _States(lanes)
-
-    def shift() -> None:
-        end = low + span
-        i = np.flatnonzero((((low ^ end) >> _UNIT) == 0) | (span < _BOTTOM))
-        while len(i):
-            lo, sp = low[i], span[i]
-            sp = np.where(((lo ^ (lo + sp)) >> _UNIT) == 0, sp, (~lo + U(1)) & _MASK)
-            code[i] = (code[i] << U(16)) | data[np.minimum(pos[i], len(data) - 1)]
-            pos[i] += 1
-            lo, sp = lo << U(16), sp << U(16)
-            low[i], span[i] = lo, sp
-            i = i[(((lo ^ (lo + sp)) >> _UNIT) == 0) | (sp < _BOTTOM)]
-
     for t in range(block):
         best, p1, p = st.guess()
         bound = (span >> U(16)) * p.astype(U)
-        hit = (code - low) < bound
-        low += np.where(hit, U(0), bound)
-        span = np.where(hit, bound, span - bound)
-        token = best.copy()
+        hit = code < bound
+        span -= bound
         at = np.flatnonzero(~hit)
-        pb = st.other(at, p1, best)
-        lo, sp, co = low[at], span[at], code[at]
+        sp, co, own = span[at], code[at] - bound[at], p1[at]
+        np.copyto(span, bound, where=hit)
+        pb = st.other(at, own, best)
         bound = (sp >> U(16)) * pb.astype(U)
-        second = (co - lo) < bound
-        lo += np.where(second, U(0), bound)
-        sp = np.where(second, bound, sp - bound)
-        own = p1[at]
+        second = co < bound
         last = np.flatnonzero(~second)
-        step = sp[last] >> U(TOTAL)
-        v = np.minimum((co[last] - lo[last]) // step, U((1 << TOTAL) - 1)).astype(np.int64)
-        r = np.minimum(np.searchsorted(cum, v, "right") - 1, len(symbols) - 1)
-        lo[last] += step * cum_u[r]
+        step = (sp[last] - bound[last]) >> U(TOTAL)
+        co_last = co[last] - bound[last]
+        r = rank.take(np.minimum(co_last // step, U((1 << TOTAL) - 1)).astype(np.int64))
+        co[last] = co_last - step * cum[r]
+        sp = bound
         sp[last] = step * freq[r]
         own[last] = symbols[r]
+        token = best.copy()
         token[at] = own
-        low[at], span[at] = lo, sp
-        shift()
+        code[at], span[at] = co, sp
+        i = np.flatnonzero(span < _BOTTOM)
+        while len(i):
+            to, sp = pos[i], span[i] << U(16)
+            unit = data[np.minimum(to, end)].astype(U)
+            code[i] = (code[i] << U(16)) | (spare[i] << U(15)) | (unit >> U(1))
+            spare[i] = unit & U(1)
+            pos[i], span[i] = to + 1, sp
+            i = i[sp < _BOTTOM]
         x[t] = token
         st.learn(token, hit, second)
     x = np.ascontiguousarray(x.T)

@@ -27,7 +27,7 @@ from .common import read_table, small, stored, text_chunks
 
 END = 0
 #: Ids in a segment (a longer document is a segment of its own) and in a block; units kept, of some 30 bytes each.
-SEGMENT, BLOCK, CACHE_UNITS = 6_000_000, 1_024, 3_000_000
+SEGMENT, BLOCK, CACHE_UNITS = 6_000_000, 1_024, 2_000_000
 
 SEGMENTS = "part int, seq int, n_ids long, block int, symbols binary, counts binary, sizes array<int>, crcs array<long>, data array<binary>, doc_ids array<long>, lengths array<long>"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -55,6 +55,48 @@ def load_tokenizer(path: str | None = None):
     return _loaded[path]
 
 
+class _Places:
+    """A hash table from 64-bit hashes to numbers, looked up and filled many at a time; half of it is empty at least."""
+
+    def __init__(self) -> None:
+        self.n, self.bits = 0, 18
+        self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 for those that are not in the table."""
+        h = np.maximum(h, np.uint64(1))  # 0 is an empty place
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        there = self.keys[at]
+        out = np.where(there == h, self.values[at], -1)
+        i = np.flatnonzero((there != h) & (there != 0))
+        while len(i):
+            at[i] = (at[i] + 1) & (len(self.keys) - 1)
+            there = self.keys[at[i]]
+            same = there == h[i]
+            out[i[same]] = self.values[at[i[same]]]
+            i = i[~same & (there != 0)]
+        return out
+
+    def add(self, h: np.ndarray, values: np.ndarray) -> None:
+        """Put distinct hashes that the table lacks into it."""
+        h = np.maximum(h, np.uint64(1))
+        self.n += len(h)
+        if 2 * self.n > len(self.keys):
+            had = np.flatnonzero(self.keys)
+            h, values = np.concatenate([self.keys[had], h]), np.concatenate([self.values[had], values])
+            self.bits = int(4 * self.n).bit_length()
+            self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        i = np.arange(len(h))
+        while len(i):
+            free = self.keys[at[i]] == 0
+            self.keys[at[i[free]]] = h[i[free]]
+            own = self.keys[at[i]] == h[i]  # of several for one place, one got it
+            self.values[at[i[own]]] = values[i[own]]
+            i = i[~own]
+            at[i] = (at[i] + 1) & (len(self.keys) - 1)
+
+
 class Encoder:
     """Ids of texts, with the ids of met units kept by hash for later texts of the process.
 
@@ -70,7 +112,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.known = _Places()
         self.n, self.begin, self.flat = 0, np.zeros(1 << 18, np.int64), np.zeros(1 << 20, np.uint32)
 
     def _batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,11 +147,9 @@ class Encoder:
         while len(self.flat) < end:
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
         self.flat[end - len(flat) : end] = flat
-        at = np.searchsorted(self.known, hashes)
-        place = np.empty(len(new), np.int64)
+        place = np.empty(len(new), np.int32)
         place[order] = np.arange(self.n, self.n + len(new))
-        self.known = np.insert(self.known, at, hashes)
-        self.place = np.insert(self.place, at, place)
+        self.known.add(hashes, place)
         self.n += len(new)
 
     def _whole(self, text: str) -> np.ndarray:
@@ -126,14 +166,14 @@ class Encoder:
             if self.n > CACHE_UNITS:
                 self.clear()
             starts, h = hashing.units(np.frombuffer(data, np.uint8), begins)
-            distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
-            at = np.searchsorted(self.known, distinct)
-            new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != distinct) if len(self.known) else np.arange(len(distinct))
-            if len(new):
+            k = self.known.find(h)
+            lost = np.flatnonzero(k < 0)
+            if len(lost):
+                new, first, which = np.unique(h[lost], return_index=True, return_inverse=True)
                 ends = np.append(starts[1:], len(data))
-                i = first[new]
-                self._keep(distinct[new], [data[a:b] for a, b in zip(starts[i].tolist(), ends[i].tolist())])
-            k = self.place[np.searchsorted(self.known, distinct)][which]
+                i = lost[first]
+                self._keep(new, [data[a:b] for a, b in zip(starts[i].tolist(), ends[i].tolist())])
+                k[lost] = self.known.find(new)[which]
             n = self.begin[k + 1] - self.begin[k]
             ends = np.cumsum(n)
             ids = self.flat[np.arange(int(ends[-1])) + np.repeat(self.begin[k] - ends + n, n)]
