@@ -20,6 +20,12 @@ FURNITURE_WORDS = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside widget widgets footer header masthead toolbar pagination pager "
     "comment comments disqus reply replies respond form newsletter subscribe subscription signup login search share sharing social related recommended contentinfo complementary search banner".split()
 )
+# Words that leave a class name of page furniture what it is (ad-box, comments-list), and elements that are one block of text.
+NEUTRAL_WORDS = frozenset(
+    "area bar block body bottom box btn button buttons center col column container content desktop fixed floating global group head icon icons inline inner item items left level link links list lists "
+    "main mobile module outer page panel popup post posts primary reader readers region right row secondary section site slot small sticky thread title top unit user users wrap wrapper zone js".split()
+)
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr caption figcaption pre summary legend option title hr address".split())
 #: An open element of these closes an open one of the same set, within the nearest list or table.
 SIBLINGS = {x: frozenset(g) for g in (("li",), ("dt", "dd"), ("tr",), ("td", "th"), ("option",)) for x in g}
 SCOPES = frozenset("ul ol menu dl table select div article section main body html nav td th".split())
@@ -36,6 +42,9 @@ class Block(NamedTuple):
     text: str | None
     main: bool
     furniture: bool
+    heading: bool
+    #: Paths of the elements around it that can hold several blocks, itself included if it is the tag of one.
+    around: tuple[str, ...]
 
 
 class _Open(NamedTuple):
@@ -44,16 +53,23 @@ class _Open(NamedTuple):
     path: str
     main: bool
     furniture: bool
+    around: tuple[str, ...]
+
+
+def _furnished(value: str) -> bool:
+    """Whether one of the names in a class, id or role is of page furniture: all of its words, but for neutral ones."""
+    return any((words := set(_WORD.findall(name))) & FURNITURE_WORDS and words <= FURNITURE_WORDS | NEUTRAL_WORDS for name in value.lower().split())
 
 
 def _opened(name: str, attrs: str, parent: _Open) -> _Open:
     values = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)]
     main = parent.main or name in MAIN or any(k == "role" and v.lower() == "main" for k, v in values)
-    words = () if name in MAIN or name in ("html", "body") else [w for _, v in values for w in _WORD.findall(v.lower())]
-    furniture = parent.furniture or name in FURNITURE or (name == "header" and not parent.main) or any(w in FURNITURE_WORDS for w in words)
+    named = name not in MAIN and name not in ("html", "body") and any(_furnished(v) for _, v in values)
+    furniture = parent.furniture or name in FURNITURE or (name == "header" and not parent.main) or named
     own = "".join(f".{v}" for k, v in values if k != "id")
     block = name in BLOCK
-    return _Open(name, block, f"{parent.path}/{name}{own}" if block else parent.path, main, furniture)
+    path = f"{parent.path}/{name}{own}" if block else parent.path
+    return _Open(name, block, path, main, furniture, (*parent.around, path) if block and name not in LEAVES else parent.around)
 
 
 def blocks(page: str) -> list[Block]:
@@ -64,14 +80,15 @@ def blocks(page: str) -> list[Block]:
     block, li at the next li, and so on; a tag cut off at the end of the page is no text.
     """
     out: list[Block] = []
-    stack = [_Open("", True, "", False, False)]
+    stack = [_Open("", True, "", False, False, ())]
     pieces: list[str] = []
     kept: list[str] = []
 
     def flush() -> None:
         for parts, furniture in ((kept, stack[-1].furniture), (pieces, True)):
             if parts and (text := " ".join(html.unescape("".join(parts)).split())):
-                out.append(Block(stack[-1].path, text, stack[-1].main, furniture))
+                top = stack[-1]
+                out.append(Block(top.path, text, top.main, furniture, any(x.name == "h1" for x in stack[-4:]), top.around))
             parts.clear()
 
     def close(i: int) -> None:
@@ -111,7 +128,7 @@ def blocks(page: str) -> list[Block]:
             flush()
         opened = _opened(name, attrs, stack[-1])
         if opened.block:
-            out.append(Block(opened.path, None, opened.main, opened.furniture))
+            out.append(Block(opened.path, None, opened.main, opened.furniture, name == "h1", opened.around))
         if name in VOID or attrs.endswith("/") and name not in BLOCK:
             continue
         if name in RAW:

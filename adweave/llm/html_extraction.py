@@ -7,7 +7,10 @@ are not empty holds them. The root class is the one of most pages among those of
 found once at most on a page. A class is valid if its tokens come in one order, and in one
 gap of the root class, on that share of the pages, so that odd pages and other layouts
 don't take a host's template away; valid classes are the host's template. What stays are the
-slots: text that is not template text, of which the slots of the article are the result.
+slots: text that is not template text. The article of a host is the innermost template
+element, once on a page, that holds half or more of the slots' text and of their top
+headings; the slots in it are the result. Names of elements decide only on pages without
+that element and on hosts with too few pages.
 
 Vectors are compared by commutative sums over pages, so classes come from ordinary
 aggregations and a host with a third of all pages is no group in one task.
@@ -30,14 +33,32 @@ from .html_blocks import blocks
 MIN_PAGES = 5
 #: Part of a host's non-empty pages that holds a class in one order and gap; layouts of fewer pages have no template of their own.
 SUPPORT = 0.3
-PARSED = "page_id long, url string, blocks array<struct<key:long,text:string,main:boolean,furniture:boolean>>"
+#: Part of the slots' text of a host that its article element holds.
+ARTICLE_SHARE = 0.5
+PARSED = "page_id long, url string, blocks array<struct<key:long,text:string,main:boolean,furniture:boolean,heading:boolean,around:array<long>>>"
+
+
+def _key(path: str, text: str) -> int:
+    return xxhash.xxh64_intdigest(f"{path}\0{text}".encode("utf-8", "replace")) - 2**63
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("key", pa.int64()), ("text", pa.string()), ("main", pa.bool_()), ("furniture", pa.bool_())]))
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("text", pa.string()), ("main", pa.bool_()), ("furniture", pa.bool_()), ("heading", pa.bool_()), ("around", pa.list_(pa.int64()))]))
+    tags: dict[str, int] = {}
+
+    def tag(path: str) -> int:
+        if path not in tags:
+            if len(tags) > 100_000:
+                tags.clear()
+            tags[path] = _key(path, "")
+        return tags[path]
+
     for b in text_chunks(batches, "html", 2 << 20):
         rows = [
-            [{"key": xxhash.xxh64_intdigest(f"{x.path}\0{x.text or ''}".encode("utf-8", "replace")) - 2**63, "text": x.text, "main": x.main, "furniture": x.furniture} for x in blocks(page or "")]
+            [
+                {"key": tag(x.path) if x.text is None else _key(x.path, x.text), "text": x.text, "main": x.main, "furniture": x.furniture, "heading": x.heading, "around": None if x.text is None else [tag(p) for p in x.around]}
+                for x in blocks(page or "")
+            ]
             for page in b.column("html").to_pylist()
         ]
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(rows, kind)], names=["page_id", "url", "blocks"])
@@ -55,7 +76,7 @@ def host(url: str = "url"):
 
 
 def deduce_templates(parsed: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """A row per template token: host, key, is_text, pages (that hold it), class, gap (of the root class).
+    """A row per template token: host, key, is_text, pages (that hold it), most (times on a page), class, gap (of the root class).
 
     class 0 is the root class. gap counts the root tokens before a class. Pages without a
     token (null and empty html) don't count.
@@ -72,7 +93,7 @@ def deduce_templates(parsed: DataFrame, support: float = SUPPORT) -> DataFrame:
     once = vectors.filter(F.col("most") == 1).groupBy("host", "vector").agg(F.max("pages").alias("df"), F.count("*").alias("size"))
     root = once.groupBy("host").agg(F.max_by("vector", F.struct("df", "size", "vector")).alias("root"))
     vectors = vectors.join(small(root), "host", "left").withColumn("class", F.when(F.col("vector") == F.col("root"), 0).otherwise(F.col("vector")).cast("long"))
-    vectors = cut(vectors.select("host", "key", "is_text", "pages", "least", "class"))
+    vectors = cut(vectors.select("host", "key", "is_text", "pages", "most", "least", "class"))
     known = tokens.join(small(vectors.select("host", "key", "class")), ["host", "key"])
     before = F.sum((F.col("class") == 0).cast("long")).over(Window.partitionBy("host", "page").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
     placed = known.withColumn("gap", F.coalesce(before, F.lit(0)))
@@ -80,31 +101,59 @@ def deduce_templates(parsed: DataFrame, support: float = SUPPORT) -> DataFrame:
     on_page = placed.groupBy("host", "page", "class").agg(order.alias("order"), F.min("gap").alias("lo"), F.max("gap").alias("hi"))
     nested = on_page.filter((F.col("class") == 0) | (F.col("lo") == F.col("hi"))).groupBy("host", "class", "order", "lo").agg(F.count("*").alias("n"))
     valid = nested.groupBy("host", "class").agg(F.max("n").alias("n"), F.max_by("lo", F.struct("n", "order", "lo")).alias("gap"))
-    return vectors.join(small(valid), ["host", "class"]).filter(F.col("n") >= F.col("least")).select("host", "key", "is_text", "pages", "class", "gap")
+    return vectors.join(small(valid), ["host", "class"]).filter(F.col("n") >= F.col("least")).select("host", "key", "is_text", "pages", "most", "class", "gap")
+
+
+def slot_text(rows: DataFrame) -> DataFrame:
+    """rows (blocks, fixed) with own, the text blocks that are no page furniture, and slots, those of them that are no template text."""
+    own = F.filter("blocks", lambda b: b["text"].isNotNull() & ~b["furniture"])
+    slot = F.filter("own", lambda b: ~F.coalesce(F.array_contains("fixed", b["key"]), F.lit(False)))
+    return rows.withColumn("own", own).withColumn("slots", slot)
+
+
+def article_elements(rows: DataFrame, templates: DataFrame, share: float = ARTICLE_SHARE) -> DataFrame:
+    """host and article, the key of the tag of its article element, for the hosts that have one.
+
+    rows: host and slots of every page. An element qualifies if its tag is template, once
+    on a page, and it holds share of the host's slot text and of its top headings' text.
+    The one with the least text is the innermost.
+    """
+    slots = rows.select("host", F.explode("slots").alias("b")).select("host", "b.around", F.length("b.text").alias("n"), F.when(F.col("b.heading"), F.length("b.text")).otherwise(0).alias("h"))
+    sums = [F.sum("n").alias("n"), F.sum("h").alias("h")]
+    inside = slots.select("host", F.explode("around").alias("key"), "n", "h").groupBy("host", "key").agg(*sums)
+    total = slots.groupBy("host").agg(F.sum("n").alias("all_n"), F.sum("h").alias("all_h"))
+    tags = templates.filter(~F.col("is_text") & (F.col("most") == 1)).select("host", "key")
+    held = inside.join(tags, ["host", "key"]).join(total, "host").filter((F.col("n") >= F.col("all_n") * share) & (F.col("h") >= F.col("all_h") * share))
+    return held.groupBy("host").agg(F.min_by("key", F.struct("n", "h", "key")).alias("article"))
 
 
 def extract_main(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """page_id, url, text and n_chars (code points) of every page.
-
-    text: blocks inside article or main (all blocks, if the page has no text there), less
-    page furniture (menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
-    styles, comments: by element and by class, id or role words) and less the template text
-    that min_pages pages of a host or more hold, inside article and main as outside; an article of
-    template text only is a copy of others and stays whole. Blocks are joined by two line
-    ends. Empty if none, as for null and empty html. Rows with equal ids are separate pages.
-    Null urls and urls without a host are one host. Only page_id, url and html are read.
+    """page_id, url, text, n_chars (code points) and decided ('template', 'element' or 'none') of every page.
+
+    Template text is what min_pages pages of a host or more hold; slots are the text
+    blocks that are neither template text nor page furniture (menus, page headers,
+    footers, sidebars, notices, adverts, forms, scripts, styles, comments: by element and
+    by the names in class, id and role). text: the slots in the host's article element;
+    on pages without it and on hosts with fewer pages those inside article or main, or
+    else all. An article of template text only is a copy of others and stays whole.
+    Blocks are joined by two line ends. Empty if none, as for null and empty html. Rows
+    with equal ids are separate pages. Null urls and urls without a host are one host.
+    Only page_id, url and html are read.
     """
     parsed = stored(parse_pages(pages), "pages")
-    fixed = deduce_templates(parsed).filter(F.col("is_text") & (F.col("pages") >= min_pages))
-    fixed = cut(fixed.groupBy("host").agg(F.collect_set("key").alias("fixed")))
-    rows = parsed.withColumn("host", host()).join(small(fixed, 10_000), "host", "left")
-    own = F.filter("blocks", lambda b: b["text"].isNotNull() & ~b["furniture"])
-    slot = F.filter("own", lambda b: ~F.coalesce(F.array_contains("fixed", b["key"]), F.lit(False)))
-    rows = rows.withColumn("own", own).withColumn("slots", slot)
+    templates = cut(deduce_templates(parsed).filter(F.col("pages") >= min_pages))
+    fixed = cut(templates.filter("is_text").groupBy("host").agg(F.collect_set("key").alias("fixed")))
+    rows = slot_text(parsed.withColumn("host", host()).join(small(fixed, 10_000), "host", "left"))
+    article = cut(article_elements(rows, templates))
+    rows = rows.join(small(article), "host", "left")
+    inside = lambda c: F.filter(c, lambda b: F.coalesce(F.array_contains(b["around"], F.col("article")), F.lit(False)))
     in_main = lambda c: F.filter(c, lambda b: b["main"])
-    rows = rows.withColumn("slots", F.when(F.size(in_main("slots")) > 0, in_main("slots")).when(F.size(in_main("own")) > 0, in_main("own")).otherwise(F.col("slots")))
-    text = F.array_join(F.transform("slots", lambda b: b["text"]), "\n\n")
-    return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    by_template, by_element = F.size(inside("own")) > 0, F.size(in_main("own")) > 0
+    chosen = F.when(by_template, F.when(F.size(inside("slots")) > 0, inside("slots")).otherwise(inside("own")))
+    chosen = chosen.when(by_element, F.when(F.size(in_main("slots")) > 0, in_main("slots")).otherwise(in_main("own"))).otherwise(F.col("slots"))
+    text = F.array_join(F.transform(chosen, lambda b: b["text"]), "\n\n")
+    decided = F.when(by_template, "template").when(by_element, "element").otherwise("none")
+    return rows.select("page_id", "url", text.alias("text"), decided.alias("decided")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
