@@ -2,14 +2,14 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. A word's
 probability is the sum over all its segmentations into pieces, by the forward
-algorithm; a text's is the product over its words. Expectation-maximisation fits the
+algorithm; a text's log-probability is the sum over its distinct words, each counted
+1 + ln(occurrences) times, over the square root of these counts together. Expectation-maximisation fits the
 probabilities to word counts of a bounded sample of labelled rows. Scoring runs in
 Arrow batches: every word of every text counts, distinct words are scored once a task.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, lean, read_table, text_chunks
+from .common import held_out, lean, read_table, text_chunks, tidy
 
 #: The training sample: so many documents in all, shared evenly by the languages, of so many characters at most.
 TRAIN_DOCS, TRAIN_CHARS = 1_600, 20_000
@@ -31,7 +31,6 @@ SMOOTHING, UNKNOWN = 2_000.0, 1e-9
 RUN, LONGEST = 64, 16
 CACHE_WORDS = 400_000
 
-_LETTER = re.compile(r"[^\W\d_]")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _POWER = np.cumprod(np.concatenate([[np.uint64(1)], np.full(RUN, _BASE)]), dtype=np.uint64)
@@ -194,7 +193,15 @@ def train(docs: DataFrame, vocab_path: str | None = None, most_docs: int = TRAIN
     counts: dict[str, dict[str, int]] = {g: {} for g in per}
     for r in words.groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
         counts[r["lang"]][r["word"]] = r["n"]
-    return fit(counts, vocabulary(vocab_path))
+    model = fit(counts, vocabulary(vocab_path))
+    del counts
+    tidy()
+    return model
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is of a letter category (L); superscript digits and fractions aren't."""
+    return any(map(str.isalpha, text))
 
 
 def _identify(model: Model, carry: list[str]):
@@ -212,7 +219,7 @@ def _identify(model: Model, carry: list[str]):
                 table = np.concatenate([table, model.log_p(new)])
             langs, scores = [], []
             for t, ws in zip(texts, split):
-                if not model.langs or not _LETTER.search(t):
+                if not model.langs or not has_letter(t):
                     langs.append("und")
                     scores.append(0.0)
                     continue

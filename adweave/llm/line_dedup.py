@@ -19,8 +19,6 @@ MIN_SITES = 8
 LG_K = 10
 #: Estimates within this share of the threshold are settled by an exact count (four standard errors).
 NEAR = 4 * 1.04 / 2 ** (LG_K / 2)
-#: A document that would lose more than this share of its characters is a copy, not a page with boilerplate.
-MOST_LOST = 0.5
 
 
 def _key(line: Column) -> Column:
@@ -57,15 +55,13 @@ def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int =
     return cut(clear.unionByName(exact))
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K, most_lost: float = MOST_LOST, copies_only: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K, whole_copies: bool = False) -> DataFrame:
     """docs with cross-site boilerplate lines taken out of text, plus n_lines and n_removed.
 
     A line counts as its text without spaces at either end; blank lines are never
-    removed and count in n_lines. Every occurrence of a boilerplate line goes, except
-    in documents that would lose more than most_lost of the characters of their lines:
-    those count as copies as a whole, which near dedup deals with, and stay untouched.
-    With copies_only, most_lost has no effect, and only documents without any other
-    non-blank line are such copies; all others lose their boilerplate lines.
+    removed and count in n_lines. Every occurrence of a boilerplate line goes. With
+    whole_copies, documents without any other non-blank line count as copies as a whole,
+    which near dedup deals with, and stay untouched.
     Null texts stay null with n_lines 0; empty texts stay empty with n_lines 1.
     Other columns pass through unchanged. doc_id must be unique; columns of docs
     named n_lines or n_removed are replaced. Rows with a null doc_id pass unchanged.
@@ -81,11 +77,11 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     )
     parts = F.split(F.col("text"), "\n")
     kept = F.filter("__lines", lambda x: ~F.array_contains(F.col("__bad"), _key(F.trim(x))))
-    chars = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     out = base.join(bad, base["doc_id"] == bad["__id"], "left").withColumn("__lines", parts)
     out = out.withColumn("__kept", F.when(F.col("__bad").isNull(), F.col("__lines")).otherwise(kept))
-    copy = F.forall("__kept", lambda x: F.trim(x) == "") if copies_only else chars(F.col("__kept")) < chars(F.col("__lines")) * (1 - most_lost)
-    out = out.withColumn("__kept", F.when(F.col("__bad").isNotNull() & copy, F.col("__lines")).otherwise(F.col("__kept")))
+    if whole_copies:
+        copy = F.forall("__kept", lambda x: F.trim(x) == "")
+        out = out.withColumn("__kept", F.when(F.col("__bad").isNotNull() & copy, F.col("__lines")).otherwise(F.col("__kept")))
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     text = F.when(F.size("__kept") == F.size("__lines"), F.col("text")).otherwise(F.array_join("__kept", "\n"))
     names = [text.alias("text") if c == "text" else F.col(c) for c in base.columns]
@@ -113,12 +109,10 @@ WITH lines AS (
   FROM lines l LEFT JOIN bad b ON trim(l.line, ' ') = b.line
 ), per AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_gone,
-         sum(length(line)) AS chars, coalesce(sum(length(line)) FILTER (NOT gone), 0) AS left_chars,
          coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept
   FROM marked GROUP BY doc_id
 )
-SELECT d.doc_id, coalesce(p.n_lines, 0)::BIGINT AS n_lines,
-  CASE WHEN p.n_gone > 0 AND p.left_chars >= p.chars * (1 - {MOST_LOST}) THEN p.n_gone ELSE 0 END::BIGINT AS n_removed,
-  CASE WHEN p.n_gone > 0 AND p.left_chars >= p.chars * (1 - {MOST_LOST}) THEN p.kept ELSE d.text END AS text
+SELECT d.doc_id, coalesce(p.n_lines, 0)::BIGINT AS n_lines, coalesce(p.n_gone, 0)::BIGINT AS n_removed,
+  CASE WHEN p.n_gone > 0 THEN p.kept ELSE d.text END AS text
 FROM documents d LEFT JOIN per p USING (doc_id)
 """

@@ -24,7 +24,7 @@ def words(rng, n):
 # line dedup
 
 
-def lines_by_hand(rows, min_sites, most_lost):
+def lines_by_hand(rows, min_sites, whole_copies):
     sites = {}
     for _, text, site in rows:
         for x in (text or "").split("\n"):
@@ -37,7 +37,7 @@ def lines_by_hand(rows, min_sites, most_lost):
             continue
         parts = text.split("\n")
         left = [x for x in parts if len(sites.get(x.strip(" "), ())) < min_sites]
-        if sum(map(len, left)) < sum(map(len, parts)) * (1 - most_lost):
+        if whole_copies and not any(x.strip(" ") for x in left):
             left = parts
         out[i] = ("\n".join(left), len(parts), len(parts) - len(left))
     return out
@@ -55,9 +55,10 @@ def test_line_dedup(spark):
         rows.append((i, "\n".join(own), None if i % 17 == 0 else f"s{i % 12}"))
     rows += [(200, None, "s1"), (201, "", "s1"), (202, "Share this page", "s3"), (203, "\n\n", "s2"), (204, LONG, "s2"), (205, words(rng, 3) + "\nShare this page\nShare this page\n" + words(rng, 30), "s4")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_removed", F.lit("clash")).withColumn("h1", F.lit(1))
-    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in dedup_lines(df, min_sites=6).collect()}
-    assert got == lines_by_hand(rows, 6, 0.5)
-    assert got[202] == ("Share this page", 1, 0) and got[205][2] == 2
+    for whole in (False, True):
+        got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in dedup_lines(df, min_sites=6, whole_copies=whole).collect()}
+        assert got == lines_by_hand(rows, 6, whole)
+        assert got[202] == (("Share this page", 1, 0) if whole else ("", 1, 1)) and got[205][2] == 2
     assert dedup_lines(df.limit(0), min_sites=6).count() == 0
 
 
@@ -77,32 +78,45 @@ def test_pipeline_exempts_whole_copies_only(spark):
 
 def test_buckets_are_optimal():
     rng = np.random.default_rng(3)
-    for k in (1, 2, 3, 4):
-        tops = np.sort(rng.choice(np.arange(1, 60), 8, replace=False))
-        counts = rng.integers(1, 20, 8)
-        sums = tops * counts
-        cost = lambda bounds: sum(n * (min(b for b in bounds if b >= t) - t) for t, n in zip(tops, counts))
-        best = min(cost((*c, tops[-1])) for r in range(k) for c in itertools.combinations(tops[:-1], r))
-        got = packing.choose_buckets(tops, counts, sums, k)
-        assert got[-1] == tops[-1] and len(got) <= k and cost(got) == best
-    assert packing.choose_buckets(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), 3) == []
+    for k in (1, 2, 3, 4, 9):
+        for size in (1, 2, 8, 9):
+            lengths = np.sort(rng.choice(np.arange(1, 60), size, replace=False))
+            counts = rng.integers(1, 20, size)
+            cost = lambda bounds: sum(n * (min(b for b in bounds if b >= t) - t) for t, n in zip(lengths, counts))
+            best = min(cost((*c, lengths[-1])) for r in range(min(k, size)) for c in itertools.combinations(lengths[:-1], r))
+            got = packing.choose_buckets(lengths, counts, k)
+            assert got[-1] == lengths[-1] and len(got) <= k and got == sorted(set(got)) and cost(got) == best
+    assert packing.choose_buckets(np.zeros(0, int), np.zeros(0, int), 3) == []
+    many = np.arange(1, 30_001) * 7
+    got = packing.choose_buckets(many, rng.integers(1, 9, len(many)), 16)
+    assert len(got) == 16 and got[-1] == many[-1]
 
 
 def test_packing(spark):
+    from adweave.llm.token_output import load_tokenizer
+
     rng = random.Random(1)
-    rows = [(i, words(rng, rng.choice([1, 5, 40, 200])), 1) for i in range(300)] + [(300, None, 1), (301, "", 1), (302, LONG, 1), (5, "same id", 1)]
+    rows = [(i, words(rng, rng.choice([1, 5, 40, 200])), 1) for i in range(300)] + [(300, None, 1), (301, "", 1), (302, LONG, 1), (5, "same id", 1)] + [(None, "no id", 1)] * 120
     df = spark.createDataFrame(rows, "doc_id long, text string, bucket int")
     got = packing.pack(df, n_buckets=4, batch_tokens=1000, shard_rows=50).collect()
     assert len(got) == len(rows)
-    want = sorted((i, len((t or "").split()) + 1) for i, t, _ in rows)
-    assert sorted((r.doc_id, r.n_tokens) for r in got) == want
+    n = lambda t: len(load_tokenizer().encode(t or "", add_special_tokens=False).ids) + 1
+    want = sorted((-1 if i is None else i, n(t)) for i, t, _ in rows)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in got) == want
+    lengths = sorted(x for _, x in want)
+    distinct = sorted(set(lengths))
+    pad = lambda bounds: sum(min(b for b in bounds if b >= x) - x for x in lengths)
+    if len(distinct) < 60:
+        assert sum(r.padding for r in got) == min(pad((*c, distinct[-1])) for r in range(4) for c in itertools.combinations(distinct[:-1], r))
     batches = {}
     for r in got:
         assert r.n_tokens + r.padding == r.bucket_len and r.padding >= 0
         batches.setdefault(r.batch_id, []).append(r)
+    assert all(max(r.n_tokens for r in got if r.bucket == k) == b for k, b in {(r.bucket, r.bucket_len) for r in got})
     for rows_ in batches.values():
         assert len({r.bucket for r in rows_}) == 1 and sorted(r.slot for r in rows_) == list(range(len(rows_)))
         assert len(rows_) == 1 or sum(r.bucket_len for r in rows_) <= 1000
+    assert max(sum(r.doc_id is None for r in b) for b in batches.values()) < 120
     assert packing.pack(df.limit(0)).count() == 0
 
 
@@ -275,12 +289,12 @@ def test_language_id(spark):
     rng = random.Random(5)
     mk = lambda syl, n: " ".join("".join(rng.choice(syl) for _ in range(rng.randint(1, 3))) for _ in range(n))
     syllables = {"xx": ["the", "ing", "on", "er"], "yy": ["ción", "os", "la", "ue"]}
-    rows = [(i, mk(syllables[g], 40), g) for i, g in enumerate(["xx", "yy"] * 60)] + [(500, None, "xx"), (501, "", None), (502, "123 !!", "xx"), (503, mk(syllables["yy"], 9000), None), (504, "oncher", None)]
+    rows = [(i, mk(syllables[g], 40), g) for i, g in enumerate(["xx", "yy"] * 60)] + [(500, None, "xx"), (501, "", None), (502, "123 !!", "xx"), (503, mk(syllables["yy"], 9000), None), (504, "oncher", None), (505, "²½ ⅷ ₃", "xx")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
     got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(df, language_id.train(df)).collect()}
     assert len(got) == len(rows)
     assert all(got[i][0] == g for i, _, g in rows[:120])
-    assert got[500] == got[501] == got[502] == ("und", 0.0) and got[503][0] == "yy"
+    assert got[500] == got[501] == got[502] == got[505] == ("und", 0.0) and got[503][0] == "yy"
     assert all(0 <= s <= 1 for _, s in got.values())
     nothing = language_id.train(df.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in language_id.identify(df, nothing).collect()} == {"und"}
