@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words of promotional paths, page paths and extensions that are not scanned.
-PROMO_WORDS = ("deal", "deals", "offer", "offers", "promo", "promotion", "promotions", "sale", "sales", "special", "specials", "en", "de")
+PROMO_WORDS = tuple(
+    "promo promotion promotions deal deals offer offers special specials sale sales shop store buy campaign featured new latest clearance rebate rebates incentive incentives savings "
+    "financing coupon coupons discount discounts inventory products services catalog events seasonal limited exclusive".split()
+)
 BLOCKED_EXTENSIONS = ("pdf", "jpg", "jpeg", "png", "gif", "svg", "webp", "mp4", "zip", "css", "js", "xml")
 BLOCKED_PATHS = ("login", "cart", "checkout", "account", "privacy", "terms", "wp-admin")
 
@@ -75,6 +78,13 @@ def first_filled(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(v.cast("string"), F.lit("")) for v in values])
 
 
+def name_matches(actor: Column, name: Column, slug: Column) -> Column:
+    """Whether an advertiser's name is the expected one: letters and digits of either within the other's, or those of the slug within it. True without expectations, false without a name."""
+    a, n, s = (alnum(F.coalesce(x, F.lit(""))) for x in (actor, name, slug))
+    by_name = (n != "") & (F.contains(a, n) | F.contains(n, a))
+    return (a != "") & (((n == "") & (s == "")) | by_name | ((s != "") & F.contains(a, s)))
+
+
 def label(name: Column) -> Column:
     """snake_case as a title."""
     return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))

@@ -21,13 +21,13 @@ c = F.col
 
 @R.add(
     "a10_post_images",
-    """WITH p AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'Video' ELSE 'Image' END AS type, 'http://i/' || event_id AS main, ['http://i/' || event_id, 'http://i/' || (event_id % 7)] AS kids FROM events WHERE event_id % 10 < 8)
+    """WITH p AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'Video' ELSE 'Image' END AS type, 'http://i/' || event_id AS main, ['http://i/' || event_id, 'http://i/' || (event_id % 7)] AS kids FROM events)
     SELECT event_id, unnest(list_distinct(list_concat([main], kids))) AS image FROM p WHERE lower(type) <> 'video'""",
 )
 def post_images(t: Tables) -> DataFrame:
     """A10: images of posts and of their children, each once; videos dropped."""
     url = lambda x: F.concat(F.lit("http://i/"), x.cast("string"))
-    p = t.events.filter("event_id % 10 < 8").select("event_id", F.when(c("event_id") % 5 == 0, "Video").otherwise("Image").alias("type"), url(c("event_id")).alias("main"), F.array(url(c("event_id")), url(c("event_id") % 7)).alias("kids"))
+    p = t.events.select("event_id", F.when(c("event_id") % 5 == 0, "Video").otherwise("Image").alias("type"), url(c("event_id")).alias("main"), F.array(url(c("event_id")), url(c("event_id") % 7)).alias("kids"))
     return p.filter(F.lower("type") != "video").select("event_id", F.explode(F.array_distinct(F.concat(F.array("main"), "kids"))).alias("image"))
 
 
@@ -52,11 +52,11 @@ def queue_pick(t: Tables) -> DataFrame:
 @R.add(
     "a20_labelled_cases",
     """SELECT f.match_id, a.name, CASE f.verdict WHEN 'true_positive' THEN 'positive' WHEN 'false_positive' THEN 'hard_negative' WHEN 'false_negative' THEN 'missed' ELSE 'negative' END AS category
-    FROM feedback f LEFT JOIN (SELECT match_id, any_value(asset_id) AS asset_id FROM matches GROUP BY 1 HAVING count(*) = 1) m USING (match_id) LEFT JOIN assets a USING (asset_id) WHERE f.match_id % 9 = 0""",
+    FROM feedback f LEFT JOIN (SELECT match_id, any_value(asset_id) AS asset_id FROM matches GROUP BY 1 HAVING count(*) = 1) m USING (match_id) LEFT JOIN assets a USING (asset_id)""",
 )
 def labelled_cases(t: Tables) -> DataFrame:
     """Feedback with its match and asset, and the category of its verdict."""
-    f = t.feedback.filter("match_id % 9 = 0")
+    f = t.feedback
     m = t.matches.groupBy("match_id").agg(F.count("*").alias("n"), F.first("asset_id").alias("asset_id")).filter("n = 1").drop("n")
     category = F.when(c("verdict") == "true_positive", "positive").when(c("verdict") == "false_positive", "hard_negative").when(c("verdict") == "false_negative", "missed").otherwise("negative")
     return f.join(m, "match_id", "left").join(t.assets.select("asset_id", "name"), "asset_id", "left").select("match_id", "name", category.alias("category"))
@@ -68,7 +68,7 @@ def labelled_cases(t: Tables) -> DataFrame:
     SELECT org_id, count(*) AS violations, string_agg(CAST(match_id AS VARCHAR), ',' ORDER BY rn) FILTER (rn <= 10) AS shown, greatest(count(*) - 10, 0) AS more FROM v GROUP BY 1""",
 )
 def notification(t: Tables) -> DataFrame:
-    """Violations of an organisation, ten of them by name; the cut is the feature."""
+    """Violations of an organisation, ten of them by name; the cut is the feature."""
     v = t.matches.filter("status = 'violation'").join(t.dealers.select("distributor_id", "org_id"), "distributor_id").select("org_id", "match_id", "score", "price")
     top = first_per(v, ["org_id"], [F.desc("score"), F.asc("match_id"), F.asc("price")], 10)
     shown = F.transform(F.sort_array(F.collect_list(F.struct((-c("score")).alias("s"), "match_id", "price"))), lambda x: x["match_id"].cast("string"))
@@ -88,7 +88,7 @@ def pick_list(t: Tables) -> DataFrame:
     """SELECT channel, CAST(count(*) AS VARCHAR) AS total, CAST(round(count(*) FILTER (status='compliant') * 100.0 / count(*), 1) AS VARCHAR) || '%' AS rate FROM matches GROUP BY 1""",
 )
 def report_csv(t: Tables) -> DataFrame:
-    """The channel section of the report as CSV, read back."""
+    """The channel section of the report as CSV, read back."""
     at = f"{shared_folder(t.spark)}/report-{uuid.uuid4().hex}"
     g = t.matches.groupBy("channel").agg(F.count("*").alias("total"), F.count_if(c("status") == "compliant").alias("ok"))
     rows = g.select("channel", c("total").cast("string").alias("total"), F.concat(scores.rate(c("ok"), c("total")).cast("string"), F.lit("%")).alias("rate"))
@@ -109,7 +109,7 @@ def outcomes(t: Tables) -> DataFrame:
 
 @R.add("d39_categories", "SELECT p_type AS category, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM part), 2) AS share FROM part GROUP BY 1 ORDER BY n DESC, category")
 def categories(t: Tables) -> DataFrame:
-    """Counts by category, largest first, and their share."""
+    """Counts by category, largest first, and their share."""
     total = t.part.agg(F.count("*").alias("all"))
     return t.part.groupBy(c("p_type").alias("category")).agg(F.count("*").alias("n")).crossJoin(total).select("category", "n", F.round(c("n") * 100.0 / c("all"), 2).alias("share")).orderBy(F.desc("n"), "category")  # one row
 
@@ -120,7 +120,7 @@ def categories(t: Tables) -> DataFrame:
     FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey""",
 )
 def seats(t: Tables) -> DataFrame:
-    """Seats in use against the plan's, unknown plans as the default one."""
+    """Seats in use against the plan's, unknown plans as the default one."""
     plans = t.spark.createDataFrame([(0, 100), (1, 300)], "org_id int, most int")
     x = t.customer.join(t.nation.select(c("n_nationkey").alias("c_nationkey"), c("n_regionkey").alias("org_id")), "c_nationkey")
     g = x.groupBy("org_id").agg(F.count_if(c("c_acctbal") >= 0).alias("members"), F.count_if((c("c_acctbal") < 0) & (c("c_custkey") % 3 != 0)).alias("invites"))
@@ -129,7 +129,7 @@ def seats(t: Tables) -> DataFrame:
 
 @R.add("d43_extensions", "SELECT coalesce(nullif(regexp_extract(lower(url), '\\.([a-z0-9]+)(?:[?#]|$)', 1), ''), 'none') AS ext, count(*) AS n FROM pages GROUP BY 1")
 def extensions(t: Tables) -> DataFrame:
-    """Files by extension."""
+    """Files by extension."""
     ext = F.coalesce(F.nullif(F.regexp_extract(F.lower("url"), r"\.([a-z0-9]+)(?:[?#]|$)", 1), F.lit("")), F.lit("none"))
     return t.pages.groupBy(ext.alias("ext")).agg(F.count("*").alias("n"))
 

@@ -41,7 +41,7 @@ def prune_within_scan(t: Tables) -> DataFrame:
     "WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host FROM pages) SELECT host, min_by(url, page_id) AS url, min(page_id) AS page_id, count(*) - 1 AS later FROM p GROUP BY 1",
 )
 def first_by_host(t: Tables) -> DataFrame:
-    """The first row of a key in input order, and how many duplicates follow."""
+    """The first row of a key in input order, and how many duplicates follow."""
     h = F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1))
     return t.pages.groupBy(h.alias("host")).agg(F.min_by("url", "page_id").alias("url"), F.min("page_id").alias("page_id"), (F.count("*") - 1).alias("later"))
 
@@ -68,11 +68,11 @@ def cost_latch(t: Tables) -> DataFrame:
 
 @R.add(
     "e10_tiles",
-    """WITH x AS (SELECT p_partkey, 500 + p_size * 90 AS h FROM part WHERE p_partkey % 10 = 0), y AS (SELECT p_partkey, unnest(range(0, CAST(greatest(ceil((h - 200) / 800.0), 1) AS BIGINT))) AS i FROM x)
+    """WITH x AS (SELECT p_partkey, 500 + p_size * 90 AS h FROM part), y AS (SELECT p_partkey, unnest(range(0, CAST(greatest(ceil((h - 200) / 800.0), 1) AS BIGINT))) AS i FROM x)
     SELECT p_partkey, CAST(i AS INTEGER) AS tile, CAST(i * 800 AS INTEGER) AS top FROM y""",
 )
 def page_tiles(t: Tables) -> DataFrame:
-    x = t.part.filter("p_partkey % 10 = 0").select("p_partkey", (500 + c("p_size") * 90).alias("h"))
+    x = t.part.select("p_partkey", (500 + c("p_size") * 90).alias("h"))
     return tiles(x, c("h"), 1000, 200).select("p_partkey", "tile", "top")
 
 
@@ -88,7 +88,7 @@ def early_exit(t: Tables) -> DataFrame:
 
 @R.add("f1_latest", "SELECT match_id, CAST(created_at AS DATE) AS day FROM matches ORDER BY created_at DESC, match_id DESC LIMIT 50")
 def latest(t: Tables) -> DataFrame:
-    """F1 and A2: the newest rows; a limit is the feature."""
+    """the newest rows; a limit is the feature."""
     return t.matches.orderBy(F.desc("created_at"), F.desc("match_id")).limit(50).select("match_id", F.to_date("created_at").alias("day"))
 
 
@@ -104,7 +104,7 @@ def page(t: Tables) -> DataFrame:
     CAST(row_number() OVER (ORDER BY CASE WHEN score BETWEEN 60 AND 80 THEN 0 WHEN status = 'violation' THEN 1 ELSE 2 END, match_id DESC, price) AS INTEGER) AS place FROM x""",
 )
 def review_order(t: Tables) -> DataFrame:
-    """a stable sort by bucket of the newest hundred rows."""
+    """a stable sort by bucket of the newest hundred rows."""
     x = t.matches.orderBy(F.desc("match_id"), "price").limit(100)
     bucket = F.when(c("score").between(60, 80), 0).when(c("status") == "violation", 1).otherwise(2)
     x = x.withColumn("bucket", bucket)
@@ -116,7 +116,7 @@ def review_order(t: Tables) -> DataFrame:
     """WITH x AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host, contains(url, '?') AS promo FROM pages) SELECT host, page_id FROM x QUALIFY row_number() OVER (PARTITION BY host ORDER BY promo DESC, page_id) <= 4""",
 )
 def pool_fill(t: Tables) -> DataFrame:
-    """Up to four pages of a site, promotional ones first."""
+    """F8: up to four pages of a site, promotional ones first."""
     x = t.pages.select("page_id", F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)).alias("host"), F.contains("url", F.lit("?")).alias("promo"))
     return first_per(x, ["host"], [F.desc("promo"), F.asc("page_id")], 4).select("host", "page_id")
 
@@ -143,7 +143,7 @@ def union_first(t: Tables) -> DataFrame:
     len(list_filter(['view','click'], lambda x: NOT list_contains(coalesce(a, []), x))) = 0 AS has_all FROM g""",
 )
 def array_sets(t: Tables) -> DataFrame:
-    """G2, G3, G5 and G6."""
+    """G2, G3 and G5."""
     pick = lambda k: F.collect_set(F.when(c("event_id") % 2 == k, c("event_type")))
     g = t.events.groupBy("user_id").agg(pick(0).alias("a"), pick(1).alias("b"))
     return g.select("user_id", F.array_join(F.sort_array(F.array_union("a", "b")), ",").alias("both_"), F.array_join(F.sort_array(F.array_except("a", "b")), ",").alias("only_a"), (F.size(F.array_except(F.array(F.lit("view"), F.lit("click")), "a")) == 0).alias("has_all"))
@@ -159,7 +159,7 @@ def distinct_pairs(t: Tables) -> DataFrame:
     """SELECT match_id, price, coalesce(CASE WHEN match_id % 4 = 0 THEN 'approved' END, status) AS status, CASE WHEN match_id % 4 = 0 THEN DATE '2001-01-01' END AS reviewed, status || CASE WHEN match_id % 4 = 0 THEN ',flagged' ELSE '' END AS issues FROM matches WHERE score >= 95""",
 )
 def partial_update(t: Tables) -> DataFrame:
-    """New values where given, derived review date, an appended issue."""
+    """New values where given, derived review date, an appended issue."""
     m = t.matches.filter("score >= 95")
     new = F.when(c("match_id") % 4 == 0, F.lit("approved"))
     issues = F.when(new.isNotNull(), F.array_append(F.array("status"), F.lit("flagged"))).otherwise(F.array("status"))
@@ -190,10 +190,10 @@ def merge_maps(t: Tables) -> DataFrame:
     return g.select("user_id", *[F.try_element_at(m, F.lit(k)).alias(k) for k in "abd"])
 
 
-@R.add("a21_checked_insert", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) THEN l_suppkey END AS l_suppkey FROM lineitem WHERE l_orderkey % 10 = 0")
+@R.add("a21_checked_insert", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) THEN l_suppkey END AS l_suppkey FROM lineitem")
 def checked_insert(t: Tables) -> DataFrame:
-    """Dangling dealer keys become null, as a bulk insert retries them."""
-    rows = t.lineitem.filter("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    """Dangling dealer keys become null, as a bulk insert retries them."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return checked_fk(rows, "l_suppkey", t.supplier.filter("s_acctbal > 0"), "s_suppkey")
 
 
@@ -214,7 +214,7 @@ def early_stop(t: Tables) -> DataFrame:
     OR (status = 'pending' AND created_at < TIMESTAMP '1998-06-01' - INTERVAL 15 MINUTE)""",
 )
 def idle(t: Tables) -> DataFrame:
-    """Jobs whose heartbeat, or creation, is too old."""
+    """Jobs whose heartbeat, or creation, is too old."""
     now = F.lit("1998-06-01").cast("timestamp_ntz")
     beat = F.when(c("job_id") % 4 != 0, c("created_at") + F.make_interval(hours=(c("job_id") % 48).cast("int")))
     old = lambda x, m: x < now - F.expr(f"interval {m} minutes")

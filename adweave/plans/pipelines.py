@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators.funnel import funnel
 from ..operators.joins import first_per
-from ..operators.merges import upsert
 from ..sources.files import html_links, read_csv, read_manifest, resolved, sitemap_locations, write_manifest
 from ..streaming.base import drained, read_stream, shared_folder
 from ..streaming.stateful import host_policy, throttle
@@ -20,7 +19,7 @@ R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
 c = F.col
 
-_PAIRS = """p AS (SELECT match_id, price, match_id % 50 <> 0 AS downloaded, match_id % 4 = 0 AS screenshot, CASE WHEN match_id % 17 <> 0 THEN match_id % 33 END AS hash_distance, CASE WHEN match_id % 19 <> 0 THEN (match_id % 100) / 100.0::DOUBLE END AS cosine,
+_PAIRS = """p AS (SELECT match_id, price, asset_id, distributor_id, match_id % 50 <> 0 AS downloaded, match_id % 4 = 0 AS screenshot, CASE WHEN match_id % 17 <> 0 THEN match_id % 33 END AS hash_distance, CASE WHEN match_id % 19 <> 0 THEN (match_id % 100) / 100.0::DOUBLE END AS cosine,
   (asset_id % 100) / 50.0::DOUBLE AS relevance, score AS visual, CAST(match_id % 101 AS DOUBLE) AS hashed, match_id % 101 > 96 AS hash_exact, CAST(asset_id % 101 AS DOUBLE) AS detection, CAST(asset_id % 6 AS INTEGER) AS gates_passed,
   match_id % 5 <> 0 AS gate_brand, match_id % 7 <> 0 AS gate_product, CASE status WHEN 'violation' THEN match_id % 3 = 0 WHEN 'compliant' THEN true END AS asset_visible, CASE WHEN match_id % 4 = 0 THEN 65 ELSE 60 END AS threshold, 0.95::DOUBLE AS factor FROM matches),
 f AS (SELECT *, visual * (0.5::DOUBLE/0.65::DOUBLE) + hashed * (0.15::DOUBLE/0.65::DOUBLE) AS f0 FROM p), g AS (SELECT *, CASE WHEN visual > 60 AND hashed > 60 THEN least(100.0, f0 + 5) ELSE f0 END AS f1 FROM f),
@@ -36,6 +35,8 @@ def judged_pairs(t: Tables) -> DataFrame:
     return t.matches.select(
         "match_id",
         "price",
+        "asset_id",
+        "distributor_id",
         (i % 50 != 0).alias("downloaded"),
         (i % 4 == 0).alias("screenshot"),
         F.when(i % 17 != 0, i % 33).alias("hash_distance"),
@@ -56,7 +57,7 @@ def judged_pairs(t: Tables) -> DataFrame:
 
 @R.add("l1_funnel", f"WITH {_PAIRS} SELECT match_id, price, stage, final_score, CASE WHEN final_score >= 90 THEN 'exact' WHEN final_score >= 75 THEN 'strong' WHEN final_score >= 65 THEN 'partial' WHEN final_score >= 50 THEN 'weak' WHEN final_score IS NOT NULL THEN 'none' END AS match_type FROM z")
 def match_funnel(t: Tables) -> DataFrame:
-    """L1, also the core of L4, L5, L12 and L13, which differ in the pairs they feed."""
+    """L1."""
     return funnel(judged_pairs(t)).select("match_id", "price", "stage", "final_score", "match_type")
 
 
@@ -74,15 +75,11 @@ def funnel_counts(t: Tables) -> DataFrame:
 def match_write(t: Tables) -> DataFrame:
     """L2: upsert of matches by asset and URL, previous status on drift, alerts that follow."""
     m = t.matches.withColumn("url", c("scan_job_id") % 50)
-    part = lambda k: m.filter(c("match_id") % 2 == k).groupBy("asset_id", "url").agg(F.max_by("status", F.struct("match_id", "price")).alias("status"))
-    old = part(1).withColumn("previous", F.lit(None).cast("string")).withColumn("old", c("status"))
-    new = part(0).withColumn("previous", F.lit(None).cast("string")).withColumn("old", F.lit(None).cast("string"))
-    x = upsert(old, new, ["asset_id", "url"], {"old": lambda o, n: o})
-    fresh = part(0).select("asset_id", "url", c("status").alias("new"))
-    x = x.join(fresh, ["asset_id", "url"], "left")
-    drifted = c("new").isNotNull() & (c("old") != c("new"))
+    last = lambda k: F.max_by(F.when(c("match_id") % 2 == k, c("status")), F.when(c("match_id") % 2 == k, F.struct("match_id", "price")))
+    x = m.groupBy("asset_id", "url").agg(last(1).alias("old"), last(0).alias("new"))  # stored and new matches come together in one aggregation
+    drifted = c("old") != c("new")
     bad = c("new") == "violation"
-    return x.select("asset_id", "url", "status", F.when(drifted, c("old")).alias("previous"), F.when(drifted & bad, "compliance_drift").when(c("old").isNull() & bad, "compliance_violation").alias("alert"))
+    return x.select("asset_id", "url", F.coalesce("new", "old").alias("status"), F.when(drifted, c("old")).alias("previous"), F.when(drifted & bad, "compliance_drift").when(c("old").isNull() & bad, "compliance_violation").alias("alert"))
 
 
 @R.add(
@@ -117,11 +114,11 @@ def csv_round_trip(t: Tables) -> DataFrame:
     return read_csv(t.spark, at).select(c("c_custkey").cast("long").alias("c_custkey"), "quoted_name", "market_segment")
 
 
-@R.add("a8_manifest", "SELECT 2 AS version, p_partkey AS id, p_brand AS category, p_size % 2 = 0 AS is_match FROM part WHERE p_partkey % 20 = 0")
+@R.add("a8_manifest", "SELECT 2 AS version, p_partkey AS id, p_brand AS category, p_size % 2 = 0 AS is_match FROM part")
 def manifest_round_trip(t: Tables) -> DataFrame:
-    """JSON documents with nested cases, one for each thousand ids, written and read again."""
+    """JSON documents with nested cases, one for each thousand ids, written and read again."""
     at = f"{shared_folder(t.spark)}/manifest-{uuid.uuid4().hex}"
-    cases = t.part.filter("p_partkey % 20 = 0").select(F.struct(c("p_partkey").alias("id"), c("p_brand").alias("category"), F.struct((c("p_size") % 2 == 0).alias("is_match")).alias("expected")).alias("x"))
+    cases = t.part.select(F.struct(c("p_partkey").alias("id"), c("p_brand").alias("category"), F.struct((c("p_size") % 2 == 0).alias("is_match")).alias("expected")).alias("x"))
     write_manifest(cases, at, F.floor(c("x.id") / 1000))
     return read_manifest(t.spark, at, "id long, category string, expected struct<is_match: boolean>").select("version", "id", "category", "expected.is_match")
 
@@ -134,7 +131,7 @@ def geojson(t: Tables) -> DataFrame:
 
 @R.add("a12_incremental", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderdate > TIMESTAMP '2000-01-01' ORDER BY o_orderdate, o_orderkey LIMIT 2000")
 def incremental(t: Tables) -> DataFrame:
-    """Rows past the high-watermark, oldest first, a page of 2000."""
+    """Rows past the high-watermark, oldest first, a page of 2000."""
     return t.orders.filter((c("o_orderstatus") == "F") & (c("o_orderdate") > F.lit("2000-01-01").cast("timestamp_ntz"))).orderBy("o_orderdate", "o_orderkey").limit(2000).select("o_orderkey")
 
 
@@ -151,12 +148,12 @@ def containment_fallback(t: Tables) -> DataFrame:
 
 @R.add(
     "l11_multi_asset",
-    """WITH g AS (SELECT user_id, list(event_id ORDER BY event_id) AS assets, min(CAST(props->>'$.k' AS INTEGER)) % 9 AS pick, max(value) AS v FROM events WHERE event_id % 40 = 0 GROUP BY 1)
+    """WITH g AS (SELECT user_id, list(event_id ORDER BY event_id) AS assets, min(CAST(props->>'$.k' AS INTEGER)) % 9 AS pick, max(value) AS v FROM events GROUP BY 1)
     SELECT user_id, CASE WHEN pick BETWEEN 1 AND len(assets) THEN assets[pick] END AS asset, CAST(greatest(0, least(100, round_even(v * 3, 0))) AS INTEGER) AS score FROM g""",
 )
 def multi_asset(t: Tables) -> DataFrame:
     """A 1-based choice among assets, 0 or out of range is none; score rounded and clamped."""
-    g = t.events.filter("event_id % 40 = 0").groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("assets"), (F.min(F.get_json_object("props", "$.k").cast("int")) % 9).alias("pick"), F.max("value").alias("v"))
+    g = t.events.groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("assets"), (F.min(F.get_json_object("props", "$.k").cast("int")) % 9).alias("pick"), F.max("value").alias("v"))
     ok = c("pick").between(1, F.size("assets"))
     return g.select("user_id", F.when(ok, F.try_element_at("assets", F.when(ok, c("pick")).otherwise(1))).alias("asset"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(c("v") * 3))).cast("int").alias("score"))
 
@@ -183,7 +180,7 @@ def evaluation_gate(t: Tables) -> DataFrame:
     SELECT user_id, event_id FROM t WHERE emitted""",
 )
 def throttled(t: Tables) -> DataFrame:
-    """A stateful stream that drops events within an hour of the last one emitted."""
+    """A stateful stream that drops events within an hour of the last one emitted."""
     e = read_stream(t.spark, f"{t.sf_dir}/events.parquet").select("user_id", "event_id", F.unix_micros(c("ts").cast("timestamp")).alias("at"))
     return drained(throttle(e, 3_600_000_000))
 
@@ -197,7 +194,7 @@ def throttled(t: Tables) -> DataFrame:
     SELECT user_id, event_id, ['plain','patient','headful','proxy','manual'][rung + 1] AS strategy, streak, good, bad FROM t WHERE rn > 0""",
 )
 def policy(t: Tables) -> DataFrame:
-    """The strategy ladder as keyed state of a stream."""
+    """I8: the strategy ladder as keyed state of a stream."""
     e = read_stream(t.spark, f"{t.sf_dir}/events.parquet").select("user_id", "event_id", F.unix_micros(c("ts").cast("timestamp")).alias("at"), (c("event_type") != "error").alias("ok"))
     return drained(host_policy(e))
 
@@ -212,7 +209,7 @@ def progress(t: Tables) -> DataFrame:
 
 @R.add("i13_watermark", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n FROM events GROUP BY 1")
 def watermarked(t: Tables) -> DataFrame:
-    """Day windows under a watermark; a later count of a day replaces an earlier one."""
+    """Day windows under a watermark; a later count of a day replaces an earlier one."""
     s = read_stream(t.spark, f"{t.sf_dir}/events.parquet").select(c("ts").cast("timestamp").alias("ts"))
     g = s.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"))
     return drained(g.select(F.to_date("w.start").alias("day"), "n"), "update").groupBy("day").agg(F.max("n").alias("n"))

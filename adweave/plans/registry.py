@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import extras, joining, ordering, pipelines, reporting, scalars
+from . import analysis, extras, joining, ordering, pipelines, records, reporting, scalars
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (reporting, scalars, joining, ordering, pipelines, extras):
+for _module in (reporting, scalars, joining, ordering, pipelines, extras, records, analysis):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -17,9 +17,9 @@ n_if = lambda x: F.count_if(x)
 
 def scoped(t: Tables, org: int = 1) -> DataFrame:
     """Matches of an organisation: by its dealer or by its asset; those with neither never."""
-    return t.matches.join(t.dealers.filter(c("org_id") == org).select("distributor_id"), "distributor_id", "left_semi").unionByName(
-        t.matches.join(t.dealers.filter(c("org_id") == org).select("distributor_id"), "distributor_id", "left_anti").join(t.assets.filter(c("org_id") == org).select("asset_id"), "asset_id", "left_semi")
-    )
+    own = lambda dim, key, flag: dim.filter(c("org_id") == org).select(key, F.lit(True).alias(flag))
+    m = t.matches.join(own(t.dealers, "distributor_id", "by_dealer"), "distributor_id", "left").join(own(t.assets, "asset_id", "by_asset"), "asset_id", "left")
+    return m.filter(c("by_dealer") | c("by_asset")).drop("by_dealer", "by_asset")
 
 
 _SCOPE = "(m.distributor_id IN (SELECT distributor_id FROM dealers WHERE org_id = 1) OR m.asset_id IN (SELECT asset_id FROM assets WHERE org_id = 1))"
@@ -92,7 +92,7 @@ def dashboard(t: Tables) -> DataFrame:
     round(count(*) FILTER (was_correct) * 100.0 / nullif(count(*), 0), 2) AS accuracy, round(avg(confidence), 4) AS avg_confidence FROM feedback GROUP BY ALL""",
 )
 def accuracy_stats(t: Tables) -> DataFrame:
-    """D6 and D7."""
+    """D6."""
     g = t.feedback.groupBy("source_type", "channel", "verdict").agg(F.count("*").alias("total"), n_if(c("was_correct")).alias("correct"), F.round(F.avg("confidence"), 4).alias("avg_confidence"))
     return g.withColumn("accuracy", F.round(c("correct") * 100.0 / F.nullif(c("total"), F.lit(0)), 2))
 
@@ -265,7 +265,7 @@ def scan_summary(t: Tables) -> DataFrame:
     """SELECT source AS vendor, CAST(round(sum(CAST(cost AS DECIMAL(18,2))), 4) AS DOUBLE) AS cost, count(*) AS items, count(*) FILTER (cost > 100000) AS large FROM jobs GROUP BY 1 ORDER BY cost DESC""",
 )
 def cost_by_vendor(t: Tables) -> DataFrame:
-    """D24, D25 and F10."""
+    """D24 and F10."""
     return t.jobs.groupBy(c("source").alias("vendor")).agg(F.sum(c("cost").cast("decimal(18,2)")).cast("double").alias("cost"), F.count("*").alias("items"), n_if(c("cost") > 100000).alias("large")).orderBy(F.desc("cost"))
 
 
@@ -305,7 +305,7 @@ def dominant_failure(t: Tables) -> DataFrame:
 
 @R.add(
     "d31_rules_by_type",
-    "SELECT campaign_id, array_to_string(list_sort(list(name) FILTER (size % 2 = 0)), '|') AS required, array_to_string(list_sort(list(name) FILTER (size % 2 = 1)), '|') AS forbidden FROM assets GROUP BY 1",
+    "SELECT campaign_id, coalesce(array_to_string(list_sort(list(name) FILTER (size % 2 = 0)), '|'), '') AS required, coalesce(array_to_string(list_sort(list(name) FILTER (size % 2 = 1)), '|'), '') AS forbidden FROM assets GROUP BY 1",
 )
 def rules_by_type(t: Tables) -> DataFrame:
     pick = lambda odd: F.array_join(F.sort_array(F.collect_list(F.when(c("size") % 2 == odd, c("name")))), "|")
@@ -334,12 +334,18 @@ def confusion(t: Tables) -> DataFrame:
     SELECT event_type, max(value) FILTER (i = CAST(round_even(0.95 * (n - 1), 0) AS BIGINT)) AS p95, round(avg(value), 6) AS mean FROM r GROUP BY 1""",
 )
 def latency_p95(t: Tables) -> DataFrame:
-    """The value at index round-half-even(0.95 (n - 1)); from value counts, so no group is sorted in one task."""
-    counts = t.events.groupBy("event_type", "value").agg(F.count("*").alias("k"))
+    """The value at index round-half-even(0.95 (n - 1)). Counts by powers of two and sixteenths of them say in which range it is; only that range's values are sorted."""
+    v = c("value")
+    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.abs(v), F.lit(1e-300)))) - 4)
+    range_ = F.when(v == 0, F.lit(0.0)).otherwise(F.floor(v / step) * step).alias("range")
+    ranges = t.events.groupBy("event_type", range_).agg(F.count("*").alias("k"))
     w = Window.partitionBy("event_type")
-    upto = F.sum("k").over(w.orderBy("value"))
+    upto = F.sum("k").over(w.orderBy("range"))
     at = F.bround(0.95 * (F.sum("k").over(w) - 1)).cast("long")
-    p = counts.withColumn("lo", upto - c("k")).withColumn("hi", upto).withColumn("at", at).filter((c("lo") <= c("at")) & (c("at") < c("hi"))).select("event_type", c("value").alias("p95"))
+    one = ranges.select("event_type", "range", (upto - c("k")).alias("lo"), upto.alias("hi"), at.alias("at")).filter((c("lo") <= c("at")) & (c("at") < c("hi")))
+    values = t.events.select("event_type", "value", range_).join(one, ["event_type", "range"]).groupBy("event_type", "value", "lo", "at").agg(F.count("*").alias("k"))
+    end = c("lo") + F.sum("k").over(w.orderBy("value"))
+    p = values.select("event_type", "value", "at", end.alias("end"), (end - c("k")).alias("begin")).filter((c("begin") <= c("at")) & (c("at") < c("end"))).select("event_type", c("value").alias("p95"))
     return t.events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean")).join(p, "event_type")
 
 

@@ -54,12 +54,11 @@ def validation(t: Tables) -> DataFrame:
 @R.add(
     "b15_fallbacks",
     """SELECT match_id, coalesce(last_seen, CAST(created_at AS DATE)) AS seen, coalesce(nullif(CASE WHEN score < 20 THEN '' ELSE channel END, ''), nullif(status, ''), 'none') AS named,
-    CASE WHEN score >= 50 THEN channel END AS shown, substr(channel, 1, 4) || CASE WHEN length(channel) > 4 THEN '...' ELSE '' END AS short FROM matches WHERE match_id % 7 = 0""",
+    CASE WHEN score >= 50 THEN channel END AS shown, substr(channel, 1, 4) || CASE WHEN length(channel) > 4 THEN '...' ELSE '' END AS short FROM matches""",
 )
 def fallbacks(t: Tables) -> DataFrame:
     """B13 to B16 and B19."""
-    m = t.matches.filter("match_id % 7 = 0")
-    return m.select("match_id", F.coalesce("last_seen", F.to_date("created_at")).alias("seen"), text.first_filled(F.when(c("score") < 20, "").otherwise(c("channel")), c("status"), F.lit("none")).alias("named"), F.when(c("score") >= 50, c("channel")).alias("shown"), text.truncated(c("channel"), 4, "...").alias("short"))
+    return t.matches.select("match_id", F.coalesce("last_seen", F.to_date("created_at")).alias("seen"), text.first_filled(F.when(c("score") < 20, "").otherwise(c("channel")), c("status"), F.lit("none")).alias("named"), F.when(c("score") >= 50, c("channel")).alias("shown"), text.truncated(c("channel"), 4, "...").alias("short"))
 
 
 @R.add(
@@ -78,8 +77,8 @@ def bands(t: Tables) -> DataFrame:
 
 @R.add(
     "b21_url_predicates",
-    """WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) AS path FROM pages)
-    SELECT page_id, len(list_intersect(regexp_split_to_array(path, '[/\\-_.]'), ['deal','deals','offer','offers','promo','promotion','promotions','sale','sales','special','specials','en','de'])) > 0 AS promo,
+    f"""WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) AS path FROM pages)
+    SELECT page_id, len(list_intersect(regexp_split_to_array(path, '[/\\-_.]'), {list(text.PROMO_WORDS)})) > 0 AS promo,
     NOT regexp_matches(path, '\\.(pdf|jpg|jpeg|png|gif|svg|webp|mp4|zip|css|js|xml)$') AND NOT regexp_matches(path, '/(login|cart|checkout|account|privacy|terms|wp-admin)(/|$)') AS scannable FROM p""",
 )
 def url_predicates(t: Tables) -> DataFrame:
@@ -90,10 +89,10 @@ def url_predicates(t: Tables) -> DataFrame:
 @R.add(
     "b24_ownership",
     """SELECT m.match_id FROM matches m LEFT JOIN dealers d USING (distributor_id) LEFT JOIN assets a USING (asset_id)
-    WHERE m.match_id % 3 = 0 AND (d.org_id = 2 OR a.org_id = 2 OR (m.distributor_id IS NULL AND a.asset_id IS NULL))""",
+    WHERE (d.org_id = 2 OR a.org_id = 2 OR (m.distributor_id IS NULL AND a.asset_id IS NULL))""",
 )
 def ownership(t: Tables) -> DataFrame:
-    m = t.matches.filter("match_id % 3 = 0").join(t.dealers.select("distributor_id", c("org_id").alias("d_org")), "distributor_id", "left").join(t.assets.select("asset_id", c("org_id").alias("a_org")), "asset_id", "left")
+    m = t.matches.join(t.dealers.select("distributor_id", c("org_id").alias("d_org")), "distributor_id", "left").join(t.assets.select("asset_id", c("org_id").alias("a_org")), "asset_id", "left")
     return m.filter((c("d_org") == 2) | (c("a_org") == 2) | (c("distributor_id").isNull() & c("a_org").isNull())).select("match_id")
 
 
@@ -136,14 +135,14 @@ def identity(t: Tables) -> DataFrame:
 
 @R.add(
     "b31_boxes",
-    """WITH b AS (SELECT match_id, CAST(score AS INTEGER) * 7 AS x, CAST(match_id % 900 AS INTEGER) AS y, CAST(score AS INTEGER) * 3 AS w, CAST(match_id % 97 AS INTEGER) AS h FROM matches WHERE match_id % 13 = 0)
+    """WITH b AS (SELECT match_id, CAST(score AS INTEGER) * 7 AS x, CAST(match_id % 900 AS INTEGER) AS y, CAST(score AS INTEGER) * 3 AS w, CAST(match_id % 97 AS INTEGER) AS h FROM matches)
     SELECT match_id, least(w, 600 - x) AS w, least(h, 950 - y) AS h, CASE WHEN y < 0.15 * 950 THEN 'header' WHEN y < 0.5 * 950 THEN 'above' WHEN y < 0.8 * 950 THEN 'middle' ELSE 'footer' END AS place,
     round(greatest(0, least(x + w, 400) - greatest(x, 100)) * greatest(0, least(y + h, 500) - greatest(y, 50)) * 1.0 / least(w * h, 300 * 450), 6) > 0.5 AS overlaps
     FROM b WHERE least(w, 600 - x) >= 50 AND least(h, 950 - y) >= 30""",
 )
 def boxes(t: Tables) -> DataFrame:
     """Clipped boxes, their place on the page, overlap over half the smaller box."""
-    b = t.matches.filter("match_id % 13 = 0").select("match_id", (c("score").cast("int") * 7).alias("x"), (c("match_id") % 900).cast("int").alias("y"), (c("score").cast("int") * 3).alias("bw"), (c("match_id") % 97).cast("int").alias("bh"))
+    b = t.matches.select("match_id", (c("score").cast("int") * 7).alias("x"), (c("match_id") % 900).cast("int").alias("y"), (c("score").cast("int") * 3).alias("bw"), (c("match_id") % 97).cast("int").alias("bh"))
     w, h = F.least("bw", 600 - c("x")), F.least("bh", 950 - c("y"))
     both = F.greatest(F.lit(0), F.least(c("x") + c("bw"), F.lit(400)) - F.greatest("x", F.lit(100))) * F.greatest(F.lit(0), F.least(c("y") + c("bh"), F.lit(500)) - F.greatest("y", F.lit(50)))
     place = F.when(c("y") < 0.15 * 950, "header").when(c("y") < 0.5 * 950, "above").when(c("y") < 0.8 * 950, "middle").otherwise("footer")
@@ -311,10 +310,10 @@ def media(t: Tables) -> DataFrame:
 
 @R.add(
     "h47_trails",
-    """SELECT user_id, CASE WHEN count(*) > 1 AND count(*) FILTER (event_type='purchase') = 0 THEN string_agg(event_type || '=' || CAST(event_id AS VARCHAR), ' -> ' ORDER BY event_id) END AS trail FROM events WHERE event_id % 50 = 0 GROUP BY 1""",
+    """SELECT user_id, CASE WHEN count(*) > 1 AND count(*) FILTER (event_type='purchase') = 0 THEN string_agg(event_type || '=' || CAST(event_id AS VARCHAR), ' -> ' ORDER BY event_id) END AS trail FROM events GROUP BY 1""",
 )
 def trails(t: Tables) -> DataFrame:
     steps = F.sort_array(F.collect_list(F.struct("event_id", "event_type")))
-    g = t.events.filter("event_id % 50 = 0").groupBy("user_id").agg(steps.alias("s"), F.count_if(c("event_type") == "purchase").alias("p"))
+    g = t.events.groupBy("user_id").agg(steps.alias("s"), F.count_if(c("event_type") == "purchase").alias("p"))
     joined = F.array_join(F.transform("s", lambda x: F.concat(x["event_type"], F.lit("="), x["event_id"].cast("string"))), " -> ")
     return g.select("user_id", F.when((F.size("s") > 1) & (c("p") == 0), joined).alias("trail"))

@@ -34,7 +34,23 @@ def test_contains_first(spark):
     names = spark.createDataFrame([(1, "Main Street Motors"), (2, "Street"), (3, "Motors")], "o int, name string")
     rows = spark.createDataFrame([(1, "street"), (2, "Motors of Main Street"), (3, ""), (4, "zzz"), (5, None)], "id int, t string")
     got = {r.id: r.o for r in contains_first(rows, "id", "t", names, "name", "o", ["o"]).collect()}
-    assert got == {1: 2, 2: 2, 3: 1, 4: None, 5: 1}
+    assert got == {1: 2, 2: 2, 3: 1, 4: None, 5: None}
+
+
+def test_contains_first_of_short_names(spark):
+    """Random short strings against brute force, with repeats, empty and null ones."""
+    import random
+
+    rng = random.Random(3)
+    word = lambda: rng.choice([None, "", *["".join(rng.choice("abZ") for _ in range(rng.randint(1, 6))) for _ in range(12)]])
+    for blank in (True, False):
+        names = [(i, n) for i in range(25) if (n := word()) != "" or blank]
+        rows = [(i, word()) for i in range(80)]
+        got = {r.id: r.o for r in contains_first(spark.createDataFrame(rows, "id int, t string"), "id", "t", spark.createDataFrame(names, "o int, name string"), "name", "o", ["o"]).collect()}
+        for i, t in rows:
+            hits = [] if t is None else [(t.lower() != n.lower(), o) for o, n in names if n is not None and (n.lower() in t.lower() or t.lower() in n.lower())]
+            want = min(o for o, n in names if n is not None) if t == "" else min(hits)[1] if hits else None
+            assert got[i] == want, (t, names)
 
 
 def test_tiers(spark):
