@@ -225,12 +225,12 @@ def cosine_semi(t: Tables) -> DataFrame:
 
 @R.add(
     "c23_growing_names",
-    """WITH n AS (SELECT p_partkey, p_brand, lower(trim(p_type)) AS k, row_number() OVER (PARTITION BY p_brand, lower(trim(p_type)) ORDER BY p_partkey) AS rn FROM part WHERE p_partkey % 2 = 0)
-    SELECT p_partkey FROM n WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM part o WHERE o.p_partkey % 2 = 1 AND o.p_brand = n.p_brand AND lower(trim(o.p_type)) = n.k)""",
+    """WITH n AS (SELECT p_partkey, p_brand, lower(trim(p_name)) AS k, row_number() OVER (PARTITION BY p_brand, lower(trim(p_name)) ORDER BY p_partkey) AS rn FROM part WHERE p_partkey % 2 = 0)
+    SELECT p_partkey FROM n WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM part o WHERE o.p_partkey % 2 = 1 AND o.p_brand = n.p_brand AND lower(trim(o.p_name)) = n.k)""",
 )
 def growing_names(t: Tables) -> DataFrame:
     """New names within a campaign; the first of a batch is known to the rows after it."""
-    k = F.lower(F.trim("p_type")).alias("k")
+    k = F.lower(F.trim("p_name")).alias("k")
     old, new = t.part.filter("p_partkey % 2 = 1").select("p_brand", k), t.part.filter("p_partkey % 2 = 0").select("p_partkey", "p_brand", k)
     return new.join(old, ["p_brand", "k"], "left_anti").groupBy("p_brand", "k").agg(F.min("p_partkey").alias("p_partkey")).select("p_partkey")
 
@@ -319,7 +319,7 @@ def cache_tokens(t: Tables) -> DataFrame:
 
 @R.add(
     "d29_host_outcomes",
-    """SELECT 'h' || user_id % 30 AS host, count(*) FILTER (event_type = 'error') AS blocked, count(*) FILTER (event_type = 'click') AS timeout, count(*) FILTER (event_type IN ('view', 'purchase')) AS images, min_by(event_type || ' ' || event_id, event_id) FILTER (event_type IN ('error', 'click')) AS reason FROM events GROUP BY 1""",
+    """SELECT 'h' || user_id % 30 AS host, count(*) FILTER (event_type = 'error') AS blocked, count(*) FILTER (event_type = 'click') AS timeout, count(*) FILTER (event_type NOT IN ('error', 'click')) AS images, min_by(event_type || ' ' || event_id, event_id) FILTER (event_type IN ('error', 'click')) AS reason FROM events GROUP BY 1""",
 )
 def host_outcomes(t: Tables) -> DataFrame:
     """Dealers with their pages as nested arrays, exploded twice; outcomes of a host and its first reason that is filled."""
