@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,18 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where that is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="adweave-stream-")
+    """The folder that the driver and all executors share: spark.checkpoint.dir of the session, or the context's checkpoint folder.
+
+    If neither is set, a temporary folder in local mode, where all is one machine; on a cluster that raises.
+    """
+    sc = spark.sparkContext
+    if at := sc.getConf().get("spark.checkpoint.dir"):
+        return at
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="adweave-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
