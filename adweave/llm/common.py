@@ -5,6 +5,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,14 +17,19 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or the context's checkpoint folder. Raises if neither is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or the context's checkpoint folder.
+
+    If neither is set, a temporary folder in local mode, where all is one machine; on a cluster that raises.
+    """
     sc = spark.sparkContext
     if at := sc.getConf().get("spark.checkpoint.dir"):
         if not sc._jsc.sc().getCheckpointDir().isDefined():
             sc.setCheckpointDir(at)
         return at
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="adweave-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
