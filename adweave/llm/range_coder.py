@@ -127,9 +127,9 @@ def encode(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, list[tu
     x = np.ascontiguousarray(x.reshape(lanes, block).T)
     low, span = np.zeros(lanes, U), np.full(lanes, _FULL)
     width = 3 * block + 64
-    out = np.zeros(lanes * width, V)  # units with the carry that they pass on, as bit 16
-    first = np.arange(lanes) * width
-    n = first.copy()
+    # units with the carry that they pass on, as bit 16; the same unit of all blocks side by side
+    out = np.zeros(width * lanes, V)
+    n = np.arange(lanes)
     st = _States(lanes)
     for t in range(block):
         token = x[t]
@@ -154,18 +154,19 @@ def encode(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, list[tu
         while len(i):
             lo, sp, to = low[i], span[i] << U(16), n[i]
             out[to] = lo >> _UNIT
-            n[i] = to + 1
+            n[i] = to + lanes
             low[i], span[i] = (lo & _MASK) << U(16), sp
             i = i[sp < _BOTTOM]
         st.learn(token, hit, second)
     for _ in range(4):
         out[n] = low >> _UNIT
-        n += 1
+        n += lanes
         low = (low & _MASK) << U(16)
-    out, n = out.reshape(lanes, width), n - first
-    for k in range(int(n.max()) - 1, 0, -1):
-        out[:, k - 1] += out[:, k] >> V(16)
-    units = out.astype("<u2")
+    n //= lanes
+    out = out[: int(n.max()) * lanes].reshape(-1, lanes)
+    for k in range(len(out) - 1, 0, -1):
+        out[k - 1] += out[k] >> V(16)
+    units = np.ascontiguousarray(out.astype("<u2").T)
     blocks = []
     for i in range(lanes):
         own = ids[i * block : (i + 1) * block]
