@@ -35,8 +35,8 @@ DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: White space other than ASCII's; texts with it are tokenised whole.
 _ODD = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _BLANK = b" \t\n\v\f\r"
-#: Units encoded together.
-RUN = 4_096
+#: Units encoded together; the tokenizer takes more time a byte for longer texts.
+RUN = 256
 _loaded: dict[str, object] = {}
 _encoders: dict = {}
 
