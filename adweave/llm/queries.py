@@ -1,6 +1,7 @@
 """Registered queries of the operators, and their SQL where SQL can express them."""
 
 from .chat import op9_chat_formatting
+from .clustering import OP11_SQL, op11_dual_tree_lloyd
 from .decontamination import op6_decontamination
 from .html_extraction import op8_html_extraction
 from .language_id import op4_language_id
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_line_dedup": op10_line_dedup,
+    "op11_dual_tree_lloyd": op11_dual_tree_lloyd,
 }
-ORACLES = {"op10_line_dedup": OP10_SQL}
+ORACLES = {"op10_line_dedup": OP10_SQL, "op11_dual_tree_lloyd": OP11_SQL}
