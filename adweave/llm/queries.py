@@ -11,6 +11,7 @@ from .near_dedup import op5_minhash_near_dedup
 from .packing import op2_length_packing
 from .token_output import op3_token_output
 from .toxicity import op1_toxicity
+from .vector_dedup import OP13_SQL, op13_multi_index_dedup
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -24,5 +25,6 @@ QUERIES = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_line_dedup": op10_line_dedup,
     "op11_dual_tree_lloyd": op11_dual_tree_lloyd,
+    "op13_multi_index_dedup": op13_multi_index_dedup,
 }
-ORACLES = {"op10_line_dedup": OP10_SQL, "op11_dual_tree_lloyd": OP11_SQL}
+ORACLES = {"op10_line_dedup": OP10_SQL, "op11_dual_tree_lloyd": OP11_SQL, "op13_multi_index_dedup": OP13_SQL}

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from adweave.llm import clustering
+from adweave.llm import clustering, vector_dedup
 from adweave.llm.cover_tree import build, centroid_tree, nearest
+from adweave.llm.multi_index import Grid, codebook, fit, unit
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -81,3 +82,75 @@ def test_cover_tree_and_pruning():
             assert (got[t.start[n] : t.end[n]] == -1).all()
             got[t.start[n] : t.end[n]] = number[p]
     assert (got == ((t.points[:, None] - centroids) ** 2).sum(2).argmin(1)).all() and work < 700 * len(centroids) / 2
+
+
+# near-duplicate links
+
+
+def links_by_hand(rows):
+    ok = [n for n, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    vec = {n: np.float32(rows[n][1]).astype(float) for n in ok}
+    near = {n: [m for m in ok if m != n and len(vec[m]) == len(vec[n]) and vec[n] @ vec[m] / math.sqrt(vec[n] @ vec[n]) / math.sqrt(vec[m] @ vec[m]) >= 0.9] for n in ok}
+    out = []
+    for n, (i, _) in enumerate(rows):
+        seen, todo = {n}, [n]
+        while todo:
+            todo += (new := set(near.get(todo.pop(), ())) - seen)
+            seen |= new
+        least = min((rows[m][0] for m in seen if rows[m][0] is not None), default=None)
+        out.append((i, len(near.get(n, ())), least, i is None or i == least))
+    return out
+
+
+def clumps(rng, n, size):
+    """n vectors, a third of them near copies of one vector, others of ten."""
+    base = rng.normal(size=(11, size))
+    return [(i, [float(x) for x in (base[0] + rng.normal(scale=0.1, size=size) if i % 3 == 0 else base[1 + i % 10] + rng.normal(scale=0.25 if i % 2 else 2, size=size))]) for i in range(n)]
+
+
+@pytest.mark.parametrize("per_cell", [10_000, 20])
+def test_vector_links(spark, monkeypatch, per_cell):
+    """One cell and many, chunks of a hot cell, copies, scaled copies, odd rows; every found link is a real one."""
+    monkeypatch.setattr(vector_dedup, "CHUNK", 40)
+    monkeypatch.setattr(vector_dedup, "PER_CELL", per_cell)
+    monkeypatch.setattr(vector_dedup, "RECALL", 1.0)
+    rng = np.random.default_rng(8)
+    rows = clumps(rng, 400, 12)
+    rows += [(500 + i, rows[7][1]) for i in range(100)] + [(1000 + i, [3.5 * x for x in rows[8][1]]) for i in range(3)]
+    rows += [(5, rows[6][1]), (5, rows[5][1]), (None, rows[0][1]), (None, None), (2000, None), (2001, []), (2002, [0.0] * 12), (2003, [None, *[1.0] * 11]), (2004, [math.nan] * 12), (2005, [math.inf] * 12), (2006, [1.0]), (2007, [2.0]), (2008, [1e-30] * 12), (2009, [1e30] * 12)]
+    df = table(spark, rows).withColumns({"x": F.lit("clash"), "n_links": F.lit("clash")})
+    key = lambda r: [str(x) for x in r]
+    got = sorted((tuple(r) for r in vector_dedup.vector_links(df).collect()), key=key)
+    assert got == sorted(links_by_hand(rows), key=key)
+    assert vector_dedup.vector_links(df.limit(0)).count() == 0
+
+
+def test_recall_of_the_hardest_pairs(spark, monkeypatch):
+    """Partners at cosines of 0.9 to 0.92 in a table without other links: the recall is above 0.9, in 256 cells."""
+    monkeypatch.setattr(vector_dedup, "PER_CELL", 10)
+    rng = np.random.default_rng(9)
+    x = unit(rng.normal(size=(1500, 64)))
+    way = rng.normal(size=x.shape)
+    way = unit(way - (way * x).sum(1, keepdims=True) * x)
+    cos = rng.uniform(0.901, 0.92, (1500, 1))
+    both = np.concatenate([x, cos * x + np.sqrt(1 - cos * cos) * way])
+    got = vector_dedup.vector_links(table(spark, [(i, [float(v) for v in r]) for i, r in enumerate(both)])).collect()
+    want = ((both @ both.T) >= 0.9).sum() - len(both)
+    assert 0.95 * want <= sum(r.n_links for r in got) <= want
+
+
+def test_traversal_visits_the_nearest_cells_first():
+    rng = np.random.default_rng(4)
+    x = unit(rng.normal(size=(300, 8)))
+    grid = fit(x, 8, 0.9, 0.99)
+    own, who, cells = grid.traverse(x)
+    from adweave.llm.multi_index import borders
+
+    (a, fa), (b, fb) = (borders(h, c) for h, c in zip(grid.halves(x), (grid.left, grid.right)))
+    for r in range(300):
+        far = fa[r][:, None] + fb[r][None]
+        seen = cells[who == r]
+        assert (own[r], seen[0]) == (a[r] * len(grid.right) + b[r],) * 2
+        assert sorted(seen) == list(np.flatnonzero(far.ravel() <= grid.reach)) and (np.diff(far.ravel()[seen]) >= 0).all()
+    whole = Grid(codebook(x[:, :4], 8, rng), codebook(x[:, 4:], 8, rng), reach=4.0)
+    assert len(whole.traverse(x)[1]) > 300 * 32
