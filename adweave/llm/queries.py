@@ -9,6 +9,7 @@ from .line_dedup import OP10_SQL, op10_line_dedup
 from .media import op7_media_fingerprints
 from .near_dedup import op5_minhash_near_dedup
 from .packing import op2_length_packing
+from .spelling import op12_wavelet_spelling
 from .token_output import op3_token_output
 from .toxicity import op1_toxicity
 from .vector_dedup import OP13_SQL, op13_multi_index_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_line_dedup": op10_line_dedup,
     "op11_dual_tree_lloyd": op11_dual_tree_lloyd,
+    "op12_wavelet_spelling": op12_wavelet_spelling,
     "op13_multi_index_dedup": op13_multi_index_dedup,
 }
 ORACLES = {"op10_line_dedup": OP10_SQL, "op11_dual_tree_lloyd": OP11_SQL, "op13_multi_index_dedup": OP13_SQL}
