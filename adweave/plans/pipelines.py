@@ -12,7 +12,6 @@ from ..operators.funnel import funnel
 from ..operators.joins import first_per
 from ..sources.files import html_links, read_csv, read_manifest, resolved, sitemap_locations, write_manifest
 from ..streaming.base import drained, read_stream, shared_folder
-from ..streaming.stateful import host_policy, throttle
 from .base import Registry, Tables
 
 R = Registry()
@@ -173,32 +172,6 @@ def evaluation_gate(t: Tables) -> DataFrame:
     return k.select("runner", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), ((p >= 0.9 - 0.02) & (r >= 0.12 - 0.02)).alias("passes"))
 
 
-@R.add(
-    "i2_throttle",
-    """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), t AS (SELECT user_id, event_id, rn, ts AS last, true AS emitted FROM e WHERE rn = 1
-    UNION ALL SELECT e.user_id, e.event_id, e.rn, CASE WHEN e.ts >= t.last + INTERVAL 1 HOUR THEN e.ts ELSE t.last END, e.ts >= t.last + INTERVAL 1 HOUR FROM t JOIN e ON e.user_id = t.user_id AND e.rn = t.rn + 1)
-    SELECT user_id, event_id FROM t WHERE emitted""",
-)
-def throttled(t: Tables) -> DataFrame:
-    """A stateful stream that drops events within an hour of the last one emitted."""
-    e = read_stream(t.spark, f"{t.sf_dir}/events.parquet").select("user_id", "event_id", F.unix_micros(c("ts").cast("timestamp")).alias("at"))
-    return drained(throttle(e, 3_600_000_000))
-
-
-@R.add(
-    "i8_host_policy",
-    """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
-    t AS (SELECT user_id, 0::BIGINT AS event_id, 0::BIGINT AS rn, 0 AS rung, 0 AS streak, 0::BIGINT AS good, 0::BIGINT AS bad FROM e WHERE rn = 1
-    UNION ALL SELECT e.user_id, e.event_id, e.rn, CASE WHEN NOT ok AND streak + 1 >= 2 AND rung < 4 THEN rung + 1 ELSE rung END, CASE WHEN ok OR (streak + 1 >= 2 AND rung < 4) THEN 0 ELSE streak + 1 END, good + CAST(ok AS BIGINT), bad + CAST(NOT ok AS BIGINT)
-      FROM t JOIN e ON e.user_id = t.user_id AND e.rn = t.rn + 1)
-    SELECT user_id, event_id, ['plain','patient','headful','proxy','manual'][rung + 1] AS strategy, streak, good, bad FROM t WHERE rn > 0""",
-)
-def policy(t: Tables) -> DataFrame:
-    """I8: the strategy ladder as keyed state of a stream."""
-    e = read_stream(t.spark, f"{t.sf_dir}/events.parquet").select("user_id", "event_id", F.unix_micros(c("ts").cast("timestamp")).alias("at"), (c("event_type") != "error").alias("ok"))
-    return drained(host_policy(e))
-
-
 @R.add("i6_progress", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def progress(t: Tables) -> DataFrame:
     """Running totals of a stream in complete mode; the last state of each key."""

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import analysis, extras, joining, ordering, pipelines, records, reporting, scalars
+from . import analysis, extras, joining, ordering, pipelines, records, reporting, scalars, streams
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (reporting, scalars, joining, ordering, pipelines, extras, records, analysis):
+for _module in (reporting, scalars, joining, ordering, pipelines, extras, records, analysis, streams):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

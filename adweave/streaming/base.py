@@ -6,7 +6,9 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -34,6 +36,28 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
+def arriving(rows: DataFrame, arrival: Column, files: int = 5, closing: DataFrame | None = None) -> tuple[str, int]:
+    """The folder of a file source that gets rows in the order of arrival (a number), in `files` instalments, and what of `arrival` an instalment spans.
+
+    closing: rows of an instalment after all others; with a far time they let the watermark pass the rest.
+    """
+    spark = rows.sparkSession
+    at = f"{shared_folder(spark)}/arriving-{uuid.uuid4().hex}"
+    rows = rows.withColumn("__at", arrival)
+    low, high = rows.agg(F.min("__at"), F.max("__at")).first()
+    span = 1 if low is None else -(-(high - low + 1) // files)
+    for k in range(files if low is not None else 0):
+        rows.filter((F.col("__at") >= low + k * span) & (F.col("__at") < low + (k + 1) * span)).drop("__at").write.mode("append").parquet(at)
+    if closing is not None:
+        closing.write.mode("append").parquet(at)
+    return at, span
+
+
+def read_arriving(spark: SparkSession, path: str, schema: StructType, per_batch: int) -> DataFrame:
+    """The stream over such a folder, so many files a micro-batch, the oldest first."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """The rows that a stream emits until its source is read up, as a stored table.
 
