@@ -22,13 +22,6 @@ def grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
 
 
-def in_blocks(rows: DataFrame, values: DataFrame, value: str, size: int = 4_096) -> DataFrame:
-    """rows, once with each block (an array of so many of the distinct values at most) of a reference table, for tests against all of it."""
-    n = max(1, -(-values.count() // size))
-    blocks = values.groupBy(F.pmod(F.xxhash64(value), F.lit(n)).alias("b")).agg(F.collect_list(value).alias("block")).drop("b")
-    return rows.crossJoin(sized(blocks, 256))  # a block is some 32 KB
-
-
 def _inside(inner: DataFrame, outer: DataFrame, gram: int) -> DataFrame:
     """x and y for each string x of inner that a string y of outer contains. Both have distinct, non-empty strings (s).
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators.joins import contains_first, first_per, first_superset, in_blocks, sized, tiered
+from ..operators.joins import contains_first, first_per, first_superset, tiered
+from ..operators.similarity import best_vector, hashes_near
 from .base import Registry, Tables
 
 R = Registry()
@@ -123,12 +124,10 @@ def fail_open(t: Tables) -> DataFrame:
     SELECT vec_id, arg_min(asset, (-score, asset)) AS asset, max(score) AS score FROM s WHERE score > 0 GROUP BY 1""",
 )
 def best_asset(t: Tables) -> DataFrame:
-    """The most similar of a few reference vectors, the first one on ties."""
-    e = t.embeddings
-    few = e.groupBy("label").agg(F.min("vec_id").alias("asset")).select("asset")
-    ref = sized(e.join(few, e.vec_id == few.asset).select("asset", c("embedding").alias("ae")), 2_000)  # one vector a label
-    s = e.join(ref, F.lit(True)).select("vec_id", "asset", F.round(scores.cosine(c("embedding"), c("ae")), 6).alias("score")).filter("score > 0")
-    return s.groupBy("vec_id").agg(F.max(F.struct("score", (-c("asset")).alias("m"))).alias("b")).select("vec_id", (-c("b.m")).alias("asset"), c("b.score").alias("score"))
+    """The most similar reference vector, the first one on ties."""
+    e = t.embeddings.select(c("vec_id").alias("id"), c("embedding").alias("v"), "label")
+    few = e.groupBy("label").agg(F.min("id").alias("id")).select("id")
+    return best_vector(e.select("id", "v"), e.join(few, "id").select("id", "v")).select(c("id").alias("vec_id"), c("ref").alias("asset"), "score")
 
 
 @R.add(
@@ -136,11 +135,10 @@ def best_asset(t: Tables) -> DataFrame:
     """WITH a AS (SELECT p_partkey * 2654435761 % 4294967296 AS h FROM part) SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM a WHERE bit_count(xor(a.h, s_suppkey * 40503 % 4294967296)) <= 12)""",
 )
 def hash_semi(t: Tables) -> DataFrame:
-    """Dealers with a hash near a reference hash; every dealer meets the distinct reference hashes a block at a time."""
-    h = ((c("p_partkey") * 2654435761) % 4294967296).alias("h")
-    own = t.supplier.select("s_suppkey", ((c("s_suppkey") * 40503) % 4294967296).alias("g"))
-    near = in_blocks(own, t.part.select(h).distinct(), "h").filter(F.exists("block", lambda x: F.bit_count(x.bitwiseXOR(c("g"))) <= 12))
-    return near.select("s_suppkey").distinct()
+    """Dealers with a hash near a reference hash."""
+    ref = t.part.select(((c("p_partkey") * 2654435761) % 4294967296).alias("r"))
+    own = t.supplier.select("s_suppkey", ((c("s_suppkey") * 40503) % 4294967296).alias("h"))
+    return own.join(hashes_near(own, "h", ref, "r", 12, bits=32), "h", "left_semi").select("s_suppkey")
 
 
 @R.add(

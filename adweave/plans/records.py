@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scores, text
-from ..operators.joins import first_per, in_blocks, resolved_in_tiers
+from ..operators.joins import first_per, resolved_in_tiers
+from ..operators.similarity import vectors_near
 from ..streaming.base import shared_folder
 from .base import Registry, Tables, case
 from .reporting import _SCOPE, scoped
@@ -215,12 +216,10 @@ def named_ads(t: Tables) -> DataFrame:
     SELECT vec_id FROM embeddings e WHERE EXISTS (SELECT 1 FROM v WHERE v.asset <> e.vec_id AND round(list_sum(list_transform(list_zip(e.embedding, v.ae), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) >= 0.25)""",
 )
 def cosine_semi(t: Tables) -> DataFrame:
-    """C20: vectors with a cosine of a least value to a reference vector other than themselves, the references in blocks."""
-    e = t.embeddings
-    few = e.groupBy("label").agg(F.min("vec_id").alias("asset")).select("asset")
-    ref = e.join(few, e.vec_id == few.asset).select(F.struct("asset", c("embedding").alias("ae")).alias("r"))
-    near = lambda x: (x["asset"] != c("vec_id")) & (F.round(scores.cosine(c("embedding"), x["ae"]), 6) >= 0.25)
-    return in_blocks(e.select("vec_id", "embedding"), ref, "r", 256).filter(F.exists("block", near)).select("vec_id").distinct()
+    """C20: vectors with a cosine of a least value to a reference vector other than themselves."""
+    e = t.embeddings.select(c("vec_id").alias("id"), c("embedding").alias("v"), "label")
+    few = e.groupBy("label").agg(F.min("id").alias("id")).select("id")
+    return vectors_near(e.select("id", "v"), e.join(few, "id").select("id", "v"), 0.25).select(c("id").alias("vec_id"))
 
 
 @R.add(
