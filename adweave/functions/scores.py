@@ -21,8 +21,9 @@ def match_band(score: Column) -> Column:
 
 
 def appearance_band(appearance: Column, score: Column) -> Column:
-    """Band by the judge's word for how an asset appears first, by score where that says nothing."""
-    return F.when((appearance == "identical") & (score >= STRONG), "exact").when(appearance == "modified", "partial").otherwise(match_band(score))
+    """Band by how the judge says an asset appears (exact, resized, cropped, modified) and by score."""
+    whole = appearance.isin("exact", "resized")
+    return F.when((appearance == "exact") & (score >= EXACT), "exact").when(whole & (score >= STRONG), "strong").when((whole | appearance.isin("cropped", "modified")) & (score >= PARTIAL), "partial").when(score >= WEAK, "weak").otherwise("none")
 
 
 def rate(part: Column, total: Column, when_empty: float = 0.0) -> Column:

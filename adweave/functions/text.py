@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,8 +12,10 @@ PROMO_WORDS = tuple(
     "promo promotion promotions deal deals offer offers special specials sale sales shop store buy campaign featured new latest clearance rebate rebates incentive incentives savings "
     "financing coupon coupons discount discounts inventory products services catalog events seasonal limited exclusive".split()
 )
-BLOCKED_EXTENSIONS = ("pdf", "jpg", "jpeg", "png", "gif", "svg", "webp", "mp4", "zip", "css", "js", "xml")
-BLOCKED_PATHS = ("login", "cart", "checkout", "account", "privacy", "terms", "wp-admin")
+BLOCKED_EXTENSIONS = (".jpg", ".jpeg", ".png", ".gif", ".svg", ".webp", ".ico", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".zip", ".gz", ".css", ".js", ".json", ".xml", ".txt", ".mp4", ".mp3", ".woff", ".woff2", ".ttf", ".eot")
+BLOCKED_PATHS = (
+    "/wp-content/", "/wp-admin/", "/cdn-cgi/", "/api/", "/cart", "/checkout", "/login", "/signin", "/account", "/privacy", "/terms", "/sitemap", "/feed", "/rss", "/tag/", "/author/", "/page/", "#", "/blog",
+)
 
 
 def hostname(url: Column) -> Column:
@@ -65,8 +69,10 @@ def is_promo(url: Column, words: tuple[str, ...] = PROMO_WORDS) -> Column:
 
 
 def is_scannable(url: Column) -> Column:
+    """Whether a URL is a page to scan: no blocked extension at the end of its path, no blocked part anywhere in it."""
     path = F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")))
-    return ~path.rlike(r"\.(" + "|".join(BLOCKED_EXTENSIONS) + ")$") & ~path.rlike("/(" + "|".join(BLOCKED_PATHS) + ")(/|$)")
+    blocked = f"(?:{'|'.join(map(re.escape, BLOCKED_EXTENSIONS))})$|{'|'.join(map(re.escape, BLOCKED_PATHS))}"
+    return ~path.rlike(blocked)
 
 
 def truncated(text: Column, n: int, mark: str = "") -> Column:

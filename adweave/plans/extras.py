@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scores
+from ..functions import rules, scores
 from ..functions.text import hostname
 from ..operators.joins import first_per
 from ..sources.files import read_csv
@@ -49,17 +49,25 @@ def queue_pick(t: Tables) -> DataFrame:
     return t.jobs.filter("status = 'pending'").groupBy("source").agg(F.min_by("job_id", F.struct("created_at", "job_id")).alias("job_id")).withColumn("status", F.lit("running"))
 
 
+_CASES = "case verdict WHEN 'true_positive' THEN 'clear_positive' WHEN 'true_negative' THEN 'different_brand' WHEN 'false_negative' THEN 'modified_positive' ELSE 'borderline_false' END"
+
+
 @R.add(
     "a20_labelled_cases",
-    """SELECT f.match_id, a.name, CASE f.verdict WHEN 'true_positive' THEN 'positive' WHEN 'false_positive' THEN 'hard_negative' WHEN 'false_negative' THEN 'missed' ELSE 'negative' END AS category
-    FROM feedback f LEFT JOIN (SELECT match_id, any_value(asset_id) AS asset_id FROM matches GROUP BY 1 HAVING count(*) = 1) m USING (match_id) LEFT JOIN assets a USING (asset_id)""",
+    f"""WITH m AS (SELECT match_id, min(asset_id) AS asset_id FROM matches GROUP BY 1), f AS (SELECT match_id, verdict, count(*) AS n FROM feedback GROUP BY ALL),
+    i AS (SELECT match_id, CASE WHEN match_id % 4 <> 0 THEN 'https://img/' || match_id END AS image_url, CASE WHEN match_id % 8 = 0 THEN 'https://shot/' || match_id END AS shot, CASE WHEN match_id % 3 = 0 THEN 'https://page/' || match_id END AS page FROM m),
+    x AS (SELECT match_id, a.name, {_CASES} AS category, coalesce(image_url, shot, page) AS discovered, verdict IN ('true_positive', 'false_negative') AS is_match, n FROM f LEFT JOIN m USING (match_id) LEFT JOIN assets a USING (asset_id) LEFT JOIN i USING (match_id))
+    SELECT * FROM x WHERE discovered IS NOT NULL AND name IS NOT NULL""",
 )
 def labelled_cases(t: Tables) -> DataFrame:
-    """Feedback with its match and asset, and the category of its verdict."""
-    f = t.feedback
-    m = t.matches.groupBy("match_id").agg(F.count("*").alias("n"), F.first("asset_id").alias("asset_id")).filter("n = 1").drop("n")
-    category = F.when(c("verdict") == "true_positive", "positive").when(c("verdict") == "false_positive", "hard_negative").when(c("verdict") == "false_negative", "missed").otherwise("negative")
-    return f.join(m, "match_id", "left").join(t.assets.select("asset_id", "name"), "asset_id", "left").select("match_id", "name", category.alias("category"))
+    """Feedback with its match, asset and discovered image (the image, else the screenshot, else the page), its category and expectation; cases without asset or image are no cases. Of matches of one id the smallest asset counts."""
+    f = t.feedback.groupBy("match_id", "verdict").agg(F.count("*").alias("n"))
+    m = t.matches.groupBy("match_id").agg(F.min("asset_id").alias("asset_id"))
+    i, url = c("match_id"), lambda kind: F.concat(F.lit(f"https://{kind}/"), c("match_id").cast("string"))
+    found = m.select("match_id", "asset_id", F.when(i % 4 != 0, url("img")).alias("image_url"), F.when(i % 8 == 0, url("shot")).alias("shot"), F.when(i % 3 == 0, url("page")).alias("page"))
+    x = f.join(found, "match_id", "left").join(t.assets.select("asset_id", "name"), "asset_id", "left")
+    x = x.select("match_id", "name", rules.category(c("verdict")).alias("category"), F.coalesce("image_url", "shot", "page").alias("discovered"), c("verdict").isin("true_positive", "false_negative").alias("is_match"), "n")
+    return x.filter("discovered IS NOT NULL AND name IS NOT NULL")
 
 
 @R.add(

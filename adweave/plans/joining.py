@@ -158,12 +158,12 @@ def score_band(t: Tables) -> DataFrame:
 
 @R.add(
     "c22_import_new",
-    """SELECT c_custkey, lower(trim(c_name)) AS k FROM customer WHERE lower(trim(replace(c_name, 'Customer', 'Supplier'))) NOT IN (SELECT lower(trim(name)) FROM dealers) AND c_mktsegment <> 'BUILDING'""",
+    """SELECT c_custkey, lower(trim(c_name)) AS k FROM customer WHERE lower(trim(replace(c_name, 'Customer', 'Supplier'))) NOT IN (SELECT lower(trim(name)) FROM dealers)""",
 )
 def import_new(t: Tables) -> DataFrame:
     """Rows whose normalised name isn't known yet."""
     known = t.dealers.select(F.lower(F.trim("name")).alias("n"))
-    x = t.customer.filter("c_mktsegment <> 'BUILDING'").withColumn("n", F.lower(F.trim(F.replace("c_name", F.lit("Customer"), F.lit("Supplier")))))
+    x = t.customer.withColumn("n", F.lower(F.trim(F.replace("c_name", F.lit("Customer"), F.lit("Supplier")))))
     return x.join(known, "n", "left_anti").select("c_custkey", F.lower(F.trim("c_name")).alias("k"))
 
 

@@ -83,16 +83,15 @@ def match_write(t: Tables) -> DataFrame:
 
 @R.add(
     "l7_page_discovery",
-    """WITH l AS (SELECT page_id, url, unnest(list_distinct(list_filter(regexp_extract_all(html, 'href\\s*=\\s*["'']([^"'']*)["'']', 1), lambda u: u <> '' AND NOT regexp_matches(u, '^(#|mailto:|tel:|javascript:)')))) AS link FROM pages),
+    f"""WITH l AS (SELECT page_id, url, unnest(list_distinct(list_filter(regexp_extract_all(html, 'href\\s*=\\s*["'']([^"'']*)["'']', 1), lambda u: u <> '' AND NOT regexp_matches(u, '^(#|mailto:|tel:|javascript:)')))) AS link FROM pages),
     a AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) || link AS target FROM l WHERE starts_with(link, '/'))
-    SELECT page_id, target FROM a WHERE NOT regexp_matches(lower(target), '\\.(pdf|jpg|jpeg|png|gif|svg|webp|mp4|zip|css|js|xml)$') QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY contains(lower(target), 'of') DESC, target) <= 4""",
+    SELECT page_id, target FROM (SELECT *, lower(regexp_extract(target, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)) AS path FROM a) WHERE len(list_filter({list(text.BLOCKED_EXTENSIONS)}, lambda x: ends_with(path, x))) = 0 AND len(list_filter({list(text.BLOCKED_PATHS)}, lambda x: contains(path, x))) = 0 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY contains(lower(target), 'of') DESC, target) <= 4""",
 )
 def page_discovery(t: Tables) -> DataFrame:
     """Links of a page, resolved, scannable, promising ones first, four at most."""
     links = t.pages.select("page_id", "url", F.explode(html_links(c("html"))).alias("link")).filter(c("link").startswith("/"))
     x = links.select("page_id", resolved(c("url"), c("link")).alias("target"))
-    ok = ~F.lower("target").rlike(r"\.(" + "|".join(text.BLOCKED_EXTENSIONS) + ")$")
-    return first_per(x.filter(ok), ["page_id"], [F.desc(F.contains(F.lower("target"), F.lit("of"))), F.asc("target")], 4)
+    return first_per(x.filter(text.is_scannable(c("target"))), ["page_id"], [F.desc(F.contains(F.lower("target"), F.lit("of"))), F.asc("target")], 4)
 
 
 @R.add("a15_sitemap", "SELECT page_id, 'https://' || page_id || '.example.com/' || i AS loc FROM pages, (SELECT unnest(range(0, 3)) AS i)")

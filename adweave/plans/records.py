@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import scores, text
+from ..functions import rules, scores, text
 from ..operators.joins import first_per, resolved_in_tiers
 from ..operators.similarity import vectors_near
 from ..streaming.base import shared_folder
@@ -100,23 +100,23 @@ def search_pages(t: Tables) -> DataFrame:
     return x.select("o_orderkey", F.floor((F.row_number().over(Window.orderBy("o_orderkey")) - 1) / 100).alias("page"))  # two thousand rows
 
 
-@R.add("a23_bulk_update", "SELECT match_id, price, coalesce(score >= 96, false) AS is_processed FROM matches WHERE status = 'violation'")
+@R.add("a23_bulk_update", "SELECT match_id, price, coalesce(status = 'violation' AND score >= 96, false) AS is_processed FROM matches")
 def bulk_update(t: Tables) -> DataFrame:
-    """Rows of a list of ids are marked; repeated and null ids in the list don't count."""
-    ids = t.matches.filter("score >= 96").select("match_id", "price").distinct().withColumn("hit", F.lit(True))
-    return t.matches.filter("status = 'violation'").join(ids, ["match_id", "price"], "left").select("match_id", "price", F.coalesce("hit", F.lit(False)).alias("is_processed"))
+    """Rows of a list of ids are marked, the others stay; repeated and null ids in the list don't count."""
+    ids = t.matches.filter("status = 'violation' AND score >= 96").select("match_id", "price").distinct().withColumn("hit", F.lit(True))
+    return t.matches.join(ids, ["match_id", "price"], "left").select("match_id", "price", F.coalesce("hit", F.lit(False)).alias("is_processed"))
 
 
 @R.add(
     "a27_compliance_push",
-    """SELECT d.distributor_id, coalesce(round(g.ok * 100.0 / nullif(g.ok + g.v, 0), 1), 100.0) AS score, coalesce(g.v, 0) AS open_violations, coalesce(g.v, 0) >= 5 AS flagged
-    FROM dealers d LEFT JOIN (SELECT distributor_id, count(*) FILTER (status='violation') AS v, count(*) FILTER (status='compliant') AS ok FROM matches GROUP BY 1) g USING (distributor_id) WHERE d.status = 'active'""",
+    """SELECT d.distributor_id, coalesce(round(g.ok * 100.0 / nullif(g.n, 0), 1), 0.0) AS score, coalesce(g.v, 0) AS open_violations, coalesce(g.v, 0) > 0 AS flagged
+    FROM dealers d LEFT JOIN (SELECT distributor_id, count(*) AS n, count(*) FILTER (status='violation') AS v, count(*) FILTER (status='compliant') AS ok FROM matches GROUP BY 1) g USING (distributor_id) WHERE d.status = 'active'""",
 )
 def compliance_push(t: Tables) -> DataFrame:
-    """Score, open violations and flag of each active dealer."""
-    g = t.matches.groupBy("distributor_id").agg(n_if(c("status") == "violation").alias("v"), n_if(c("status") == "compliant").alias("ok"))
-    v, ok = F.coalesce("v", F.lit(0)), F.coalesce("ok", F.lit(0))
-    return t.dealers.filter("status = 'active'").join(g, "distributor_id", "left").select("distributor_id", scores.rate(ok, ok + v, 100.0).alias("score"), v.alias("open_violations"), (v >= 5).alias("flagged"))
+    """Score over all matches of an active dealer (0.0 without any), open violations, and the flag from the first one."""
+    g = t.matches.groupBy("distributor_id").agg(F.count("*").alias("n"), n_if(c("status") == "violation").alias("v"), n_if(c("status") == "compliant").alias("ok"))
+    n, v, ok = (F.coalesce(x, F.lit(0)) for x in ("n", "v", "ok"))
+    return t.dealers.filter("status = 'active'").join(g, "distributor_id", "left").select("distributor_id", scores.rate(ok, n).alias("score"), v.alias("open_violations"), (v > 0).alias("flagged"))
 
 
 @R.add(
@@ -151,16 +151,22 @@ def compliance_report(t: Tables) -> DataFrame:
     return part("preamble", F.lit("all"), t.matches).unionByName(part("dealer", c("name"), m.filter(c("name").isNotNull()))).unionByName(part("channel", c("channel"), t.matches)).unionByName(detail)
 
 
+_KINDS = [*rules.UPLOAD_TYPES, *rules.LAYERED_TYPES, "", "text/html", "application/pdf", "IMAGE/PNG"]
+_NAMES = ["a.png", "a.PSD", "a.html", "noext", "a.jpeg"]
+
+
 @R.add(
     "a33_upload_checks",
-    """WITH f AS (SELECT page_id, lower(regexp_extract(url, '\\.([a-z0-9]+)(?:[?#]|$)', 1)) AS ext, length(html) * 5000 AS size, CASE WHEN page_id % 3 = 0 THEN 'image/png' ELSE 'text/html' END AS kind FROM pages)
-    SELECT page_id, concat_ws(';', CASE WHEN NOT starts_with(kind, 'image/') THEN 'type' END, CASE WHEN ext NOT IN ('png','jpg','html') THEN 'extension' END, CASE WHEN size > 25 * 1024 * 1024 THEN 'size' END) AS errors FROM f""",
+    f"""WITH f AS (SELECT page_id, {_NAMES}[page_id % {len(_NAMES)} + 1] AS name, {_KINDS}[page_id % {len(_KINDS)} + 1] AS kind, CASE WHEN page_id % 17 = 0 THEN 0 ELSE length(html) * 5000 END AS size, CASE WHEN page_id % 7 = 0 THEN '8BPS' ELSE substr(html, 1, 4) END AS magic FROM pages)
+    SELECT page_id, CASE WHEN NOT (lower(kind) IN ({", ".join(f"'{x}'" for x in (*rules.UPLOAD_TYPES, *rules.LAYERED_TYPES, ""))}) OR ends_with(lower(name), '.psd')) THEN 'type' WHEN size > 25 * 1024 * 1024 THEN 'size' WHEN size = 0 THEN 'empty' ELSE 'taken' END AS result,
+    ends_with(lower(name), '.psd') OR lower(kind) IN ({", ".join(f"'{x}'" for x in rules.LAYERED_TYPES)}) OR magic = '8BPS' AS flatten FROM f""",
 )
 def upload_checks(t: Tables) -> DataFrame:
-    """Type, extension and 25 MB."""
-    ext = F.lower(F.regexp_extract("url", r"\.([a-z0-9]+)(?:[?#]|$)", 1))
-    kind = F.when(c("page_id") % 3 == 0, "image/png").otherwise("text/html")
-    return t.pages.select("page_id", F.concat_ws(";", F.when(~kind.startswith("image/"), "type"), F.when(~ext.isin("png", "jpg", "html"), "extension"), F.when(F.length("html") * 5000 > 25 * 1024 * 1024, "size")).alias("errors"))
+    """Type or extension, 25 MB and not empty; layered files, by extension, type or first bytes, are to be flattened."""
+    at = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (c("page_id") % len(xs) + 1).cast("int"))
+    name, kind, size = at(_NAMES), at(_KINDS), F.when(c("page_id") % 17 == 0, 0).otherwise(F.length("html") * 5000)
+    magic = F.when(c("page_id") % 7 == 0, "8BPS").otherwise(F.substring("html", 1, 4))
+    return t.pages.select("page_id", F.coalesce(rules.upload_error(name, kind, size, magic), F.lit("taken")).alias("result"), rules.is_layered(name, kind, magic).alias("flatten"))
 
 
 @R.add("b20_lift_nested", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) + CASE WHEN event_id % 3 = 0 THEN 1000 ELSE 0 END AS k FROM events")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scores import clamp, default_threshold, rate
+from ..functions.scores import REGULAR, clamp, default_threshold, rate
 from .base import Registry, Tables
 
 R = Registry()
@@ -141,15 +141,15 @@ def adaptive_threshold(t: Tables) -> DataFrame:
     "d11_threshold_recommendation",
     """WITH g AS (SELECT source_type, channel, count(*) AS n, avg(confidence) FILTER (was_correct AND confidence <> 0) AS mean, stddev_pop(confidence) FILTER (was_correct AND confidence <> 0) AS sd,
       count(*) FILTER (verdict='false_positive') * 100.0 / count(*) AS fp, count(*) FILTER (verdict='false_negative') * 100.0 / count(*) AS fn FROM feedback GROUP BY 1, 2 HAVING count(*) >= 10),
-    b AS (SELECT *, CAST(trunc(mean - 0.5 * sd) AS INTEGER) AS r FROM g WHERE mean IS NOT NULL)
+    b AS (SELECT *, coalesce(CAST(trunc(mean - 0.5 * sd) AS INTEGER), 60) AS r FROM g)
     SELECT source_type, channel, CASE WHEN fp > 20 THEN least(100, r + 10) WHEN fn > 20 THEN greatest(10, r - 10) ELSE r END AS recommended FROM b""",
 )
 def threshold_recommendation(t: Tables) -> DataFrame:
     ok = F.when(c("was_correct") & (c("confidence") != 0), c("confidence"))
     share = lambda v: n_if(c("verdict") == v) * 100.0 / F.count("*")
     g = t.feedback.groupBy("source_type", "channel").agg(F.count("*").alias("n"), F.avg(ok).alias("mean"), F.stddev_pop(ok).alias("sd"), share("false_positive").alias("fp"), share("false_negative").alias("fn"))
-    r = (c("mean") - 0.5 * c("sd")).cast("int")
-    g = g.filter((c("n") >= 10) & c("mean").isNotNull())
+    r = F.coalesce((c("mean") - 0.5 * c("sd")).cast("int"), F.lit(REGULAR))  # no correct prediction with a score: the regular threshold is the start
+    g = g.filter(c("n") >= 10)
     return g.select("source_type", "channel", F.when(c("fp") > 20, F.least(F.lit(100), r + 10)).when(c("fn") > 20, F.greatest(F.lit(10), r - 10)).otherwise(r).alias("recommended"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scores, text
+from ..functions import rules, scores, text
 from .base import Registry, Tables
 
 R = Registry()
@@ -53,37 +53,50 @@ def validation(t: Tables) -> DataFrame:
 
 @R.add(
     "b15_fallbacks",
-    """SELECT match_id, coalesce(last_seen, CAST(created_at AS DATE)) AS seen, coalesce(nullif(CASE WHEN score < 20 THEN '' ELSE channel END, ''), nullif(status, ''), 'none') AS named,
-    CASE WHEN score >= 50 THEN channel END AS shown, substr(channel, 1, 4) || CASE WHEN length(channel) > 4 THEN '...' ELSE '' END AS short FROM matches""",
+    """WITH m AS (SELECT *, CASE match_id % 3 WHEN 0 THEN 'data:image/png;base64,AAAA' WHEN 1 THEN 'https://data:' || match_id END AS shot FROM matches)
+    SELECT match_id, coalesce(last_seen, CAST(created_at AS DATE)) AS seen, coalesce(nullif(CASE WHEN score < 20 THEN '' ELSE channel END, ''), nullif(status, ''), 'none') AS named,
+    CASE WHEN NOT starts_with(shot, 'data:') THEN shot END AS shown, substr(channel, 1, 4) || CASE WHEN length(channel) > 4 THEN '...' ELSE '' END AS short FROM m""",
 )
 def fallbacks(t: Tables) -> DataFrame:
     """B13 to B16 and B19."""
-    return t.matches.select("match_id", F.coalesce("last_seen", F.to_date("created_at")).alias("seen"), text.first_filled(F.when(c("score") < 20, "").otherwise(c("channel")), c("status"), F.lit("none")).alias("named"), F.when(c("score") >= 50, c("channel")).alias("shown"), text.truncated(c("channel"), 4, "...").alias("short"))
+    shot = F.when(c("match_id") % 3 == 0, "data:image/png;base64,AAAA").when(c("match_id") % 3 == 1, F.concat(F.lit("https://data:"), c("match_id").cast("string")))
+    named = text.first_filled(F.when(c("score") < 20, "").otherwise(c("channel")), c("status"), F.lit("none"))
+    return t.matches.select("match_id", F.coalesce("last_seen", F.to_date("created_at")).alias("seen"), named.alias("named"), rules.shown_url(shot).alias("shown"), text.truncated(c("channel"), 4, "...").alias("short"))
+
+
+_LOOKS = "[NULL, 'exact', 'resized', 'cropped', 'modified', 'unknown']"
 
 
 @R.add(
     "b17_bands",
-    """SELECT match_id, CASE WHEN score >= 90 THEN 'exact' WHEN score >= 75 THEN 'strong' WHEN score >= 65 THEN 'partial' WHEN score >= 50 THEN 'weak' ELSE 'none' END AS band,
-    CASE WHEN status='compliant' AND score >= 75 THEN 'exact' WHEN status='violation' THEN 'partial' WHEN score >= 90 THEN 'exact' WHEN score >= 75 THEN 'strong' WHEN score >= 65 THEN 'partial' WHEN score >= 50 THEN 'weak' ELSE 'none' END AS band2,
+    f"""WITH l AS (SELECT *, {_LOOKS}[match_id % 6 + 1] AS look FROM matches)
+    SELECT match_id, CASE WHEN score >= 90 THEN 'exact' WHEN score >= 75 THEN 'strong' WHEN score >= 65 THEN 'partial' WHEN score >= 50 THEN 'weak' ELSE 'none' END AS band,
+    CASE WHEN look = 'exact' AND score >= 90 THEN 'exact' WHEN look IN ('exact', 'resized') AND score >= 75 THEN 'strong' WHEN look IN ('exact', 'resized', 'cropped', 'modified') AND score >= 65 THEN 'partial' WHEN score >= 50 THEN 'weak' ELSE 'none' END AS band2,
     CASE WHEN score >= 80 THEN 'green' WHEN score >= 60 THEN 'amber' ELSE 'red' END AS colour, NOT coalesce(CASE status WHEN 'violation' THEN false WHEN 'compliant' THEN true END = false, false) AS passes
-    FROM matches""",
+    FROM l""",
 )
 def bands(t: Tables) -> DataFrame:
     """B17, B18, B23 (only an explicit false vetoes), B25 and the colours of A26."""
-    look = F.when(c("status") == "compliant", "identical").when(c("status") == "violation", "modified")
+    look = F.element_at(F.array(*[F.lit(x) for x in (None, "exact", "resized", "cropped", "modified", "unknown")]), (c("match_id") % 6 + 1).cast("int"))
     visible = F.when(c("status") == "violation", False).when(c("status") == "compliant", True)
-    return t.matches.select("match_id", scores.match_band(c("score")).alias("band"), scores.appearance_band(F.coalesce(look, F.lit("")), c("score")).alias("band2"), F.when(c("score") >= 80, "green").when(c("score") >= 60, "amber").otherwise("red").alias("colour"), (~visible.eqNullSafe(F.lit(False))).alias("passes"))
+    return t.matches.select("match_id", scores.match_band(c("score")).alias("band"), scores.appearance_band(look, c("score")).alias("band2"), F.when(c("score") >= 80, "green").when(c("score") >= 60, "amber").otherwise("red").alias("colour"), (~visible.eqNullSafe(F.lit(False))).alias("passes"))
 
 
 @R.add(
     "b21_url_predicates",
-    f"""WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) AS path FROM pages)
-    SELECT page_id, len(list_intersect(regexp_split_to_array(path, '[/\\-_.]'), {list(text.PROMO_WORDS)})) > 0 AS promo,
-    NOT regexp_matches(path, '\\.(pdf|jpg|jpeg|png|gif|svg|webp|mp4|zip|css|js|xml)$') AND NOT regexp_matches(path, '/(login|cart|checkout|account|privacy|terms|wp-admin)(/|$)') AS scannable FROM p""",
+    f"""WITH u AS (SELECT page_id, url AS u FROM pages UNION ALL SELECT page_id, unnest(list_distinct(list_filter(regexp_extract_all(html, 'href="(/[^"/?#][^"?#]*)"', 1), lambda x: regexp_matches(x, '^[A-Za-z0-9/._-]+$')))) FROM pages
+      UNION ALL SELECT page_id, 'https://a.example' || {list(text.BLOCKED_PATHS)}[page_id % {len(text.BLOCKED_PATHS)} + 1] || 'x' || page_id % 3 || {[*text.BLOCKED_EXTENSIONS, "", ".html"]}[page_id % {len(text.BLOCKED_EXTENSIONS) + 2} + 1] FROM pages),
+    p AS (SELECT page_id, u, lower(CASE WHEN starts_with(u, '/') THEN u ELSE regexp_extract(u, '^[a-z]+://[^/?#]*([^?#]*)', 1) END) AS path FROM u)
+    SELECT page_id, u AS url, len(list_intersect(regexp_split_to_array(path, '[/\\-_.]'), {list(text.PROMO_WORDS)})) > 0 AS promo,
+    len(list_filter({list(text.BLOCKED_EXTENSIONS)}, lambda x: ends_with(path, x))) = 0 AND len(list_filter({list(text.BLOCKED_PATHS)}, lambda x: contains(path, x))) = 0 AS scannable FROM p""",
 )
 def url_predicates(t: Tables) -> DataFrame:
-    """B21 and B22."""
-    return t.pages.select("page_id", text.is_promo(c("url")).alias("promo"), text.is_scannable(c("url")).alias("scannable"))
+    """B21 and B22 over the pages' URLs, the paths they link to, and a URL for each blocked part and extension."""
+    at = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (c("page_id") % len(xs) + 1).cast("int"))
+    links = F.filter(F.array_distinct(F.regexp_extract_all("html", F.lit('href="(/[^"/?#][^"?#]*)"'), 1)), lambda x: x.rlike("^[A-Za-z0-9/._-]+$"))
+    made = F.concat(F.lit("https://a.example"), at(text.BLOCKED_PATHS), F.lit("x"), (c("page_id") % 3).cast("string"), at([*text.BLOCKED_EXTENSIONS, "", ".html"]))
+    u = t.pages.select("page_id", F.explode(F.concat(F.array("url", made), links)).alias("url"))
+    return u.select("page_id", "url", text.is_promo(c("url")).alias("promo"), text.is_scannable(c("url")).alias("scannable"))
 
 
 @R.add(
@@ -138,7 +151,7 @@ def identity(t: Tables) -> DataFrame:
     """WITH b AS (SELECT match_id, CAST(score AS INTEGER) * 7 AS x, CAST(match_id % 900 AS INTEGER) AS y, CAST(score AS INTEGER) * 3 AS w, CAST(match_id % 97 AS INTEGER) AS h FROM matches)
     SELECT match_id, least(w, 600 - x) AS w, least(h, 950 - y) AS h, CASE WHEN y < 0.15 * 950 THEN 'header' WHEN y < 0.5 * 950 THEN 'above' WHEN y < 0.8 * 950 THEN 'middle' ELSE 'footer' END AS place,
     round(greatest(0, least(x + w, 400) - greatest(x, 100)) * greatest(0, least(y + h, 500) - greatest(y, 50)) * 1.0 / least(w * h, 300 * 450), 6) > 0.5 AS overlaps
-    FROM b WHERE least(w, 600 - x) >= 50 AND least(h, 950 - y) >= 30""",
+    FROM b WHERE w >= 50 AND h >= 30 AND least(w, 600 - x) > 0 AND least(h, 950 - y) > 0 AND least(w, 600 - x) * least(h, 950 - y) // 3 >= 2000""",
 )
 def boxes(t: Tables) -> DataFrame:
     """Clipped boxes, their place on the page, overlap over half the smaller box."""
@@ -147,7 +160,8 @@ def boxes(t: Tables) -> DataFrame:
     both = F.greatest(F.lit(0), F.least(c("x") + c("bw"), F.lit(400)) - F.greatest("x", F.lit(100))) * F.greatest(F.lit(0), F.least(c("y") + c("bh"), F.lit(500)) - F.greatest("y", F.lit(50)))
     place = F.when(c("y") < 0.15 * 950, "header").when(c("y") < 0.5 * 950, "above").when(c("y") < 0.8 * 950, "middle").otherwise("footer")
     smaller = F.least(c("bw") * c("bh"), F.lit(300 * 450))
-    return b.filter((w >= 50) & (h >= 30)).select("match_id", w.alias("w"), h.alias("h"), place.alias("place"), (F.round(both / smaller, 6) > 0.5).alias("overlaps"))
+    size = F.floor(w * h / 3)  # bytes of a crop of so many pixels
+    return b.filter((c("bw") >= rules.CROP_WIDTH) & (c("bh") >= rules.CROP_HEIGHT) & (w > 0) & (h > 0) & (size >= rules.CROP_BYTES)).select("match_id", w.alias("w"), h.alias("h"), place.alias("place"), (F.round(both / smaller, 6) > 0.5).alias("overlaps"))
 
 
 @R.add(
@@ -265,7 +279,7 @@ def ensemble(t: Tables) -> DataFrame:
     CASE WHEN event_type = 'error' AND value > 20 THEN 'timeout' WHEN event_type = 'error' THEN 'network' ELSE 'none' END AS failure FROM events""",
 )
 def ladders(t: Tables) -> DataFrame:
-    """Next rung (the last one sticks), strategy and failure class."""
+    """Rungs, classes and steps by value of an event; the rules themselves are in plans/rules.py."""
     k = F.get_json_object("props", "$.k").cast("int")
     kind = c("event_type")
     step = F.when(kind == "view", "click").when(kind == "click", "purchase").when(kind.isin("purchase", "error"), "error").otherwise("view")
@@ -290,7 +304,7 @@ def token_cost(t: Tables) -> DataFrame:
     coalesce(nullif(regexp_extract(s_name, '([0-9]+)$', 1), ''), '0')::BIGINT AS number FROM supplier""",
 )
 def text_codes(t: Tables) -> DataFrame:
-    """Character sums, URL encoding with %20, a number out of a name."""
+    """Character sums, URL encoding with %20; and a number out of a name."""
     return t.supplier.select("s_suppkey", text.char_sum(c("s_name")).alias("code"), F.replace(F.url_encode("s_name"), F.lit("+"), F.lit("%20")).alias("encoded"), F.coalesce(F.nullif(F.regexp_extract("s_name", "([0-9]+)$", 1), F.lit("")), F.lit("0")).cast("long").alias("number"))
 
 
@@ -301,7 +315,7 @@ def text_codes(t: Tables) -> DataFrame:
     CASE WHEN cards > 1 THEN 'carousel' WHEN len(images) = 0 THEN 'video' ELSE 'image' END AS format FROM x""",
 )
 def media(t: Tables) -> DataFrame:
-    """Http media, videos where there is no image, format of a creative."""
+    """Http media, videos where there is no image, format of a creative."""
     images = F.when(c("event_id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("http://a/"), c("event_id").cast("string")), F.lit("ftp://b")))
     web = F.filter(images, lambda u: u.startswith("http"))
     videos = F.array(F.concat(F.lit("https://v/"), c("event_id").cast("string")))
