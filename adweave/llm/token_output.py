@@ -42,16 +42,14 @@ _encoders: dict = {}
 
 
 def load_tokenizer(path: str | None = None):
-    """The tokenizer of a file (by default the public byte-level BPE), once a process; control strings are ordinary text."""
+    """The tokenizer of a file (by default the public byte-level BPE), once a process, with the library's own settings: its control strings in a text get their ids."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     if path not in _loaded:
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _loaded[path] = tokenizer
+        _loaded[path] = Tokenizer.from_file(path)
     return _loaded[path]
 
 
