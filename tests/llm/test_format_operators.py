@@ -38,10 +38,15 @@ def test_range_coder_round_trip():
 
 
 def test_units_equal_whole_texts():
-    tokenizer, own = token_output.load_tokenizer(), token_output.Encoder()
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), token_output.Encoder()
+    assert list(own.encode(["a <|endoftext|> b"])[0]) == [64, 220, 50256, 275]
     rng = random.Random(1)
     alphabet = " \n\t\r\x0b\x1c\x85 　ab'sé1,.!​日<|endoftext|>"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    texts += ["".join(rng.choice([*" .,a\n'", "<|endoftext|>", "  ", "word", "<|endof"]) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
     assert all(list(x) == tokenizer.encode(t, add_special_tokens=False).ids for x, t in zip(own.encode(texts), texts))
 
 
@@ -160,6 +165,53 @@ def test_templates(spark):
     assert len(nested) == 2 and len({r["class"] for r in nested}) == 1 and {r.gap for r in nested} == {4}  # li and its text share a vector
 
 
+REISSUED = ["The council met for the first time since the storm and spoke at length about the bridge.", "Two engineers showed what the water had done to the northern pier.", "A new one would cost more than the town earns in a year.", "Readers may remember the fire of the old mill.", "Nobody was hurt then, and the mill was never built again.", "The next meeting is open to all."]
+
+
+def plain_page(i, lines, head=None):
+    """No element says what the article is; a reader's words stand in a class without a telling name."""
+    body = "".join(f"<p>{x}</p>" for x in lines)
+    return f'<body><div class="k1">Daily Herald</div><div class="k2"><h1>{head or f"Headline number {i}"}</h1>{body}</div><div class="k7">Reader {i * 7} wrote: I read it {i} times.</div><div class="k3">All rights</div></body>'
+
+
+def test_reissued_articles_stay_whole(spark):
+    """Five of sixteen pages are one article with one changed line: all of its text stays."""
+    lines = lambda i: [*REISSUED[:3], f"Correction of edition {i}.", *REISSUED[3:]] if i < 5 else [f"Own report {i} about thing {i * 3}.", f"It has a second paragraph {i}, longer than the first one was.", f"And a third, {i * i}, to end with."]
+    head = lambda i: "Bridge in danger" if i < 5 else f"Headline number {i}"
+    rows = [(i, f"http://herald.org/{i}", plain_page(i, lines(i), head(i))) for i in range(16)]
+    got = {r.page_id: (r.text, r.decided) for r in html_extraction.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: ("\n\n".join([head(i), *lines(i)]), "template") for i in range(16)}
+    same = [(i, f"http://copies.org/{i}", plain_page(i, [*REISSUED, f"Correction of edition {i}."], "Bridge in danger")) for i in range(7)]
+    got = {r.page_id: r.text for r in html_extraction.extract_main(spark.createDataFrame(same, "page_id long, url string, html string")).collect()}
+    assert all(got[i].startswith("Bridge in danger\n\n" + REISSUED[0]) and got[i].endswith(f"Correction of edition {i}.") for i in range(7))
+
+
+def test_repeated_rows_are_pages(spark):
+    """A row that comes twice leaves the host its template."""
+    lines = lambda i: [f"Own report {i} about thing {i * 3}.", f"It has a second paragraph {i}, longer than the first one was."]
+    rows = [(i, f"http://herald.org/{i}", plain_page(i, lines(i))) for i in range(8)]
+    for extra in ([], [rows[3]], [rows[3]] * 3):
+        got = html_extraction.extract_main(spark.createDataFrame(rows + extra, "page_id long, url string, html string")).collect()
+        assert len(got) == 8 + len(extra) and all((r.text, r.decided) == ("\n\n".join([f"Headline number {r.page_id}", *lines(r.page_id)]), "template") for r in got)
+
+
+def test_classes_against_brute_force(spark):
+    """Tokens of one class are those with one vector of counts over the host's pages, for every template token."""
+    rows = [(i, f"http://h{i % 2}.org/{i}", plain_page(i, [f"Own {i}."] * (1 + i % 3)) + "<ul>" + "<li>x</li>" * (i % 4) + "</ul>") for i in range(14)] + [(3, "http://h1.org/3", plain_page(3, ["Own 3."]))]
+    parsed = html_extraction.parse_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    pages = {}
+    for r in parsed.collect():
+        pages.setdefault(r.url.split("/")[2], []).append([b.key for b in r.blocks])
+    vector = lambda h, k: tuple(p.count(k) for p in pages[h])
+    got = html_extraction.deduce_templates(parsed).collect()
+    assert len(got) > 10
+    for host in pages:
+        own = [r for r in got if r.host == host]
+        for r in own:
+            assert (r.pages, r.most) == (sum(n > 0 for n in vector(host, r.key)), max(vector(host, r.key)))
+            assert all((r["class"] == s["class"]) == (vector(host, r.key) == vector(host, s.key)) for s in own)
+
+
 # chat formatting
 
 
