@@ -1,4 +1,4 @@
-"""Perceptual hashes and template matching of raw grey images, as Arrow UDFs over numpy."""
+"""Resizing and perceptual hashes of raw grey images, as Arrow UDFs over numpy."""
 
 from __future__ import annotations
 
@@ -44,27 +44,6 @@ def hashes(image: np.ndarray) -> tuple[int, int, int, int]:
     return _bits(p), _bits(d), _bits(w), _bits(a)
 
 
-def template_match(page: np.ndarray, asset: np.ndarray, scales: np.ndarray | None = None, least: float = 0.70) -> tuple[float, int, int, float]:
-    """Best normalised cross-correlation over scales of the asset: (value, top, left, scale); value 0 below least."""
-    scales = np.linspace(0.1, 0.5, 30).tolist() + np.linspace(0.5, 1.5, 20).tolist() if scales is None else scales
-    best = (0.0, 0, 0, 0.0)
-    for s in scales:
-        h, w = int(asset.shape[0] * s), int(asset.shape[1] * s)
-        if h < 4 or w < 4 or h > page.shape[0] or w > page.shape[1]:
-            continue
-        t = resized(asset, h, w)
-        t = t - t.mean()
-        win = np.lib.stride_tricks.sliding_window_view(page.astype(float), (h, w))
-        mean = win.mean((2, 3), keepdims=True)
-        num = np.einsum("yxhw,hw->yx", win - mean, t)
-        den = np.sqrt(((win - mean) ** 2).sum((2, 3)) * (t**2).sum()) + 1e-9
-        ncc = num / den
-        y, x = np.unravel_index(ncc.argmax(), ncc.shape)
-        if ncc[y, x] > best[0]:
-            best = (float(ncc[y, x]), int(y), int(x), float(s))
-    return best if best[0] >= least else (0.0, 0, 0, 0.0)
-
-
 def image_hashes(pixels: Column | str, width: Column | str) -> Column:
     """phash, dhash, whash and average_hash of images given as row-major grey bytes and a width; nulls for what is no image."""
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import analysis, extras, joining, ordering, pipelines, records, reporting, rules, scalars, streams
+from . import analysis, extras, joining, ordering, pictures, pipelines, records, reporting, rules, scalars, streams
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (reporting, scalars, joining, ordering, pipelines, extras, records, analysis, streams, rules):
+for _module in (reporting, scalars, joining, ordering, pipelines, extras, records, analysis, streams, rules, pictures):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

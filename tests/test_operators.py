@@ -156,14 +156,6 @@ def test_image_hashes(spark):
     assert tuple(got[0]) == images.hashes(a) and got[1].phash is None and got[2].phash is None
 
 
-def test_template_match():
-    rng = np.random.default_rng(1)
-    page, asset = rng.integers(0, 255, (60, 80)).astype(float), rng.integers(0, 255, (20, 24)).astype(float)
-    page[10:30, 30:54] = asset
-    value, top, left, scale = images.template_match(page, asset, [0.5, 1.0])
-    assert value > 0.99 and (top, left, scale) == (10, 30, 1.0)
-    assert images.template_match(rng.random((40, 40)), asset, [1.0]) == (0.0, 0, 0, 0.0)
-
 
 def test_plans_prune_and_push_down(spark):
     """Filters and columns reach the scan."""
