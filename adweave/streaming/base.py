@@ -58,15 +58,16 @@ def read_arriving(spark: SparkSession, path: str, schema: StructType, per_batch:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame, mode: str = "append", at: str | None = None) -> DataFrame:
     """The rows that a stream emits until its source is read up, as a stored table.
 
     Progress and state are in the shared folder, so a lost executor costs a retried task.
-    In update mode a key can come more than once, as it does to any sink.
+    In update mode a key can come more than once, as it does to any sink. at: the folder
+    of a stream that is to go on where it ended.
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    at = at or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
