@@ -180,20 +180,3 @@ def site_scan(t: Tables) -> DataFrame:
     n = lambda v: F.count_if(c("outcome") == v)
     g = s.groupBy("host").agg(n("scanned").alias("scanned"), n("blocked").alias("blocked"), n("empty").alias("empty_"), F.max_by("page_id", F.struct("size", "page_id")).alias("slowest"))
     return g.withColumn("status", F.when((c("scanned") == 0) & (c("blocked") > 0), "blocked").when(c("scanned") == 0, "empty").when(c("blocked") > 0, "partial").otherwise("ok"))
-
-
-@R.add(
-    "l6_ad_ingestion",
-    """WITH a AS (SELECT o_orderkey AS ad, CASE WHEN o_custkey % 5 = 0 THEN '' ELSE c_name END AS page_name, o_orderpriority AS platform FROM orders JOIN customer ON o_custkey = c_custkey), d AS (SELECT lower(name) AS k, distributor_id FROM dealers)
-    SELECT ad, coalesce(d.distributor_id, 0) AS dealer, CASE WHEN d.distributor_id IS NOT NULL THEN 'exact' ELSE 'fallback' END AS attribution, CASE WHEN platform = '5-LOW' THEN 'instagram' ELSE 'facebook' END AS channel
-    FROM a LEFT JOIN d ON replace(lower(page_name), 'customer', 'supplier') = d.k WHERE page_name <> ''""",
-)
-def ad_ingestion(t: Tables) -> DataFrame:
-    """Named ads attributed to dealers by normalised name, else to the first input; routed by platform."""
-    a = t.orders.join(t.customer.select(c("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
-    a = a.select(c("o_orderkey").alias("ad"), F.when(c("o_custkey") % 5 == 0, "").otherwise(c("c_name")).alias("page_name"), "o_orderpriority").filter("page_name <> ''")
-    a = a.withColumn("k", F.replace(F.lower("page_name"), F.lit("customer"), F.lit("supplier")))
-    j = a.join(t.dealers.select(F.lower("name").alias("k"), "distributor_id"), "k", "left")
-    return j.select("ad", F.coalesce("distributor_id", F.lit(0)).alias("dealer"), F.when(c("distributor_id").isNotNull(), "exact").otherwise("fallback").alias("attribution"), F.when(c("o_orderpriority") == "5-LOW", "instagram").otherwise("facebook").alias("channel"))
-
-

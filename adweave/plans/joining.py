@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scores
 from ..operators.joins import contains_first, first_per, first_superset, tiered
 from ..operators.similarity import best_vector, hashes_near
 from .base import Registry, Tables

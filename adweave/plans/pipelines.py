@@ -133,44 +133,6 @@ def incremental(t: Tables) -> DataFrame:
     return t.orders.filter((c("o_orderstatus") == "F") & (c("o_orderdate") > F.lit("2000-01-01").cast("timestamp_ntz"))).orderBy("o_orderdate", "o_orderkey").limit(2000).select("o_orderkey")
 
 
-@R.add(
-    "l10_containment_fallback",
-    """WITH pg AS (SELECT scan_job_id AS page, count(*) AS n, count(*) FILTER (score >= 90) AS hits, max(score) AS best FROM matches GROUP BY 1) SELECT page, n, best, CASE WHEN best >= 85 THEN 'strong' WHEN best >= 78 THEN 'partial' ELSE 'weak' END AS type FROM pg WHERE hits = 0 AND n BETWEEN 1 AND 10 AND best >= 70""",
-)
-def containment_fallback(t: Tables) -> DataFrame:
-    """Pages without a match, with evidence and ten assets at most, judged once more."""
-    g = t.matches.groupBy(c("scan_job_id").alias("page")).agg(F.count("*").alias("n"), F.count_if(c("score") >= 90).alias("hits"), F.max("score").alias("best"))
-    g = g.filter((c("hits") == 0) & c("n").between(1, 10) & (c("best") >= 70))
-    return g.select("page", "n", "best", F.when(c("best") >= 85, "strong").when(c("best") >= 78, "partial").otherwise("weak").alias("type"))
-
-
-@R.add(
-    "l11_multi_asset",
-    """WITH g AS (SELECT user_id, list(event_id ORDER BY event_id) AS assets, min(CAST(props->>'$.k' AS INTEGER)) % 9 AS pick, max(value) AS v FROM events GROUP BY 1)
-    SELECT user_id, CASE WHEN pick BETWEEN 1 AND len(assets) THEN assets[pick] END AS asset, CAST(greatest(0, least(100, round_even(v * 3, 0))) AS INTEGER) AS score FROM g""",
-)
-def multi_asset(t: Tables) -> DataFrame:
-    """A 1-based choice among assets, 0 or out of range is none; score rounded and clamped."""
-    g = t.events.groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("assets"), (F.min(F.get_json_object("props", "$.k").cast("int")) % 9).alias("pick"), F.max("value").alias("v"))
-    ok = c("pick").between(1, F.size("assets"))
-    return g.select("user_id", F.when(ok, F.try_element_at("assets", F.when(ok, c("pick")).otherwise(1))).alias("asset"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(c("v") * 3))).cast("int").alias("score"))
-
-
-@R.add(
-    "l8_evaluation_gate",
-    """WITH k AS (SELECT doc_id % 3 AS runner, count(*) FILTER (quality=1 AND toxic=1) AS tp, count(*) FILTER (quality=0 AND toxic=1) AS fp, count(*) FILTER (quality=1 AND toxic=0) AS fn FROM labels GROUP BY 1),
-    m AS (SELECT runner, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS p, coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS r FROM k)
-    SELECT runner, round(p, 6) AS precision, round(r, 6) AS recall, p >= 0.9 - 0.02 AND r >= 0.12 - 0.02 AS passes FROM m""",
-)
-def evaluation_gate(t: Tables) -> DataFrame:
-    """Precision and recall of each runner against a baseline, in absolute points."""
-    q, x = c("quality") == 1, c("toxic") == 1
-    k = t.labels.groupBy((c("doc_id") % 3).alias("runner")).agg(F.count_if(q & x).alias("tp"), F.count_if(~q & x).alias("fp"), F.count_if(q & ~x).alias("fn"))
-    div = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    p, r = div(c("tp"), c("tp") + c("fp")), div(c("tp"), c("tp") + c("fn"))
-    return k.select("runner", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), ((p >= 0.9 - 0.02) & (r >= 0.12 - 0.02)).alias("passes"))
-
-
 @R.add("i6_progress", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def progress(t: Tables) -> DataFrame:
     """Running totals of a stream in complete mode; the last state of each key."""

@@ -67,7 +67,7 @@ def test_table_functions(spark):
     spark.createDataFrame(rows, "kind string, score double, was_correct boolean, n long").createOrReplaceTempView("t_scores")
     got = {r.kind: (r.rows, r.threshold) for r in spark.sql("SELECT * FROM optimal_threshold(TABLE(t_scores) PARTITION BY kind)").collect()}
     assert got == {"x": (15, 75), "y": (2, 40), "z": (12, 40), None: (10, 80)}
-    few = {r.kind: r.threshold for r in spark.sql("SELECT * FROM optimal_threshold(TABLE(t_scores) PARTITION BY kind, 100)").collect()}
+    few = {r.kind: r.threshold for r in spark.sql("SELECT * FROM optimal_threshold(TABLE(t_scores) PARTITION BY (kind), 100)").collect()}
     assert set(few.values()) == {40}
     assert spark.sql("SELECT * FROM optimal_threshold(TABLE(SELECT * FROM t_scores WHERE n > 99) PARTITION BY kind)").count() == 0
     for bad in ("optimal_threshold(TABLE(SELECT 1 AS a) PARTITION BY a)", "optimal_threshold(3)", "link_counts(TABLE(t_scores) PARTITION BY kind)"):
