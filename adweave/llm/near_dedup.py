@@ -6,19 +6,24 @@ of coordinates propose pairs; exact Jaccard similarity on full shingle sets deci
 
 Texts with equal sets collapse into one class first. Every class is tried with one
 leader of its buckets, the leaders being those with most bucket mates, the centres of
-large groups, so that a large group costs about its size. For what is then still in one
-bucket but in different components, an exact prefix filter on the rarest shingles
-proposes every pair that can still be a link; what a component already joins needs no
-test. Where these pairs are many, rounds with one leader of a class's index buckets, in a
-random order, come first and halve the components about each time, until few pairs are
-left. Links become links between components before components are computed. So no link
-between components is lost, and large groups are not paired in bulk.
+large groups, so that a large group costs about its size. Classes that are then still in
+one bucket but in different components go to an exact prefix filter on the rarest
+shingles, which proposes every pair of them that can still be a link; what a component
+already joins needs no test. Where these pairs are many, rounds with one leader of a
+class's index buckets, in a random order, come first and halve the components about each
+time, until few pairs are left or a round joins hardly any; the pairs left are then tested
+in parts of about PAIRS times the index's rows (LEAST_PART at least), each after the components of the part
+before, so that what is stored at a time does not grow with their number. Links become
+links between components before components are computed. A link between classes that
+share no band with any class of another component is not met (see BANDS); no other is
+lost, and large groups are not paired in bulk.
 
 Tables that the next step no longer needs are deleted.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +40,10 @@ SHINGLE = 5
 #: A pair at the similarity of 0.75 shares no band with a chance of (1 - 0.75 ** ROWS) ** BANDS, 2e-5.
 BANDS, ROWS = 40, 5
 UNIVERSE_BITS = 20
-#: All pairs of what is left in the prefix index are tested once they are no more than so many times its rows, or when a round of leaders links less than so much of the classes.
+#: Pairs of what is left in the prefix index are tested, so many times its rows at a time, once they are no more than that or when a round of leaders links less than GAIN of the classes.
 PAIRS, GAIN = 2, 0.001
+#: Fewer pairs than this (some 100 MB) are no part of their own.
+LEAST_PART = 1 << 22
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
 
@@ -185,13 +192,19 @@ def leader_pairs(where: DataFrame) -> DataFrame:
     return out
 
 
-def bucket_pairs(where: DataFrame) -> DataFrame:
-    """Every pair (a, b) of different components (ca, cb) in one bucket that can be a link, stored. Members of a bucket's largest component are paired with the others only."""
+def bucket_pairs(where: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
+    """Every pair (a, b) of different components (ca, cb) in one bucket that can be a link, stored. Members of a bucket's largest component are paired with the others only.
+
+    Of several parts, one has the pairs of a share of the buckets' members, by a hash.
+    """
     sizes = where.groupBy("key", "comp").agg(F.count("*").alias("c"))
     main = stored(sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("key", "main"), "main")
     rows = where.join(main, "key").select("key", "main", F.struct("rep", "n", "left", "comp").alias("m"))
-    x, y = rows.filter("m.comp <> main").select("key", F.col("m").alias("x")), rows.select("key", F.col("m").alias("y"))
-    pairs = x.join(y, "key").filter((F.col("x.comp") != F.col("y.comp")) & _can("x", "y"))
+    x, y = rows.filter("m.comp <> main").select("key", F.col("m").alias("x")), rows.select("key", "main", F.col("m").alias("y"))
+    if parts > 1:
+        x = x.filter(F.pmod(F.xxhash64("key", "x.rep"), F.lit(parts)) == part)
+    once = (F.col("y.comp") == F.col("main")) | (F.col("x.rep") < F.col("y.rep"))  # members of other components meet from both sides
+    pairs = x.join(y, "key").filter((F.col("x.comp") != F.col("y.comp")) & once & _can("x", "y"))
     swap = F.col("x.rep") > F.col("y.rep")
     a, b = F.when(swap, F.col("y")).otherwise(F.col("x")), F.when(swap, F.col("x")).otherwise(F.col("y"))
     out = stored(pairs.select(a["rep"].alias("a"), b["rep"].alias("b"), a["comp"].alias("ca"), b["comp"].alias("cb")).distinct(), "pairs")
@@ -246,11 +259,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         i += 1
         where = placed(index, label)
         few = left <= PAIRS * n or gain < GAIN
-        found = verified(sets, bucket_pairs(where) if few else leader_pairs(where.withColumn("order", F.xxhash64("rep", F.lit(i)))))
-        gain = found.count() * 1.0 / max(label.count(), 1)
-        label = merged(label, found)
         if few:
+            parts = max(1, math.ceil(left / max(PAIRS * n, LEAST_PART)))
+            for part in range(parts):
+                label = merged(label, verified(sets, bucket_pairs(placed(index, label), part, parts)))
             break
+        found = verified(sets, leader_pairs(where.withColumn("order", F.xxhash64("rep", F.lit(i)))))
+        gain = found.count() * 1.0 / max(label.count(), 1)
+        label = merged(label, found)
     forget(sets, index)
 
     comp = label.filter("rep <> comp").union(label.filter("rep <> comp").select("comp", "comp")).distinct()

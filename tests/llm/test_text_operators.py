@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from adweave.llm import gru, language_id, packing, toxicity
+from adweave.llm import gru, language_id, near_dedup, packing, toxicity
 from adweave.llm.components import components
 from adweave.llm.decontamination import contaminated
 from adweave.llm.line_dedup import dedup_lines
@@ -182,12 +182,19 @@ def test_prefix_pairs_lose_no_link(spark):
     got = {(r.a, r.b) for r in rows}
     assert links and links <= got and len(got) == len(rows) <= open_pairs(where)
     assert all((r.ca, r.cb) == (r.a % 3, r.b % 3) and r.ca != r.cb for r in rows)
+    parts = [(r.a, r.b) for i in range(5) for r in bucket_pairs(where, i, 5).collect()]
+    assert set(parts) == got and max(sum(1 for _ in bucket_pairs(where, i, 5).collect()) for i in range(5)) < len(got)
     led = leader_pairs(where.withColumn("order", F.lit(0))).collect()
     assert len(led) == len({r.a for r in led}) and all(r.ca != r.cb and (min(r.a, r.b), max(r.a, r.b)) in got for r in led)
 
 
-def test_near_dedup_of_a_large_varied_group(spark):
-    """Copies of one text that differ from one another as much as from it."""
+@pytest.mark.parametrize("gain,least", [(0.001, 1 << 22), (2.0, 50_000)], ids=["leaders", "parts"])
+def test_near_dedup_of_a_large_varied_group(spark, monkeypatch, gain, least):
+    """Copies of one text that differ from one another as much as from it; what leaders leave comes in parts."""
+    monkeypatch.setattr(near_dedup, "LEAST_PART", least)
+    monkeypatch.setattr(near_dedup, "GAIN", gain)
+    seen, real = [], near_dedup.bucket_pairs
+    monkeypatch.setattr(near_dedup, "bucket_pairs", lambda where, part=0, parts=1: seen.append(parts) or real(where, part, parts))
     rng = random.Random(7)
     base = words(rng, 120).split()
     rows = []
@@ -197,7 +204,7 @@ def test_near_dedup_of_a_large_varied_group(spark):
             t[rng.randrange(120)] = words(rng, 1)
         rows.append((i * 3 + 1, " ".join(t)))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == by_hand(rows)
+    assert got == by_hand(rows) and (gain < 1 or max(seen) > 1)
 
 
 def test_components(spark):
