@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import rules, text
-from ..operators.joins import contains_first, first_per
+from ..functions import rules, scores, text
+from ..operators.funnel import funnel
+from ..operators.joins import contains_first, first_per, resolved_in_tiers
+from ..sources.files import read_csv, sitemap_locations
+from ..streaming.base import shared_folder
+from .analysis import _ELIGIBLE, _NOT_BLOCKED, eligible, images
 from .base import Registry, Tables
+from .pipelines import _PAIRS
 from .records import _ADS, ads
 
 R = Registry()
@@ -144,3 +151,107 @@ def multi_asset(t: Tables) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("asset"))
     j = g.join(shown.withColumn("pick", place), ["user_id", "pick"], "left")
     return j.select("user_id", "asset", F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(c("v") * 3))).cast("int").alias("score"))
+
+
+def _rules(t: Tables) -> DataFrame:
+    """How many rules of each type a campaign has (D31): names of its assets of even size are required elements, of odd size forbidden ones."""
+    odd = c("size") % 2 == 1
+    return t.assets.groupBy("campaign_id").agg(F.count_if(~odd).alias("required"), F.count_if(odd).alias("forbidden"))
+
+
+def _written(x: DataFrame, rules_: DataFrame, keys: list[str]) -> DataFrame:
+    """Judged pairs through the funnel; of the matched ones those whose campaign forbids more than it requires are violations, written with an alert each (L2)."""
+    g = funnel(x).groupBy("stage", "campaign_id", (c("final_score") >= 75).alias("strong")).agg(F.count("*").alias("n"))  # so the rules meet a few rows
+    hit = c("stage") == "matched"
+    each = lambda cond, v=c("n"): F.sum(F.when(cond, v).otherwise(0)).cast("long")
+    sums = [F.sum("n").alias("n"), each(hit & c("strong")).alias("strong"), each(hit, c("n") * (c("required") + c("forbidden"))).alias("rules"), each(hit & (c("forbidden") > c("required"))).alias("alerts")]
+    return g.join(rules_, "campaign_id", "left").groupBy(*keys).agg(*sums)
+
+
+_RULES = "ru AS (SELECT campaign_id, count(*) FILTER (size % 2 = 0) AS required, count(*) FILTER (size % 2 = 1) AS forbidden FROM assets GROUP BY 1)"
+_SUMS = """count(*) AS n, count(*) FILTER (stage = 'matched' AND final_score >= 75) AS strong, CAST(sum(CASE WHEN stage = 'matched' THEN required + forbidden ELSE 0 END) AS BIGINT) AS rules,
+    count(*) FILTER (stage = 'matched' AND forbidden > required) AS alerts FROM z JOIN assets a USING (asset_id) LEFT JOIN ru USING (campaign_id)"""
+
+
+@R.add("l4_post_scan_rules", f"WITH {_PAIRS}, {_RULES} SELECT stage, a.campaign_id, {_SUMS} WHERE z.match_id % 3 <> 0 AND {_NOT_BLOCKED} AND {_ELIGIBLE} GROUP BY 1, 2")
+def post_scan(t: Tables) -> DataFrame:
+    """L4: unprocessed images of a scan against the assets for their source, with the campaign's rules (D31) and the alerts that the matches are written with."""
+    return _written(eligible(images(t), "facebook").filter(~c("is_processed")), _rules(t), ["stage", "campaign_id"])
+
+
+@R.add("l12_without_campaign_rules", f"WITH {_PAIRS}, {_RULES} SELECT stage, {_SUMS} WHERE a.org_id = 3 AND {_NOT_BLOCKED} GROUP BY 1")
+def without_campaign(t: Tables) -> DataFrame:
+    """All assets of the organisation that have a campaign, whatever their source, with the rules of each asset's campaign."""
+    seen = F.coalesce("capture_method", F.lit("")) != "blocked_evidence"
+    return _written(images(t).filter((c("org_id") == 3) & c("campaign_id").isNotNull() & seen), _rules(t), ["stage"])
+
+
+@R.add(
+    "c36_write_back",
+    """WITH x AS (SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'cache' WHEN s_acctbal > 5000 THEN 'column' WHEN s_suppkey % 3 = 0 THEN 'http' WHEN s_suppkey % 5 <> 0 THEN 'render' ELSE 'open' END AS tier FROM supplier),
+    y AS (SELECT 1 AS round, tier FROM x UNION ALL SELECT 2, CASE WHEN tier IN ('http', 'render') THEN 'cache' ELSE tier END FROM x) SELECT round, tier, count(*) AS n FROM y GROUP BY 1, 2""",
+)
+def write_back(t: Tables) -> DataFrame:
+    """What is fetched or rendered is written back to the cache, so that the next round finds it there; a tally by tier of both rounds."""
+    k = c("s_suppkey")
+    say = lambda word: F.concat(F.lit(word), k.cast("string")).alias("page")
+    column = t.supplier.filter("s_acctbal > 5000").select("s_suppkey", say("stored "))
+
+    def run(cache: DataFrame) -> DataFrame:
+        tiers = [("cache", lambda o: o.join(cache, "s_suppkey")), ("column", lambda o: o.join(column, "s_suppkey")), ("http", lambda o: o.filter(k % 3 == 0).select("s_suppkey", say("fetched "))), ("render", lambda o: o.filter(k % 5 != 0).select("s_suppkey", say("rendered ")))]
+        return resolved_in_tiers(t.supplier.select("s_suppkey"), "s_suppkey", tiers, "page")
+
+    at = f"{shared_folder(t.spark)}/resolved-{uuid.uuid4().hex}"
+    t.supplier.filter(k % 4 == 0).select("s_suppkey", say("cached ")).write.parquet(f"{at}/cache/round=0")
+    kept, tallies = t.spark.read.schema("s_suppkey long, page string"), []
+    for i in (1, 2):
+        got = run(kept.parquet(f"{at}/cache/*"))
+        got.write.parquet(f"{at}/got/round={i}")
+        got = t.spark.read.parquet(f"{at}/got/round={i}")
+        got.filter(c("tier").isin("http", "render")).select("s_suppkey", "page").write.parquet(f"{at}/cache/round={i}")
+        tallies.append(got.groupBy(F.coalesce("tier", F.lit("open")).alias("tier")).agg(F.count("*").alias("n")).select(F.lit(i).alias("round"), "tier", "n"))
+    return tallies[0].unionByName(tallies[1])
+
+
+#: Children of a sitemap index that are followed, at most.
+FOLLOWED = 5
+
+
+@R.add("a15_sitemap_index", f"SELECT page_id, 'https://s/' || page_id || '/' || k || '/' || i AS loc FROM pages, (SELECT unnest(range(0, {FOLLOWED})) AS k), (SELECT unnest(range(0, 2)) AS i) WHERE page_id % 3 <> 0 UNION ALL SELECT page_id, 'https://s/' || page_id || '/own' FROM pages WHERE page_id % 3 = 0")
+def sitemap_index(t: Tables) -> DataFrame:
+    """Documents that are an index are followed to their first five children, joined by URL; malformed ones are read by pattern."""
+    url = lambda *xs: F.concat(F.lit("https://s/"), c("page_id").cast("string"), *[F.lit(f"/{x}") for x in xs])
+    entry = lambda u: F.concat(F.lit("<loc>"), u, F.lit("</loc>"))
+    index = F.concat(F.lit("<sitemapindex>"), *[F.concat(F.lit("<sitemap>"), entry(url(i)), F.lit("</sitemap>")) for i in range(7)], F.lit("</sitemapindex>"))
+    top = F.when(c("page_id") % 3 != 0, index).otherwise(F.concat(F.lit("<urlset><url>"), entry(url("own")), F.lit("</url>")))  # not closed: malformed
+    docs = t.pages.select("page_id", top.alias("xml"))
+    child = t.pages.select("page_id", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("k"))
+    of_child = F.concat(F.lit("https://s/"), c("page_id").cast("string"), F.lit("/"), c("k").cast("string"))
+    children = child.select(of_child.alias("url"), F.concat(F.lit("<urlset>"), *[F.concat(F.lit("<url>"), entry(F.concat(of_child, F.lit(f"/{i}"))), F.lit("</url>")) for i in range(2)], F.lit("</urlset>")).alias("xml"))
+    is_index = F.contains("xml", F.lit("<sitemapindex"))
+    own = docs.filter(~is_index).select("page_id", F.explode(sitemap_locations(c("xml"))).alias("loc"))
+    links = docs.filter(is_index).select("page_id", F.explode(F.slice(sitemap_locations(c("xml")), 1, FOLLOWED)).alias("url"))
+    return own.unionByName(links.join(children, "url").select("page_id", F.explode(sitemap_locations(c("xml"))).alias("loc")))
+
+
+@R.add(
+    "a25_report_sections",
+    """WITH m AS (SELECT m.*, d.name FROM matches m LEFT JOIN dealers d USING (distributor_id)), r AS (
+    SELECT 'preamble' AS section, 'all' AS name, count(*) AS n, count(*) FILTER (status = 'compliant') AS ok FROM m UNION ALL SELECT 'dealer', coalesce(name, 'Unknown'), count(*), count(*) FILTER (status = 'compliant') FROM m GROUP BY 2
+    UNION ALL SELECT 'channel', coalesce(nullif(channel, ''), 'unknown'), count(*), count(*) FILTER (status = 'compliant') FROM m GROUP BY 2 UNION ALL SELECT 'detail', match_id || ', "' || price || '"', 1, CAST(status = 'compliant' AS INTEGER) FROM m)
+    SELECT section, name, CAST(n AS VARCHAR) AS total, CAST(round(ok * 100.0 / n, 1) AS VARCHAR) || '%' AS rate FROM r""",
+)
+def report_sections(t: Tables) -> DataFrame:
+    """Preamble, details, dealers and channels as CSV, a folder a section, read back; quotes and commas survive."""
+    at = f"{shared_folder(t.spark)}/report-{uuid.uuid4().hex}"
+    m = t.matches.join(t.dealers.select("distributor_id", "name"), "distributor_id", "left")
+    ok = F.count_if(c("status") == "compliant").alias("ok")
+    names = {"preamble": F.lit("all"), "dealer": F.coalesce("name", F.lit("Unknown")), "channel": F.coalesce(F.nullif(c("channel"), F.lit("")), F.lit("unknown"))}
+    sections = {k: m.groupBy(v.alias("of")).agg(F.count("*").alias("n"), ok) for k, v in names.items()}
+    sections["detail"] = m.select(F.concat(c("match_id").cast("string"), F.lit(', "'), c("price").cast("string"), F.lit('"')).alias("of"), F.lit(1).alias("n"), (c("status") == "compliant").cast("int").alias("ok"))
+    out = None
+    for k, g in sections.items():
+        g.select(c("of").alias("Name"), c("n").cast("string").alias("Total"), F.concat(scores.rate(c("ok"), c("n")).cast("string"), F.lit("%")).alias("Rate")).write.option("header", True).option("escape", '"').csv(f"{at}/{k}")
+        part = read_csv(t.spark, f"{at}/{k}").select(F.lit(k).alias("section"), "name", "total", "rate")
+        out = part if out is None else out.unionByName(part)
+    return out
