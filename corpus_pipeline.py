@@ -1,4 +1,10 @@
-"""Corpus preparation in five stages, each one operator over all that its predecessor kept."""
+"""Corpus preparation in five stages, each one operator over all that its predecessor kept.
+
+All stages take empty tables (no rows come out), whole texts of any length, and extra
+columns, which stay untouched whatever their names; only doc_id and text are read, n_chars
+is kept true if it is there, and columns of an operator with a clashing name are not kept.
+Rows with equal ids are rows of their own unless a stage says otherwise.
+"""
 
 from __future__ import annotations
 
@@ -17,13 +23,23 @@ MIN_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: drops documents of no language (no text, no letter) or of an unsure one."""
+    """Operator 4: drops documents of no language or of an unsure one (a posterior below MIN_SCORE).
+
+    Null and empty texts and texts without a letter have no language and go, whatever their
+    id. Repeated rows get the same answer; of equal posteriors the first language in order
+    counts. Without a labelled row, as in an empty table, all go.
+    """
     marked = identify(docs, train(docs))
     return marked.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: takes cross-site boilerplate lines out of the texts, but for whole copies; n_chars follows."""
+    """Operator 10: takes cross-site boilerplate lines out of the texts, but for whole copies; n_chars follows.
+
+    Every row stays. Null texts stay null and empty ones empty; rows with a null id keep
+    their lines, and rows with equal ids each lose theirs. A null source counts for no site.
+    A line on exactly the least number of sites is boilerplate.
+    """
     cleaned = dedup_lines(docs, whole_copies=True)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
@@ -31,19 +47,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: keeps the document of the smallest doc_id of each group of near copies."""
+    """Operator 5: keeps the document of the smallest doc_id of each group of near copies.
+
+    Null, empty and blank texts are copies of nothing and stay, as do rows with a null id.
+    Rows with equal ids stay or go together.
+    """
     gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: drops documents that hold an item of the benchmark table."""
+    """Operator 6: drops documents that hold an item of the benchmark table.
+
+    Null and empty texts hold none; null and empty items are in no document. Rows with a
+    null id aren't checked and stay; rows with equal ids go if one of them holds an item.
+    """
     gone = contaminated(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: a row per document with its length bucket and batch."""
+    """Operator 2: a row per document with its length bucket and batch.
+
+    Null and empty texts have the end id alone. Equal lengths are in one bucket; rows with
+    equal or null ids are documents of their own.
+    """
     return pack(docs)
 
 
