@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 
+# Labels of the funnel's stages, in order.
 STAGES = ("download_failed", "hash_rejected", "clip_rejected", "filter_rejected", "below_threshold", "verification_rejected", "asset_invisible_rejected", "matched")
 
 
