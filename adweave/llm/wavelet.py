@@ -96,16 +96,19 @@ def one_edit(queries: np.ndarray, index: np.ndarray, edits: range) -> Iterator[t
     rank = np.empty(len(index), np.int64)
     rank[backward.index] = np.arange(len(index))
     tree = WaveletTree(rank[forward.index])
-    rows, least = np.arange(len(queries)), 1 if longer else 2  # a word itself is in its own intervals
+    rows, least = np.arange(len(queries)), np.ones(len(queries), np.int64)
+    if not longer:  # a word that the index has is in its own intervals; of a chunked group it may be in another chunk
+        lo, hi = forward.intervals(queries.shape[1], rows)
+        least += hi > lo
     for i in edits:
         spans = [lambda q: forward.intervals(i, q), lambda q: backward.intervals(queries.shape[1] - i - (0 if longer else 1), q)]
         narrow = edits.step < 0  # the side whose intervals become smaller from position to position
         lo, hi = spans[narrow](rows)
-        rows = rows[hi - lo >= least]
+        rows = rows[hi - lo >= least[rows]]
         if not len(rows):
             return
         (lo, hi), (a, b) = (span(rows) for span in spans)
-        ok = (hi - lo >= least) & (b - a >= least)
+        ok = (hi - lo >= least[rows]) & (b - a >= least[rows])
         q, lo, hi, a, b = rows[ok], lo[ok], hi[ok], a[ok], b[ok]
         for which, value in tree.report(lo, hi, a, b) if len(q) else ():
             word, found = q[which], backward.index[value]

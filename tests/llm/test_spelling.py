@@ -75,6 +75,18 @@ def test_near_words(spark, monkeypatch, chunk):
     assert all((-r.best.n, r.best.word) == min((-words[v], v) for v in words if is_near(r.word, v)) for r in got)
 
 
+def test_near_words_of_other_chunks(spark, monkeypatch):
+    """The only word near another one may be in another chunk, alone with its prefix."""
+    assert spelling._near(6, True, [(True, b"abcdef", 5), (False, b"abcdeg", 9)]) == {b"abcdef": [1, 9, b"abcdeg"]}
+    assert spelling._near(6, False, [(True, b"abcdef", 5), (False, b"xbcdef", 9)]) == {b"abcdef": [1, 9, b"xbcdef"]}
+    monkeypatch.setattr(spelling, "CHUNK", 3)
+    rng = random.Random(3)
+    words = {"abc" + "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 5))): rng.randint(5, 99) for _ in range(400)}
+    got = spelling.near_words(spark.createDataFrame([*words.items()], "word string, n long")).collect()
+    want = {w: sum(is_near(w, v) for v in words) for w in words}
+    assert {r.word: r.n_near for r in got} == {w: n for w, n in want.items() if n}
+
+
 def test_spelling_groups(spark, monkeypatch):
     monkeypatch.setattr(spelling, "PIECE", 50)
     monkeypatch.setattr(spelling, "HELD", 30)
