@@ -35,6 +35,12 @@ def clamp(x: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
 
 
+def exact_sum(x: Column) -> Column:
+    """Sum of doubles by their decimals, so that it doesn't hang on the order of rows; the plain sum if one of them has over 16 digits before the point or 12 behind it, or is no number."""
+    d = x.try_cast("decimal(28,12)")
+    return F.when(F.count_if(x.isNotNull() & ~d.cast("double").eqNullSafe(x)) == 0, F.sum(d).cast("double")).otherwise(F.sum(x))
+
+
 def hamming_score(distance: Column) -> Column:
     """Similarity of a mean Hamming distance of 64-bit hashes."""
     return F.bround(F.greatest(F.lit(0.0), 100 - distance * 100 / 64))

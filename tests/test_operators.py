@@ -1,6 +1,7 @@
 """Operators, functions and sources on small fixtures."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -142,6 +143,30 @@ def test_paged_source(spark):
     spark.dataSource.register(paged_source("adweave_paged", "source int, n int", fetch, sources=2, most=3))
     rows = spark.read.format("adweave_paged").load().collect()
     assert sorted((r.source, r.n) for r in rows) == [(s, n) for s in range(2) for n in range(6)]
+def test_exact_sums(spark):
+    """Sums don't hang on the order of rows: ten times 0.1 is 1, and 0.3 + 0.2 + 0.1 is 0.6."""
+    rows = [("a", 0.1)] * 10 + [("b", 0.1), ("b", 0.2), ("b", 0.3), ("b", None), ("c", None), ("d", float("inf")), ("d", 1.0), ("e", 1e-20), ("e", 1e-20), ("f", 1e300)]
+    df = spark.createDataFrame(rows, "k string, x double").coalesce(1)
+    got = {r.k: r.s for r in df.groupBy("k").agg(scores.exact_sum(F.col("x")).alias("s")).collect()}
+    assert got == {"a": 1.0, "b": 0.6, "c": None, "d": float("inf"), "e": 2e-20, "f": 1e300}
+    assert [r.s for r in df.filter("k = 'x'").agg(scores.exact_sum(F.col("x")).alias("s")).collect()] == [None]
+
+
+def test_whole_means_are_not_cut(spark, tmp_path):
+    from adweave.plans import registry
+
+    rng = random.Random(1)
+    cents = [rng.randint(1000, 9000) for _ in range(64)]
+    cents.append(-sum(cents) % 6500)
+    plain = 0.0
+    for x in cents:
+        plain += x / 100
+    assert sum(cents) == 49 * 100 * 65 and plain / 65 < 49
+    rows = [(1, "view", "2024-01-10", x / 100) for x in cents]
+    spark.createDataFrame(rows, "user_id long, event_type string, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    assert registry.QUERIES["h17_safe_math"](spark, str(tmp_path)).first().clamped == 49
+
+
 
 
 def test_image_hashes(spark):
