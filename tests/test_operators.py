@@ -86,6 +86,14 @@ def test_sequences(spark):
     assert until_superset(seen, "p", ["i"], "a", 2).count() == 3
 
 
+def test_conditional_theta_deals_out_rows_without_a_dealer(spark):
+    """One left join on a key that is never null, so that such rows aren't in one task."""
+    from adweave.plans import registry
+
+    plan = registry.QUERIES["c3_conditional_theta"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join LeftOuter") == 1 and "coalesce(concat(id:" in plan and "concat(none:" in plan
+
+
 def test_scores(spark):
     v = lambda c: one(spark, c)
     lit = lambda x: F.lit(float(x))
