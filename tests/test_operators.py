@@ -114,6 +114,21 @@ def test_funnel_vetoes(spark):
     assert [got[i] for i in range(len(cases))] == [s for _, s in cases]
 
 
+def test_distractors_are_found_once_a_kind(spark, tmp_path):
+    """No row for each part and candidate: what is ranked has a row for each type, brand and candidate."""
+    from adweave.plans import registry
+
+    parts = spark.range(20_000).selectExpr("id AS p_partkey", "concat('b', id % 5) AS p_brand", "concat('t', id % 2) AS p_type").coalesce(1)
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    got = registry.QUERIES["c33_distractors"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(id" not in plan
+    rows = {}
+    for r in got.collect():
+        rows.setdefault(r.id, []).append((r.rn, r.other))
+    assert len(rows) == 20_000 and sorted(rows[0]) == [(1, 2), (2, 4), (3, 6), (4, 8)] and sorted(rows[9_993]) == [(1, 1), (2, 5), (3, 7), (4, 9)]
+
+
 def test_text(spark):
     v = lambda c: one(spark, c)
     assert v(text.normal_url(F.lit("HTTPS://Ex.com/a/b/?x=1#y"))).lower() == "https://ex.com/a/b"
@@ -128,29 +143,6 @@ def test_text(spark):
     assert v(text.is_promo(F.lit("https://x.com/big-sale/now"))) and not v(text.is_promo(F.lit("https://x.com/wholesale")))
 
 
-def test_sources(spark, tmp_path):
-    (tmp_path / "d.csv").write_bytes(b'Name, Website URL,note\r\n"A ""x"", B",http://a,"two\nlines"\r\nshort\r\n,,\r\n')
-    rows = read_csv(spark, str(tmp_path / "d.csv")).collect()
-    assert [r.asDict() for r in rows] == [{"name": 'A "x", B', "website_url": "http://a", "note": "two\nlines"}, {"name": "short", "website_url": "", "note": ""}]
-    (tmp_path / "m.json").write_text(json.dumps({"version": 1, "cases": [{"id": "a", "expected": {"is_match": True}}, {"id": "b"}]}))
-    got = {(r.id, r.m) for r in read_manifest(spark, str(tmp_path / "m.json"), "id string, expected struct<is_match: boolean>").select("id", F.col("expected.is_match").alias("m")).collect()}
-    assert got == {("a", True), ("b", None)}
-    v = lambda c: one(spark, c)
-    assert v(sitemap_locations(F.lit("<urlset><url><loc> http://a/1 </loc></url><x:loc>http://a/2</x:loc>"))) == ["http://a/1", "http://a/2"]
-    assert v(html_links(F.lit("<a href='/x'> <a href=\"#t\"><a href='mailto:a@b'><a href='/x'><a href = \"http://b\">"))) == ["/x", "http://b"]
-    base = F.lit("https://h.com/dir/page?q=1")
-    assert [v(resolved(base, F.lit(x))) for x in ("http://o/", "//cdn/x", "/r", "rel")] == ["http://o/", "https://cdn/x", "https://h.com/r", "https://h.com/dir/rel"]
-    assert v(data_uri_bytes(F.lit("data:image/png;base64,aGk="))) == b"hi" and v(data_uri_bytes(F.lit("http://x"))) is None
-
-
-def test_paged_source(spark):
-    def fetch(source, token):
-        at = token or 0
-        return [(source, at * 2 + i) for i in range(2)], at + 1 if at < 5 else None
-
-    spark.dataSource.register(paged_source("adweave_paged", "source int, n int", fetch, sources=2, most=3))
-    rows = spark.read.format("adweave_paged").load().collect()
-    assert sorted((r.source, r.n) for r in rows) == [(s, n) for s in range(2) for n in range(6)]
 def test_exact_sums(spark):
     """Sums don't hang on the order of rows: ten times 0.1 is 1, and 0.3 + 0.2 + 0.1 is 0.6."""
     rows = [("a", 0.1)] * 10 + [("b", 0.1), ("b", 0.2), ("b", 0.3), ("b", None), ("c", None), ("d", float("inf")), ("d", 1.0), ("e", 1e-20), ("e", 1e-20), ("f", 1e300)]
@@ -175,6 +167,29 @@ def test_whole_means_are_not_cut(spark, tmp_path):
     assert registry.QUERIES["h17_safe_math"](spark, str(tmp_path)).first().clamped == 49
 
 
+def test_sources(spark, tmp_path):
+    (tmp_path / "d.csv").write_bytes(b'Name, Website URL,note\r\n"A ""x"", B",http://a,"two\nlines"\r\nshort\r\n,,\r\n')
+    rows = read_csv(spark, str(tmp_path / "d.csv")).collect()
+    assert [r.asDict() for r in rows] == [{"name": 'A "x", B', "website_url": "http://a", "note": "two\nlines"}, {"name": "short", "website_url": "", "note": ""}]
+    (tmp_path / "m.json").write_text(json.dumps({"version": 1, "cases": [{"id": "a", "expected": {"is_match": True}}, {"id": "b"}]}))
+    got = {(r.id, r.m) for r in read_manifest(spark, str(tmp_path / "m.json"), "id string, expected struct<is_match: boolean>").select("id", F.col("expected.is_match").alias("m")).collect()}
+    assert got == {("a", True), ("b", None)}
+    v = lambda c: one(spark, c)
+    assert v(sitemap_locations(F.lit("<urlset><url><loc> http://a/1 </loc></url><x:loc>http://a/2</x:loc>"))) == ["http://a/1", "http://a/2"]
+    assert v(html_links(F.lit("<a href='/x'> <a href=\"#t\"><a href='mailto:a@b'><a href='/x'><a href = \"http://b\">"))) == ["/x", "http://b"]
+    base = F.lit("https://h.com/dir/page?q=1")
+    assert [v(resolved(base, F.lit(x))) for x in ("http://o/", "//cdn/x", "/r", "rel")] == ["http://o/", "https://cdn/x", "https://h.com/r", "https://h.com/dir/rel"]
+    assert v(data_uri_bytes(F.lit("data:image/png;base64,aGk="))) == b"hi" and v(data_uri_bytes(F.lit("http://x"))) is None
+
+
+def test_paged_source(spark):
+    def fetch(source, token):
+        at = token or 0
+        return [(source, at * 2 + i) for i in range(2)], at + 1 if at < 5 else None
+
+    spark.dataSource.register(paged_source("adweave_paged", "source int, n int", fetch, sources=2, most=3))
+    rows = spark.read.format("adweave_paged").load().collect()
+    assert sorted((r.source, r.n) for r in rows) == [(s, n) for s in range(2) for n in range(6)]
 
 
 def test_image_hashes(spark):
