@@ -75,3 +75,20 @@ def test_table_functions(spark):
             spark.sql(f"SELECT * FROM {bad}").collect()
     spark.createDataFrame([(1, 2, True), (1, 0, False), (1, 3, True), (2, 0, False), (2, 5, None)], "key long, tier int, ok boolean").createOrReplaceTempView("t_tries")
     assert sorted(map(tuple, spark.sql("SELECT * FROM first_tier(TABLE(t_tries))").collect())) == [(1, 2, True, 2), (2, 5, False, 2)]
+
+
+def test_many_pages_are_few_files_and_many_ranges(spark, tmp_path):
+    """A file holds a block of pages, and ranges of pages are read by tasks of their own, each page once."""
+    from adweave.sources.paged import SPAN
+
+    folder = str(tmp_path / "pages")
+    service(spark, folder, range(0, 6_000, 2))  # 600 pages of one source
+    service(spark, folder, range(6_000, 6_010))  # a page of a block that is there, and a second source
+    assert len(list((tmp_path / "pages").rglob("*.json"))) < 20
+    plug = source(most=1 << 30)
+    reader = PagedReader(plug, {"folder": folder})
+    parts = reader.partitions()
+    assert SPAN == 256 and [(p.source, p.first, p.end) for p in parts] == [("a", 0, 256), ("a", 256, 512), ("a", 512, 601), ("b", 0, 1)]
+    assert sorted(r[0] for p in parts for r in reader.read(p)) == sorted([*range(0, 6_000, 2), *range(6_000, 6_010)])
+    stream = PagedStream(plug, {"folder": folder})
+    assert [(p.first, p.end) for p in stream.partitions({"a": "300"}, {"a": "600"})] == [(300, 512), (512, 600)]
