@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scores
 from ..functions.images import image_hashes, resized
 from ..functions.matching import feature_place, template_place
+from ..operators.joins import sized
 from ..sources.pictures import decoded, list_images, optimised_png, png, write_files
 from ..streaming.base import shared_folder
 from .base import Registry, Tables
@@ -59,12 +60,16 @@ def with_asset(h: int, w: int, cell: int, asset_h: int, asset_w: int, asset_cell
     return run
 
 
+def dealt(t: Tables, rows: DataFrame, key: str) -> DataFrame:
+    """Rows before images are made of them, dealt out by key: what is a file of few bytes would be one task of long work."""
+    return rows.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _pairs(t: Tables, pages: DataFrame, h: int, w: int, cell: int) -> DataFrame:
-    """Each page with the asset that may stand in it and with another one, the assets' images joined by number."""
+    """Each page with the asset that may stand in it and with another one, the assets' images joined by number; a page's pairs stay together."""
     assets = t.part.select(c("p_partkey").alias("asset")).filter(f"asset <= {ASSETS}").withColumn("asset_px", drawn(h, w, cell, 2)(c("asset")))
     both = pages.withColumn("asset", F.explode(F.array("own", (c("own") + 6) % ASSETS + 1)))
-    n = int(t.spark.conf.get("spark.sql.shuffle.partitions"))  # a pair takes seconds, so few rows are many tasks all the same
-    return both.join(assets, "asset").repartition(n, "page_id", "asset")
+    return both.join(sized(assets, ASSETS), "asset")
 
 
 _PLACED = f"""p AS (SELECT page_id, page_id % {ASSETS} + 1 AS own, page_id % 4 <> 0 AS planted, page_id * 7 % 110 AS x, page_id * 11 % 80 AS y,
@@ -82,7 +87,7 @@ def template_pairs(t: Tables) -> DataFrame:
     put = c("page_id") % 4 != 0
     x, y = c("page_id") * 7 % 110, c("page_id") * 11 % 80
     page = with_asset(PAGE_H, PAGE_W, 6, ASSET_H, ASSET_W, 8)
-    p = t.pages.select("page_id", (c("page_id") % ASSETS + 1).alias("own"))
+    p = dealt(t, t.pages.select("page_id", (c("page_id") % ASSETS + 1).alias("own")), "page_id")
     p = p.withColumn("page_px", page("page_id", "own", x, y, F.when(put, at(0)).otherwise(0), at(1)))
     m = _pairs(t, p, ASSET_H, ASSET_W, 8).select("page_id", "asset", template_place("page_px", F.lit(PAGE_W), "asset_px", F.lit(ASSET_W)).alias("m"))
     or_ = lambda k, v: F.coalesce(c(f"m.{k}"), F.lit(v)).alias(k)
@@ -98,7 +103,7 @@ def feature_pairs(t: Tables) -> DataFrame:
     put = c("page_id") % 4 != 0
     x, y = (c("page_id") * 7 % 110).cast("int"), (c("page_id") * 11 % 80).cast("int")
     page = with_asset(TALL, WIDE, 7, BIG_H, BIG_W, 9)
-    p = t.pages.select("page_id", (c("page_id") % ASSETS + 1).alias("own"), x.alias("x"), y.alias("y"))
+    p = dealt(t, t.pages.select("page_id", (c("page_id") % ASSETS + 1).alias("own"), x.alias("x"), y.alias("y")), "page_id")
     p = p.withColumn("page_px", page("page_id", "own", "x", "y", F.when(put, BIG_W).otherwise(0), F.lit(BIG_H)))
     m = _pairs(t, p, BIG_H, BIG_W, 9).select("page_id", "asset", "x", "y", feature_place("page_px", F.lit(WIDE), "asset_px", F.lit(BIG_W)).alias("m"))
     off = F.greatest(F.abs(c("m.x") - c("x")), F.abs(c("m.y") - c("y")), F.abs(c("m.width") - BIG_W), F.abs(c("m.height") - BIG_H))
@@ -114,7 +119,7 @@ def hashed(t: Tables) -> DataFrame:
         return pd.Series([(np.frombuffer(p, np.uint8) * 0.9 + 10).astype(np.uint8).tobytes() for p in px], dtype=object)
 
     draw = drawn(ASSET_H, ASSET_W, 8, 3)
-    px = t.supplier.select("s_suppkey", draw("s_suppkey").alias("own"), draw(c("s_suppkey") + 100_000_000).alias("other"))
+    px = dealt(t, t.supplier.select("s_suppkey"), "s_suppkey").select("s_suppkey", draw("s_suppkey").alias("own"), draw(c("s_suppkey") + 100_000_000).alias("other"))
     h = px.select("s_suppkey", *[image_hashes(x, F.lit(ASSET_W)).alias(k) for k, x in (("a", c("own")), ("b", duller("own")), ("o", c("other")))])
     names = ("phash", "dhash", "whash", "average_hash")
     far = lambda k: sum((F.bit_count(c(f"a.{n}").bitwiseXOR(c(f"{k}.{n}"))) for n in names), F.lit(0)) / 4
@@ -144,7 +149,7 @@ def image_files(t: Tables) -> DataFrame:
     kinds = F.array(*[F.lit(x) for x in ("png", "PNG", "txt", "jpg", "png", "webp", "png")])
     name = F.concat_ws(".", c("s_suppkey").cast("string"), F.element_at(kinds, (c("s_suppkey") % 7 + 1).cast("int")))
     folder = f"{shared_folder(t.spark)}/images-{uuid.uuid4().hex}"
-    write_files(t.supplier.select(name.alias("name"), content("s_suppkey").alias("content")), folder)
+    write_files(dealt(t, t.supplier.select("s_suppkey"), "s_suppkey").select(name.alias("name"), content("s_suppkey").alias("content")), folder)
     kept, left = list_images(t.spark, folder, FILE_BYTES)
     file = F.element_at(F.split("path", "/"), -1).alias("name")
     zero = lambda k: F.coalesce(c(f"d.{k}"), F.lit(0)).alias(k)

@@ -44,6 +44,58 @@ def test_template_match():
     assert len(matching.SCALES) == 50 and sum(s <= 0.5 for s in matching.SCALES) == 30
 
 
+def test_no_scale_is_passed_over_that_reaches_the_correlation(monkeypatch):
+    """The sieve in single precision gives what all scales in double precision give, also in dark windows of a bright page; a page's spectrum is made once for all its assets."""
+    rng = np.random.default_rng(5)
+    pages = []
+    for k in range(6):
+        page, asset = texture(k, 75, 100, 6), texture(20 + k, 40, 50, 8)
+        h, w = 32 + k, 40 + k
+        page[5 : 5 + h, 9 : 9 + w] = (resized(asset, h, w) * (0.02 if k % 2 else 1)).astype(np.uint8)
+        pages.append((page, [asset, texture(40 + k, 40, 50, 8), rng.integers(0, 256, (40, 50)).astype(np.uint8)]))
+    spectra, real = [], np.fft.rfft2
+    monkeypatch.setattr(np.fft, "rfft2", lambda x, s: spectra.append(x.shape) or real(x, s))
+    got = [matching.template_match(p, a) for p, assets in pages for a in assets]
+    assert spectra.count((75, 100)) == len(pages)
+    monkeypatch.setattr(matching._Page, "may_reach", lambda *a: True)
+    assert got == [matching.template_match(p, a) for p, assets in pages for a in assets] and sum(x is not None for x in got) >= 3
+
+
+def test_good_matches():
+    rng = np.random.default_rng(6)
+    b = rng.integers(0, 1 << 63, (700, 4)).astype(np.uint64)
+    a = np.concatenate([b[:600] ^ (np.uint64(1) << rng.integers(0, 64, (600, 4)).astype(np.uint64)), rng.integers(0, 1 << 63, (60, 4)).astype(np.uint64)])
+    d = np.array([[sum(int(x).bit_count() for x in r ^ q) for q in b[:80]] for r in a[:80]])
+    two = np.sort(d, 1)
+    want = [(r, int(d[r].argmin())) for r in range(80) if two[r, 0] < matching.RATIO * two[r, 1]]
+    assert list(zip(*(x.tolist() for x in matching.good_matches(a[:80], b[:80])))) == want and len(want) > 40
+    i, j = matching.good_matches(a, b)
+    assert i[:600].tolist() == j[:600].tolist() == list(range(600))
+
+
+def test_features_of_a_page_are_found_once(monkeypatch):
+    calls, real = [], matching.features
+    monkeypatch.setattr(matching, "features", lambda image, most=matching.FEATURES: calls.append(image.shape) or real(image, most))
+    page, assets = texture(104, 240, 320, 7), [texture(105, 120, 160, 9), texture(106, 120, 160, 9)]
+    other = texture(107, 240, 320, 7)
+    for p in (page, other):
+        for a in assets:
+            matching.feature_match(p, a)
+    assert sorted(calls) == [(120, 160)] * 2 + [(240, 320)] * 2
+
+
+@pytest.mark.parametrize("name", ["h21_image_hashes", "h25_template_match", "h26_feature_match"])
+def test_images_are_made_by_many_tasks(spark, name):
+    """Rows are dealt out before images are made of them, and no image is shuffled."""
+    from adweave.plans import registry
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.index("Initial Plan") :] if "Initial Plan" in plan else plan
+    assert "REPARTITION_BY_NUM" in plan and "SortMergeJoin" not in plan
+    assert not [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "_px" in x]
+    assert plan.index("ArrowEvalPython") < plan.index("REPARTITION_BY_NUM")
+
+
 def moved(page, asset, scale, degrees, centre):
     """The page with the asset turned and scaled about its centre, bilinear."""
     out, (h, w), t = page.astype(float), asset.shape, np.deg2rad(degrees)
