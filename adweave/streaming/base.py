@@ -44,6 +44,8 @@ def arriving(rows: DataFrame, arrival: Column, files: int = 5, closing: DataFram
     spark = rows.sparkSession
     at = f"{shared_folder(spark)}/arriving-{uuid.uuid4().hex}"
     rows = rows.withColumn("__at", arrival)
+    rows.write.parquet(f"{at}-all")  # once, so that an instalment doesn't make all rows anew
+    rows = spark.read.schema(rows.schema).parquet(f"{at}-all")
     low, high = rows.agg(F.min("__at"), F.max("__at")).first()
     span = 1 if low is None else -(-(high - low + 1) // files)
     for k in range(files if low is not None else 0):

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .base import shared_folder
 
-Writes = Callable[[DataFrame], dict[str, DataFrame]]
+#: Tables that a batch writes, by name, in order; a function makes one from those written before it.
+Writes = Callable[[DataFrame], dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]]]
 
 
 class LedgerSink:
@@ -39,12 +40,18 @@ class LedgerSink:
 
     def write(self, batch: DataFrame, number: int) -> None:
         """For foreachBatch."""
-        tables = self.writes(batch)
-        self.schemas |= {k: v.schema for k, v in tables.items()}
-        if number in self.batches():
-            return
+        tables, done = self.writes(batch), number in self.batches()
+        stored: dict[str, DataFrame] = {}
         for name, rows in tables.items():
-            rows.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={number}")
+            rows = rows(stored) if callable(rows) else rows
+            self.schemas[name] = rows.schema
+            stored[name] = rows
+            if not done:
+                at = f"{self.path}/{name}/batch={number}"
+                rows.write.mode("overwrite").parquet(at)
+                stored[name] = self.spark.read.schema(rows.schema).parquet(at)
+        if done:
+            return
         self._files().create(self._path(f"ledger/{number}"), False).close()  # fails if another writer was first
 
     def run(self, stream: DataFrame) -> None:
@@ -54,8 +61,10 @@ class LedgerSink:
         if (failed := query.exception()) is not None:
             raise failed
         if not self.schemas:  # no batch: what an empty one would write
-            empty = self.spark.createDataFrame([], stream.schema)
-            self.schemas = {k: v.schema for k, v in self.writes(empty).items()}
+            empty: dict[str, DataFrame] = {}
+            for name, rows in self.writes(self.spark.createDataFrame([], stream.schema)).items():
+                empty[name] = rows(empty) if callable(rows) else rows
+            self.schemas = {k: v.schema for k, v in empty.items()}
 
     def table(self, name: str) -> DataFrame:
         paths = [f"{self.path}/{name}/batch={n}" for n in self.batches()]
@@ -70,11 +79,13 @@ def generated_id(keys: list[str]) -> Column:
 def matches_with_alerts(keys: list[str], dealers: DataFrame) -> Writes:
     """Writes of a batch of matches: `matches`, one a key, with a generated id, their dealer null where `dealers` (distributor_id) doesn't have it; and `alerts` of violations, which carry that id."""
 
-    def writes(batch: DataFrame) -> dict[str, DataFrame]:
+    def alerts(stored: dict[str, DataFrame]) -> DataFrame:
+        return stored["matches"].filter("status = 'violation'").select(F.col("id").alias("match_ref"), "distributor_id", F.lit("compliance_violation").alias("alert"))
+
+    def writes(batch: DataFrame) -> dict[str, DataFrame | Callable]:
         known = dealers.select("distributor_id").distinct().withColumn("__known", F.lit(True))
         rows = batch.join(known, "distributor_id", "left").withColumn("distributor_id", F.when(F.col("__known"), F.col("distributor_id")))
-        rows = rows.withColumn("id", generated_id(keys)).drop("__known").groupBy("id", *keys).agg(F.max("distributor_id").alias("distributor_id"), F.first("status").alias("status"))
-        alerts = rows.filter("status = 'violation'").select(F.col("id").alias("match_ref"), "distributor_id", F.lit("compliance_violation").alias("alert"))
-        return {"matches": rows, "alerts": alerts}
+        rows = rows.groupBy(*keys).agg(F.max("distributor_id").alias("distributor_id"), F.first("status").alias("status"))
+        return {"matches": rows.select(generated_id(keys).alias("id"), *keys, "distributor_id", "status"), "alerts": alerts}  # ids are longer than keys, so they aren't shuffled
 
     return writes

@@ -132,3 +132,23 @@ def test_replayed_batches_change_nothing(spark, tmp_path):
     assert (sorted(map(tuple, sink.table("matches").collect()), key=str), sorted(map(tuple, sink.table("alerts").collect()), key=str)) == before
     sink.write(batch.filter("match_id = 3").withColumn("match_id", F.lit(4).cast("long")), 1)
     assert sink.batches() == [0, 1] and sink.table("matches").count() == 4
+
+
+def test_rows_are_made_once(spark, tmp_path):
+    """Instalments come from one pass over the rows, and a batch's alerts from its stored matches."""
+    from adweave.streaming.base import arriving
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    schema = "match_id long, price long, distributor_id long, status string"
+    rows = spark.createDataFrame([(i, 10, 7, "violation" if i % 2 else "compliant") for i in range(40)], schema).mapInArrow(counted, schema)
+    at, span = arriving(rows, F.col("match_id"), 4)
+    assert made.value == 40 and span == 10 and spark.read.parquet(at).count() == 40
+    sink = LedgerSink(spark, matches_with_alerts(["match_id", "price"], spark.createDataFrame([(7,)], "distributor_id long")), str(tmp_path / "sink"))
+    sink.write(rows, 0)
+    assert made.value == 80 and sink.table("matches").count() == 40 and sink.table("alerts").count() == 20
