@@ -11,9 +11,11 @@ one bucket but in different components go to an exact prefix filter on the rares
 shingles, which proposes every pair of them that can still be a link; what a component
 already joins needs no test. Where these pairs are many, rounds with one leader of a
 class's index buckets, in a random order, come first and halve the components about each
-time, until few pairs are left or a round joins hardly any; the pairs left are then tested
-in parts of about PAIRS times the index's rows (LEAST_PART at least), each after the components of the part
-before, so that what is stored at a time does not grow with their number. Links become
+time, until few pairs are left, a round joins hardly any, or the pairs are one part and a
+round hardly makes them fewer; the pairs left are then tested in parts of about PAIRS times
+the index's rows (LEAST_PART at least), each after the components of the part before, so
+that what is stored at a time does not grow with their number. A round reads only the rows
+of buckets that the one before left open. Links become
 links between components before components are computed. A link between classes that
 share no band with any class of another component is not met (see BANDS); no other is
 lost, and large groups are not paired in bulk.
@@ -44,6 +46,8 @@ UNIVERSE_BITS = 20
 PAIRS, GAIN = 2, 0.001
 #: Fewer pairs than this (some 100 MB) are no part of their own.
 LEAST_PART = 1 << 22
+#: Pairs of one part are tested at once, too, when a round leaves more than this share of them; most of them can't be links then.
+SAVED = 0.9
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
 
@@ -226,6 +230,15 @@ def placed(rows: DataFrame, label: DataFrame) -> DataFrame:
     return rows.join(small(label), "rep")
 
 
+def opened(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows (stored: key, rep, n, left) of buckets that hold several components of label, with comp; stored in place of them."""
+    own = stored(placed(rows.drop("comp"), label), "placed")
+    ends = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    out = stored(own.join(ends.filter("lo <> hi").select("key"), "key", "left_semi"), "open")
+    forget(rows, own)
+    return out
+
+
 def open_pairs(where: DataFrame) -> int:
     """Pairs of different components in the buckets, a pair once in each bucket."""
     c, m = F.col("c"), F.sum("c")
@@ -233,6 +246,26 @@ def open_pairs(where: DataFrame) -> int:
     return int(per.agg(F.sum("pairs")).first()[0] or 0)
 
 
+def still_open(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (stored: a, b, ca, cb) of different components of label, with these, stored in place of them."""
+    of = lambda x: label.select(F.col("rep").alias(x), F.col("comp").alias(f"c{x}"))
+    out = stored(pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").filter("ca <> cb"), "pairs")
+    forget(pairs)
+    return out
+
+
+def paired(sets: DataFrame, where: DataFrame, label: DataFrame, parts: int) -> DataFrame:
+    """label (rep, comp) after the links among all pairs that the buckets where leave open, a part after another.
+
+    Parts share the components that where has: they say from which side a pair is met, and
+    a pair would be met from neither if its side changed in between.
+    """
+    for part in range(parts):
+        pairs = bucket_pairs(where, part, parts)
+        label = merged(label, verified(sets, still_open(pairs, label) if part else pairs))
+    return label
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id of the row's component) and kept.
 
@@ -254,20 +287,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = stored(sizes.filter("lo <> hi").select("key"), "mixed")
     index = prefix_index(sets, members.join(mixed, "key", "left_semi").select("rep").distinct())
     forget(members, mixed)
-    n, i, gain = index.count(), 0, 1.0
-    while (left := open_pairs(placed(index, label))) > 0:
+    n, i, gain, before = index.count(), 0, 1.0, math.inf
+    where = opened(index, label)
+    while (left := open_pairs(where)) > 0:
         i += 1
-        where = placed(index, label)
-        few = left <= PAIRS * n or gain < GAIN
-        if few:
-            parts = max(1, math.ceil(left / max(PAIRS * n, LEAST_PART)))
-            for part in range(parts):
-                label = merged(label, verified(sets, bucket_pairs(placed(index, label), part, parts)))
+        most = max(PAIRS * n, LEAST_PART)
+        if left <= PAIRS * n or gain < GAIN or SAVED * before < left <= most:
+            label = paired(sets, where, label, math.ceil(left / most))
             break
         found = verified(sets, leader_pairs(where.withColumn("order", F.xxhash64("rep", F.lit(i)))))
-        gain = found.count() * 1.0 / max(label.count(), 1)
+        gain, before = found.count() * 1.0 / max(label.count(), 1), left
         label = merged(label, found)
-    forget(sets, index)
+        where = opened(where, label)
+    forget(sets, where)
 
     comp = label.filter("rep <> comp").union(label.filter("rep <> comp").select("comp", "comp")).distinct()
     touched = classes.join(small(comp), "rep", "left").filter("copies > 1 or comp is not null")

@@ -207,6 +207,58 @@ def test_near_dedup_of_a_large_varied_group(spark, monkeypatch, gain, least):
     assert got == by_hand(rows) and (gain < 1 or max(seen) > 1)
 
 
+def test_rounds_that_save_nothing_end(spark, monkeypatch):
+    """Pairs that fit one part are tested once a round of leaders has hardly made them fewer, with the same result."""
+    rounds, real = [], near_dedup.leader_pairs
+    monkeypatch.setattr(near_dedup, "leader_pairs", lambda where: rounds.append(1) or real(where))
+    monkeypatch.setattr(near_dedup, "PAIRS", 0)
+    monkeypatch.setattr(near_dedup, "GAIN", 0.0)
+    monkeypatch.setattr(near_dedup, "open_pairs", lambda where: 1000 if len(rounds) < 9 else 0)
+    rng = random.Random(5)
+    base = words(rng, 60).split()
+    rows = [(i, " ".join([*base[: 60 - i], *words(rng, i + 1).split()])) for i in range(12)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == by_hand(rows) and len(rounds) == 2  # one by bands, one by the prefix index
+
+
+def test_buckets_that_stay_open(spark):
+    """Rows of buckets of one component are read no more, and rounds work on what the one before left."""
+    rows = spark.createDataFrame([(k, r, 9, 9) for k, r in [(1, 1), (1, 2), (2, 2), (2, 3), (3, 1), (3, 4)]], "key long, rep long, n long, left long")
+    label = lambda *comps: spark.createDataFrame(list(zip(range(1, 5), comps)), "rep long, comp long")
+    first = near_dedup.opened(near_dedup.stored(rows, "t"), label(1, 1, 3, 4))
+    assert sorted((r.key, r.rep, r.comp) for r in first.collect()) == [(2, 2, 1), (2, 3, 3), (3, 1, 1), (3, 4, 4)]
+    second = near_dedup.opened(first, label(1, 1, 1, 4))
+    assert sorted((r.key, r.rep, r.comp) for r in second.collect()) == [(3, 1, 1), (3, 4, 4)]
+
+
+def test_parts_meet_a_pair_whose_side_changes(spark):
+    """A component that the first parts make larger than the largest one takes no pair away from the parts after."""
+    rng = random.Random(11)
+    base = words(rng, 60).split()
+    near = [" ".join([words(rng, 1), *base[1:]]) for _ in range(12)]
+    sets = [s.view(np.int64).tolist() for s in shingle_sets([t.encode() for t in near])]
+    for _ in range(2):
+        reps = rng.sample(range(1, 100), 12)
+        table = near_dedup.stored(spark.createDataFrame(list(zip(reps, sets)), "doc_id long, shingles array<long>"), "t")
+        comps = [min(reps[:3]) if i < 3 else r for i, r in enumerate(reps)]
+        label = near_dedup.stored(spark.createDataFrame(list(zip(reps, comps)), "rep long, comp long"), "t")
+        where = near_dedup.stored(spark.createDataFrame([(1, r, len(s), len(s), c) for r, s, c in zip(reps, sets, comps)], "key long, rep long, n long, left long, comp long"), "t")
+        met, real = set(), near_dedup.bucket_pairs
+
+        def seen(w, part=0, parts=1):
+            out = real(w, part, parts)
+            met.update((r.a, r.b) for r in out.collect())
+            return out
+
+        near_dedup.bucket_pairs = seen
+        try:
+            out = near_dedup.paired(table, where, label, 4)
+        finally:
+            near_dedup.bucket_pairs = real
+        assert {r.comp for r in out.collect()} == {min(reps)}
+        assert met == {tuple(sorted(p)) for (p, (i, j)) in ((q, ij) for q, ij in zip(itertools.combinations(reps, 2), itertools.combinations(range(12), 2))) if j >= 3}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (7, 7)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
