@@ -20,8 +20,8 @@ import numpy as np
 
 U = np.uint64
 V = np.uint32
-#: Entries of a block's order-1 and order-2 tables (powers of two), highest confidence, bits of the order-0 total.
-TABLE, MOST, TOTAL = 1_024, 7, 20
+#: Entries of a block's order-1 and order-2 tables (powers of two), highest confidence (all its bits set), bits of the order-0 total.
+TABLE, MOST, TOTAL = 256, 7, 20
 _BITS = TABLE.bit_length() - 1
 _ONE, _HALF = 1 << 16, 1 << 15
 _NONE = 0xFFFF
@@ -30,6 +30,21 @@ _UNIT, _BOTTOM, _MASK = U(47), U(1 << 47), U((1 << 47) - 1)
 _FULL = U(1 << 63)
 
 
+def _off(where: np.ndarray, kind: type) -> np.ndarray:
+    """No bits where a condition holds and all bits elsewhere; with random conditions np.where takes several times as long as sums with such masks."""
+    out = where.astype(kind)
+    out -= kind(1)
+    return out
+
+
+def _pick(a: np.ndarray, b: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """a where off has all bits, b where it has none."""
+    out = a ^ b
+    out &= off
+    out ^= b
+    return out
+
+
 class _States:
     """The adaptive states of a number of blocks, shared by coding and decoding. Row 0 is of order 1, row 1 of order 2."""
 
@@ -58,9 +73,10 @@ class _States:
         self.c = self.e >> V(16)
         self.v = self.e & V(_NONE)
         p1, p2 = self.v
-        best = np.where(p2 != V(_NONE), p2, p1)
+        best = p1 ^ ((p1 ^ p2) & _off(p2 == V(_NONE), V))
+        self.same = p1 == best
         self.k = self.counters + self.c
-        self.k[0] += (p1 == best) * 8
+        self.k[0] += self.same * 8
         self.s = self.q.take(self.k)
         self.diff = self.s[1] - self.s[0]
         p = self.w * self.diff
@@ -71,12 +87,15 @@ class _States:
         self.p = p
         return best, p1, p
 
-    def other(self, at: np.ndarray, p1: np.ndarray, best: np.ndarray) -> np.ndarray:
-        """Probability of order 1's guess p1 in the blocks at, where the best guess is wrong."""
-        self.kb = self.others[at] + self.c[0][at]
+    def other(self, p1: np.ndarray) -> np.ndarray:
+        """Probability of order 1's guess p1 where the best guess is wrong; of no meaning in other blocks."""
+        self.kb = self.others + self.c[0]
         self.sb = self.qb.take(self.kb)
-        p = np.minimum(np.maximum(self.sb, 64), _ONE - 64)
-        p[(p1 == best[at]) | (p1 == V(_NONE))] = 64
+        p = np.maximum(self.sb, 64)
+        np.minimum(p, _ONE - 64, out=p)
+        p -= 64
+        p &= _off(self.same | (p1 == V(_NONE)), np.int32)
+        p += 64
         return p
 
     def learn(self, token: np.ndarray, hit: np.ndarray, second: np.ndarray) -> None:
@@ -91,18 +110,32 @@ class _States:
         self.w += error
         np.maximum(self.w, 512, out=self.w)
         np.minimum(self.w, _HALF - 512, out=self.w)
-        self.qb[self.kb] = self.sb + (((second.astype(np.int32) << 16) - self.sb) >> 4)
+        self.qb[self.kb] = self.sb + ((((second.astype(np.int32) << 16) - self.sb) >> 4) & _off(hit, np.int32))
         fresh = (token & V(_NONE)) | V(1 << 16)
-        c = self.c
-        other = np.where(c < 2, fresh, self.v | ((c >> V(1)) << V(16)))
-        self.table[self.at] = np.where(self.v == token, self.e + ((c < MOST).astype(V) << V(16)), other)
+        e, v = self.e, self.v
+        less = (e >> V(1)) & V(MOST << 16)
+        less |= v
+        less ^= fresh
+        less &= _off(self.c < 2, V)
+        less ^= fresh
+        more = np.minimum(e + V(1 << 16), v | V(MOST << 16))
+        less ^= more
+        less &= _off(v == token, V)
+        less ^= more
+        self.table[self.at] = less
         self.prev_hash = self.prev * V(2246822519) + V(374761393)
         self.prev = token
 
 
 def order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids in ascending order and their counts, scaled to a sum of 2 ** TOTAL, one at least. Raises for more distinct ids than that."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    end = int(ids.max()) + 1
+    if end <= 1 << 20:
+        counts = sum(np.bincount(ids[i : i + (1 << 18)], minlength=end) for i in range(0, len(ids), 1 << 18))
+        symbols = np.flatnonzero(counts)
+        counts = counts[symbols]
+    else:
+        symbols, counts = np.unique(ids, return_counts=True)
     total = 1 << TOTAL
     if len(symbols) > total // 2:
         raise ValueError(f"{len(symbols)} distinct ids in a segment; at most {total // 2} can be coded")
@@ -118,8 +151,8 @@ def encode(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, list[tu
     symbols, counts = order0(ids)
     cum = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(U)
     freq = counts.astype(U)
-    rank = np.zeros(int(symbols[-1]) + 1, np.int64)
-    rank[symbols] = np.arange(len(symbols))
+    place = np.zeros(int(symbols[-1]) + 1, U)  # of an id: the counts before its own, and its own
+    place[symbols] = cum[:-1] << U(32) | freq
     lanes = -(-len(ids) // block)
     x = np.zeros(lanes * block, np.uint32)
     x[: len(ids)] = ids
@@ -134,22 +167,27 @@ def encode(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, list[tu
     for t in range(block):
         token = x[t]
         best, p1, p = st.guess()
+        # all blocks go through all decisions, as picking some out takes more time than the sums
         bound = (span >> U(16)) * p.astype(U)
-        hit = token == best
         span -= bound
-        at = np.flatnonzero(~hit)
-        lo, sp, own, p1 = low[at] + bound[at], span[at], token[at], p1[at]
-        np.copyto(span, bound, where=hit)
-        pb = st.other(at, p1, best)
-        bound = (sp >> U(16)) * pb.astype(U)
-        second = own == p1
-        last = np.flatnonzero(~second)
-        r = rank[own[last]]
-        step = (sp[last] - bound[last]) >> U(TOTAL)
-        lo[last] += bound[last] + step * cum[r]
-        sp = bound
-        sp[last] = step * freq[r]
-        low[at], span[at] = lo, sp
+        hit = token == best
+        bound2 = (span >> U(16)) * st.other(p1).astype(U)
+        span -= bound2
+        second = token == p1
+        own = place.take(token)
+        span >>= U(TOTAL)
+        miss, third = _off(hit, U), _off(second, U)
+        low += ((bound2 + span * (own >> U(32)) & third) + bound) & miss
+        own &= U(0xFFFFFFFF)
+        span *= own
+        span = _pick(_pick(span, bound2, third), bound, miss)
+        full = span < _BOTTOM
+        out[n] = low >> _UNIT  # of other blocks this is written again
+        n += full * np.int64(lanes)
+        low &= _off(full, U) | _MASK
+        shift = full.astype(U) << U(4)
+        low <<= shift
+        span <<= shift
         i = np.flatnonzero(span < _BOTTOM)
         while len(i):
             lo, sp, to = low[i], span[i] << U(16), n[i]
@@ -180,19 +218,18 @@ def decode(symbols: np.ndarray, counts: np.ndarray, blocks: list[tuple[int, int,
         return np.zeros(0, np.uint32)
     cum = (np.cumsum(counts, dtype=np.int64) - counts).astype(U)
     freq = counts.astype(U)
-    rank = np.repeat(np.arange(len(symbols), dtype=V), counts)
+    rank = np.repeat(np.arange(len(symbols), dtype=np.uint16 if len(symbols) <= 1 << 16 else V), counts)
     lanes = len(blocks)
     code_at = np.concatenate([[0], np.cumsum([len(b[2]) // 2 for b in blocks])])
-    data = np.concatenate([*[np.frombuffer(b, "<u2") for _, _, b in blocks], np.zeros(8, np.uint16)]).astype(np.uint16)
-    end = len(data) - 1
+    data = np.concatenate([*[np.frombuffer(b, "<u2") for _, _, b in blocks], np.zeros(3 * block + 8, np.uint16)]).astype(np.uint16)  # a token takes 3 units at most, in a damaged block too
     pos = code_at[:-1].copy()
     code = np.zeros(lanes, U)  # how far the coded number is over the block's low end
     for _ in range(4):
-        code = (code << U(16)) | data[np.minimum(pos, end)]
+        code = (code << U(16)) | data[pos]
         pos += 1
     # a unit has the range's 16 highest bits of 63, so the first four hold 47 + 16 bits and one that comes again
     code >>= U(1)
-    spare = (data[np.minimum(code_at[:-1] + 3, end)] & 1).astype(U)
+    spare = (data[code_at[:-1] + 3] & 1).astype(U)
     span = np.full(lanes, _FULL)
     x = np.empty((block, lanes), np.uint32)
     st = _States(lanes)
@@ -201,27 +238,34 @@ def decode(symbols: np.ndarray, counts: np.ndarray, blocks: list[tuple[int, int,
         bound = (span >> U(16)) * p.astype(U)
         hit = code < bound
         span -= bound
-        at = np.flatnonzero(~hit)
-        sp, co, own = span[at], code[at] - bound[at], p1[at]
-        np.copyto(span, bound, where=hit)
-        pb = st.other(at, own, best)
-        bound = (sp >> U(16)) * pb.astype(U)
-        second = co < bound
-        last = np.flatnonzero(~second)
-        step = (sp[last] - bound[last]) >> U(TOTAL)
-        co_last = co[last] - bound[last]
-        r = rank.take(np.minimum(co_last // step, U((1 << TOTAL) - 1)).astype(np.int64))
-        co[last] = co_last - step * cum[r]
-        sp = bound
-        sp[last] = step * freq[r]
-        own[last] = symbols[r]
-        token = best.copy()
-        token[at] = own
-        code[at], span[at] = co, sp
+        rest = code - bound
+        bound2 = (span >> U(16)) * st.other(p1).astype(U)
+        second = rest < bound2  # never where hit, as rest is below 0 and so very large
+        last = np.flatnonzero(~(hit | second))
+        own = bound2[last]
+        step = (span[last] - own) >> U(TOTAL)
+        own = rest[last] - own
+        r = rank.take(np.minimum(own // step, U((1 << TOTAL) - 1)).astype(np.int64))
+        miss = _off(hit, U)
+        token = _pick(p1, best, _off(hit, V))
+        token[last] = symbols[r]
+        span = _pick(bound2, bound, miss)
+        span[last] = step * freq[r]
+        code = _pick(rest, code, miss)
+        code[last] = own - step * cum[r]
+        full = span < _BOTTOM
+        unit = data.take(pos).astype(U)
+        rest = _off(full, U)
+        shift = full.astype(U) << U(4)
+        code <<= shift
+        code |= ((spare << U(15)) | (unit >> U(1))) & ~rest
+        spare = _pick(spare, unit & U(1), rest)
+        pos += full
+        span <<= shift
         i = np.flatnonzero(span < _BOTTOM)
         while len(i):
             to, sp = pos[i], span[i] << U(16)
-            unit = data[np.minimum(to, end)].astype(U)
+            unit = data[to].astype(U)
             code[i] = (code[i] << U(16)) | (spare[i] << U(15)) | (unit >> U(1))
             spare[i] = unit & U(1)
             pos[i], span[i] = to + 1, sp

@@ -27,7 +27,7 @@ from .common import read_table, small, stored, text_chunks
 
 END = 0
 #: Ids in a segment (a longer document is a segment of its own) and in a block; units kept, of some 30 bytes each.
-SEGMENT, BLOCK, CACHE_UNITS = 6_000_000, 1_024, 2_000_000
+SEGMENT, BLOCK, CACHE_UNITS = 8_000_000, 512, 2_000_000
 
 SEGMENTS = "part int, seq int, n_ids long, block int, symbols binary, counts binary, sizes array<int>, crcs array<long>, data array<binary>, doc_ids array<long>, lengths array<long>"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -201,9 +201,12 @@ def _encode(path: str | None, segment: int, block: int):
         docs, ids, total = [], [], 0
         for b in text_chunks(batches, "text", 1 << 20):
             for doc, own in zip(b.column("doc_id").to_pylist(), own_encoder.encode([t or "" for t in b.column("text").to_pylist()])):
-                if total and total + len(own) + 1 > segment:
-                    yield _segment(part, seq, docs, ids, block)
-                    docs, ids, total, seq = [], [], 0, seq + 1
+                while total and total + len(own) + 1 > segment:
+                    # the first half only, so that what is left at the end is half a segment at least: few blocks in step take more time an id
+                    upto = np.cumsum([len(x) for x in ids])
+                    cut = int(np.searchsorted(upto, total / 2)) + 1
+                    yield _segment(part, seq, docs[:cut], ids[:cut], block)
+                    docs, ids, total, seq = docs[cut:], ids[cut:], total - int(upto[cut - 1]), seq + 1
                 docs.append(doc)
                 ids.append(np.append(own, np.uint32(END)).astype(np.uint32))
                 total += len(own) + 1

@@ -63,6 +63,22 @@ def test_token_output(spark):
     assert token_output.read_documents(token_output.write_tokens(df.limit(0))).count() == 0
 
 
+def test_segments_are_no_small_rests(spark):
+    df = spark.range(19).select(F.lit(1).alias("doc_id"), F.concat(F.repeat(F.lit("a "), 50), F.col("id").cast("string")).alias("text"))
+    segments = token_output.write_tokens(df, segment=500, block=64)
+    sizes = [r.n_ids for r in segments.orderBy("part", "seq").collect()]
+    assert len(sizes) > 1 and max(sizes) <= 500 and min(sizes) >= 250
+    assert token_output.read_documents(segments).agg(F.sum("n_tokens")).first()[0] == sum(sizes)
+
+
+def test_damaged_blocks_raise():
+    ids = np.random.default_rng(2).integers(0, 50257, 900).astype(np.uint32)
+    symbols, counts, coded = range_coder.encode(ids, 100)
+    for damaged in (b"", coded[8][2][:4], coded[8][2][::-1][: len(coded[8][2]) // 2 * 2]):
+        with pytest.raises(ValueError):
+            range_coder.decode(symbols, counts, [*coded[:8], (coded[8][0], coded[8][1], damaged)], 100)
+
+
 # media
 
 
