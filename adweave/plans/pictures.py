@@ -25,13 +25,21 @@ c = F.col
 ASSETS, ASSET_W, ASSET_H, PAGE_W, PAGE_H = 20, 80, 64, 200, 150
 SIZES = ((40, 32), (60, 48), (81, 65))
 BIG_W, BIG_H, WIDE, TALL = 160, 120, 320, 240
+#: Images drawn together.
+STACK = 64
 
 
 def texture(seed: int, h: int, w: int, cell: int) -> np.ndarray:
     """Cells of random grey with soft edges."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    x = np.kron(rng.integers(0, 256, (h // cell + 2, w // cell + 2)), np.ones((cell, cell)))[: h + 2, : w + 2]
-    return (sum(x[i : i + h, j : j + w] for i in range(3) for j in range(3)) / 9).astype(np.uint8)
+    return textures([seed], h, w, cell)[0]
+
+
+def textures(seeds: list[int], h: int, w: int, cell: int) -> np.ndarray:
+    """A stack of textures."""
+    x = np.stack([np.random.Generator(np.random.PCG64(s)).integers(0, 256, (h // cell + 2, w // cell + 2)) for s in seeds]).astype(np.uint16)
+    x = x.repeat(cell, 1)[:, : h + 2].repeat(cell, 2)[:, :, : w + 2]
+    x = x[:, :h] + x[:, 1 : h + 1] + x[:, 2:]
+    return ((x[..., :w] + x[..., 1 : w + 1] + x[..., 2:]) // 9).astype(np.uint8)
 
 
 def drawn(h: int, w: int, cell: int, salt: int):
@@ -39,7 +47,8 @@ def drawn(h: int, w: int, cell: int, salt: int):
 
     @F.pandas_udf("binary")
     def run(seed: pd.Series) -> pd.Series:
-        return pd.Series([texture(int(s) * 1000 + salt, h, w, cell).tobytes() for s in seed], dtype=object)
+        seeds = [int(s) * 1000 + salt for s in seed]
+        return pd.Series([x.tobytes() for i in range(0, len(seeds), STACK) for x in textures(seeds[i : i + STACK], h, w, cell)], dtype=object)
 
     return run
 

@@ -204,6 +204,18 @@ def test_image_hashes(spark):
     assert tuple(got[0]) == images.hashes(a) and got[1].phash is None and got[2].phash is None
 
 
+def test_image_hashes_of_a_batch(spark):
+    """Images of a batch are hashed in stacks of one size, each as if alone; rows that are no image change no other."""
+    rng = np.random.default_rng(1)
+    made = [rng.integers(0, 255, (40 + k % 2, 50)).astype(np.uint8) for k in range(300)]
+    stack = images.stacked_hashes(np.stack(made[::2]))
+    assert [tuple(x) for x in stack.tolist()] == [images.hashes(x) for x in made[::2]]
+    rows = [(i, None if i % 7 == 3 else bytearray(x.tobytes()), 50) for i, x in enumerate(made)]
+    df = spark.createDataFrame(rows, "i int, p binary, w int").coalesce(1)
+    for r in df.select("i", images.image_hashes("p", "w").alias("h")).select("i", "h.*").collect():
+        assert tuple(r)[1:] == ((None,) * 4 if r.i % 7 == 3 else images.hashes(made[r.i]))
+
+
 
 def test_plans_prune_and_push_down(spark):
     """Filters and columns reach the scan."""
