@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..functions import scores
 from ..functions.images import image_hashes, resized
@@ -53,31 +57,37 @@ def drawn(h: int, w: int, cell: int, salt: int):
     return run
 
 
-def with_asset(h: int, w: int, cell: int, asset_h: int, asset_w: int, asset_cell: int):
-    """A column of page images, with the asset of a number at a place and size where its width isn't 0."""
+@functools.lru_cache(maxsize=128)
+def _asset(number: int, h: int, w: int, cell: int, to_h: int, to_w: int) -> np.ndarray:
+    return resized(texture(number * 1000 + 2, h, w, cell), to_h, to_w).astype(np.uint8)
 
-    @F.pandas_udf("binary")
-    def run(seed: pd.Series, asset: pd.Series, x: pd.Series, y: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
-        out = []
-        for s, a, left, top, aw, ah in zip(seed, asset, x, y, width, height):
-            page = texture(int(s) * 1000 + 1, h, w, cell)
+
+def page_batches(batches: Iterator[pa.RecordBatch], h: int, w: int, cell: int, asset_h: int, asset_w: int, asset_cell: int) -> Iterator[pa.RecordBatch]:
+    """Rows with an image of the page each, a few at a time: Spark's batches of rows would be ten thousand pages."""
+    for b in (whole.slice(i, STACK) for whole in batches for i in range(0, whole.num_rows, STACK)):
+        pages = []
+        for s, a, left, top, aw, ah in zip(*(b.column(k).to_pylist() for k in ("page_id", "asset", "x", "y", "width", "height"))):
+            page = texture(s * 1000 + 1, h, w, cell)
             if aw:
-                page[top : top + ah, left : left + aw] = resized(texture(int(a) * 1000 + 2, asset_h, asset_w, asset_cell), int(ah), int(aw))
-            out.append(page.tobytes())
-        return pd.Series(out, dtype=object)
+                page[top : top + ah, left : left + aw] = _asset(a, asset_h, asset_w, asset_cell, ah, aw)
+            pages.append(page.tobytes())
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pages, pa.binary())], names=[*b.schema.names, "page_px"])
 
-    return run
+
+def with_pages(rows: DataFrame, *sizes: int) -> DataFrame:
+    """Rows (page_id, asset, x, y, width, height) with an image of the page, page_px; the asset is at its place and size where its width isn't 0."""
+    return rows.mapInArrow(lambda batches: page_batches(batches, *sizes), StructType([*rows.schema.fields, StructField("page_px", BinaryType())]))
 
 
-def dealt(t: Tables, rows: DataFrame, key: str) -> DataFrame:
-    """Rows before images are made of them, dealt out by key: what is a file of few bytes would be one task of long work."""
-    return rows.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), key)
+def dealt(t: Tables, rows: DataFrame, key: str, a_core: int = 0) -> DataFrame:
+    """Rows before images are made of them, dealt out by key, to so many tasks a core at least: what is a file of few bytes would be one task of long work."""
+    return rows.repartition(max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), a_core * t.spark.sparkContext.defaultParallelism), key)
 
 
 def _pairs(t: Tables, pages: DataFrame, h: int, w: int, cell: int) -> DataFrame:
     """Each page with the asset that may stand in it and with another one, the assets' images joined by number; a page's pairs stay together."""
     assets = t.part.select(c("p_partkey").alias("asset")).filter(f"asset <= {ASSETS}").withColumn("asset_px", drawn(h, w, cell, 2)(c("asset")))
-    both = pages.withColumn("asset", F.explode(F.array("own", (c("own") + 6) % ASSETS + 1)))
+    both = pages.withColumn("asset", F.explode(F.array("asset", (c("asset") + 6) % ASSETS + 1)))
     return both.join(sized(assets, ASSETS), "asset")
 
 
@@ -95,9 +105,8 @@ def template_pairs(t: Tables) -> DataFrame:
     at = lambda k: F.element_at(F.array(*[F.lit(s[k]) for s in SIZES]), (c("page_id") % 3 + 1).cast("int"))
     put = c("page_id") % 4 != 0
     x, y = c("page_id") * 7 % 110, c("page_id") * 11 % 80
-    page = with_asset(PAGE_H, PAGE_W, 6, ASSET_H, ASSET_W, 8)
-    p = dealt(t, t.pages.select("page_id", (c("page_id") % ASSETS + 1).alias("own")), "page_id")
-    p = p.withColumn("page_px", page("page_id", "own", x, y, F.when(put, at(0)).otherwise(0), at(1)))
+    p = t.pages.select("page_id", (c("page_id") % ASSETS + 1).alias("asset"), x.alias("x"), y.alias("y"), F.when(put, at(0)).otherwise(0).alias("width"), at(1).alias("height"))
+    p = with_pages(dealt(t, p, "page_id"), PAGE_H, PAGE_W, 6, ASSET_H, ASSET_W, 8)
     m = _pairs(t, p, ASSET_H, ASSET_W, 8).select("page_id", "asset", template_place("page_px", F.lit(PAGE_W), "asset_px", F.lit(ASSET_W)).alias("m"))
     or_ = lambda k, v: F.coalesce(c(f"m.{k}"), F.lit(v)).alias(k)
     return m.select("page_id", "asset", c("m.x").isNotNull().alias("found"), or_("x", -1), or_("y", -1), or_("width", 0), or_("height", 0))
@@ -111,9 +120,8 @@ def feature_pairs(t: Tables) -> DataFrame:
     """Pages against assets by features and a homography; the SQL knows where an asset was put, and near is a box within 5 pixels of that."""
     put = c("page_id") % 4 != 0
     x, y = (c("page_id") * 7 % 110).cast("int"), (c("page_id") * 11 % 80).cast("int")
-    page = with_asset(TALL, WIDE, 7, BIG_H, BIG_W, 9)
-    p = dealt(t, t.pages.select("page_id", (c("page_id") % ASSETS + 1).alias("own"), x.alias("x"), y.alias("y")), "page_id")
-    p = p.withColumn("page_px", page("page_id", "own", "x", "y", F.when(put, BIG_W).otherwise(0), F.lit(BIG_H)))
+    p = t.pages.select("page_id", (c("page_id") % ASSETS + 1).alias("asset"), x.alias("x"), y.alias("y"), F.when(put, BIG_W).otherwise(0).alias("width"), F.lit(BIG_H).alias("height"))
+    p = with_pages(dealt(t, p, "page_id", 4), TALL, WIDE, 7, BIG_H, BIG_W, 9)
     m = _pairs(t, p, BIG_H, BIG_W, 9).select("page_id", "asset", "x", "y", feature_place("page_px", F.lit(WIDE), "asset_px", F.lit(BIG_W)).alias("m"))
     off = F.greatest(F.abs(c("m.x") - c("x")), F.abs(c("m.y") - c("y")), F.abs(c("m.width") - BIG_W), F.abs(c("m.height") - BIG_H))
     return m.select("page_id", "asset", c("m.x").isNotNull().alias("found"), F.coalesce(off <= 5, F.lit(False)).alias("near"))

@@ -84,6 +84,96 @@ def test_features_of_a_page_are_found_once(monkeypatch):
     assert sorted(calls) == [(120, 160)] * 2 + [(240, 320)] * 2
 
 
+def slow_features(image):
+    """Features of one level after the other, all points described, in double precision."""
+    points, bits, strengths = [], [], []
+    for level in range(8):
+        f = 1.2**level
+        h, w = int(image.shape[0] / f), int(image.shape[1] / f)
+        if min(h, w) <= 42:
+            break
+        x = resized(image, h, w)
+        mean = lambda v, n: sum(np.pad(v, n // 2, mode="edge")[i : i + h, j : j + w] for i in range(n) for j in range(n)) / n**2
+        gy, gx = np.gradient(x)
+        a, b, c = mean(gx * gx, 7), mean(gy * gy, 7), mean(gx * gy, 7)
+        r = a * b - c * c - 0.04 * (a + b) ** 2
+        soft = mean(x, 5)
+        for i in range(20, h - 20):
+            for j in range(20, w - 20):
+                if r[i, j] == r[i - 1 : i + 2, j - 1 : j + 2].max() and r[i, j] > 1e-3 * r.max():
+                    patch = x[i - 15 : i + 16, j - 15 : j + 16] * matching._DISC
+                    t = np.arctan2((patch.sum(1) * np.arange(-15, 16)).sum(), (patch.sum(0) * np.arange(-15, 16)).sum())
+                    at = lambda u, v: soft[i + np.rint(np.sin(t) * u + np.cos(t) * v).astype(int), j + np.rint(np.cos(t) * u - np.sin(t) * v).astype(int)]  # noqa: B023, E731
+                    points.append((round((j + 0.5) * image.shape[1] / w - 0.5, 6), round((i + 0.5) * image.shape[0] / h - 0.5, 6)))
+                    bits.append(at(*matching._PAIRS[:, :2].T) < at(*matching._PAIRS[:, 2:].T))
+                    strengths.append(r[i, j])
+    return points, np.array(bits), np.array(strengths)
+
+
+def test_features_against_a_slow_version(monkeypatch):
+    image = texture(108, 90, 110, 7)
+    points, bits, strengths = slow_features(image)
+    got, own = matching.features(image)
+    mine = {tuple(p): np.unpackbits(d.view(np.uint8)) for p, d in zip(got.round(6).tolist(), own)}
+    assert len(set(mine) ^ set(points)) <= 2 and len(points) > 60  # equal responses side by side may differ in their last digit
+    assert np.mean([(mine[p] != d).mean() for p, d in zip(points, bits) if p in mine]) < 0.01
+    described, real = [], matching._described
+    monkeypatch.setattr(matching, "_described", lambda image, at: described.append(len(at)) or real(image, at))
+    few, small = matching.features(image, 30)
+    assert sum(described) == 30  # what isn't kept isn't described
+    assert (few == got[:30]).all() and (small == own[:30]).all()
+
+
+def test_matching_of_a_page_is_done_in_few_steps(monkeypatch):
+    """Descriptors of a page are unpacked once for all its assets, and the tries of a consensus are solved together."""
+    page, asset = texture(110, 240, 320, 7), texture(111, 120, 160, 9)
+    page[40:160, 50:210] = asset
+    signed, solved, signs, svd, qr = [], [], matching._signs, np.linalg.svd, np.linalg.qr
+    monkeypatch.setattr(matching, "_signs", lambda bits: signed.append(1) or signs(bits))
+    monkeypatch.setattr(np.linalg, "svd", lambda *a, **b: solved.append(1) or svd(*a, **b))
+    monkeypatch.setattr(np.linalg, "qr", lambda *a, **b: solved.append(1) or qr(*a, **b))
+    assert np.allclose(matching.feature_match(page, asset)[:4], (50, 40, 160, 120), atol=2) and matching.feature_match(page, texture(112, 120, 160, 9)) is None
+    assert len(signed) == 3 and len(solved) == 2
+
+
+def test_consensus_takes_the_tries_in_their_order():
+    rng = np.random.default_rng(9)
+    m = np.array([[1.1, 0.2, 30], [-0.1, 0.9, 5], [1e-4, -2e-4, 1]])
+    for wrong in (5, 25, 45):
+        src = rng.uniform(0, 200, (60, 2))
+        dst = matching.projected(m, src)
+        dst[60 - wrong :] = rng.uniform(0, 400, (wrong, 2))
+        draw, best = np.random.Generator(np.random.PCG64(7)), np.zeros(60, bool)
+        for k in range(1000):
+            four = draw.choice(60, 4, replace=False)
+            one = matching.homography(src[four], dst[four])
+            if one is not None and (own := ((matching.projected(one, src) - dst) ** 2).sum(1) <= 25).sum() > best.sum():
+                best = own
+            if k >= 50 and best.mean() > 0.5:
+                break
+        one = matching.homography(src[best], dst[best])
+        got, inside = matching.consensus(src, dst)
+        assert np.allclose(got, one) and (inside == (((matching.projected(one, src) - dst) ** 2).sum(1) <= 25)).all()
+    four = np.array([[0.0, 0], [10, 0], [0, 10], [10, 10]])
+    assert np.allclose(matching.homography(four, four * 2 + 3), [[2, 0, 3], [0, 2, 3], [0, 0, 1]])
+
+
+def test_pages_leave_a_task_a_few_at_a_time():
+    import pyarrow as pa
+
+    from adweave.plans import pictures as plans
+
+    n = 150
+    rows = pa.RecordBatch.from_pydict({"page_id": list(range(n)), "asset": [k % 20 + 1 for k in range(n)], "x": [k % 30 for k in range(n)], "y": [k % 7 for k in range(n)], "width": [20 * (k % 2) for k in range(n)], "height": [10] * n})
+    out = list(plans.page_batches(iter([rows]), 40, 60, 6, 16, 24, 8))
+    assert [b.num_rows for b in out] == [64, 64, 22] and sum((b.column("page_id").to_pylist() for b in out), []) == list(range(n))
+    for k in (0, 77, 149):
+        page = texture(k * 1000 + 1, 40, 60, 6)
+        if k % 2:
+            page[k % 7 : k % 7 + 10, k % 30 : k % 30 + 20] = resized(texture((k % 20 + 1) * 1000 + 2, 16, 24, 8), 10, 20)
+        assert out[k // 64].column("page_px")[k % 64].as_py() == page.tobytes()
+
+
 @pytest.mark.parametrize("name", ["h21_image_hashes", "h25_template_match", "h26_feature_match"])
 def test_images_are_made_by_many_tasks(spark, name):
     """Rows are dealt out before images are made of them, and no image is shuffled."""
